@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import ball_tree, packing, pieces, sharding, token_counts
+from quarry.llm import ball_tree, near_dups, packing, pieces, sharding, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": packing.query,
+    "op5_near_duplicates": near_dups.query,
     "op7_piece_codec": pieces.query,
     "op8_exact_top_k": ball_tree.query,
     "op9_uniform_shards": sharding.query,
