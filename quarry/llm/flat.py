@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -31,7 +32,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20)
         if not batch.num_rows:
             continue
         col = batch.column(batch.schema.get_field_index(column))
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0), dtype=np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0), dtype=np.int64)
         ends, start = np.cumsum(sizes), 0
         while start < len(sizes):
             base = ends[start - 1] if start else 0
@@ -48,7 +49,7 @@ def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     elif pa.types.is_large_string(col.type):
         col = col.cast(pa.large_binary())
     if col.null_count:
-        col = pa.compute.fill_null(col, b"")
+        col = pc.fill_null(col, b"")
     off = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
     data = col.buffers()[2]
     buf = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None and len(off) else np.zeros(0, np.uint8)

@@ -83,7 +83,7 @@ def sketches(sets: list[np.ndarray], bins: int = BINS) -> np.ndarray:
     for i in range(2 * bins):
         if not len(element):
             break
-        x = mix(element + np.uint64(i + 1) * _ODD)
+        x = mix(element + np.uint64((i + 1) * int(_ODD) & (1 << 64) - 1))
         bin_ = ((x >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64) if i < bins else i - bins
         np.minimum.at(every, doc * bins + bin_, (np.uint64(i) << np.uint64(56)) | (mix(x) & low))
         full = (out != np.iinfo(np.uint64).max).all(axis=1)
@@ -160,7 +160,7 @@ def _only_near(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` (_id, _text) without most rows whose id isn't in ``ids`` (rep); a join with ``ids`` decides."""
     h = F.xxhash64("rep")
     words = np.zeros(FILTER_WORDS, np.int64)
-    bits = ids.groupBy(F.pmod(h, F.lit(FILTER_WORDS)).alias("w")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.pmod(F.shiftrightunsigned(h, 32), F.lit(64)).cast("int"))).alias("b"))
+    bits = ids.groupBy(F.pmod(h, F.lit(FILTER_WORDS)).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(shiftrightunsigned(xxhash64(rep), 32), 64) as int))")).alias("b"))
     got = bits.toPandas()  # FILTER_WORDS rows at most
     words[got["w"].to_numpy()] = got["b"].to_numpy()
     seen = docs.withColumn("_h", F.xxhash64("_id"))
