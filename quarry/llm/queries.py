@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import ball_tree, near_dups, packing, pieces, sharding, token_counts
+from quarry.llm import ball_tree, near_dups, packing, pieces, quality, sharding, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": toxicity.query,
+    "op3_quality_rules": quality.query,
     "op4_best_fit_packing": packing.query,
     "op5_near_duplicates": near_dups.query,
     "op7_piece_codec": pieces.query,
