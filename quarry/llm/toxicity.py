@@ -25,24 +25,24 @@ PREFIXES = (4, 5, 6)
 #: About so many labelled documents are used to fit; they are those of the smallest hashes.
 MAX_LABELLED = 4000
 #: A feature takes part if so many of these documents have it.
-MIN_DOCUMENTS = 4
-EPOCHS = 60
+MIN_DOCUMENTS = 12
+EPOCHS = 120
 ENDS = b".!?\n"
 _END = np.zeros(256, bool)
 _END[list(ENDS)] = True
 
 
 def features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of all words (a row of the word and its prefixes), first word of each sentence, sentences' bounds by text, and bytes of sentences.
+    """Slots of all words (a row of the word and its prefixes; 0: no such prefix), first word of each sentence, sentences' bounds by text, and bytes of sentences.
 
     Sentences are runs without ``ENDS`` that hold a word.
     """
     buf = LOWER[buf]
     starts, ends, _ = spans(buf, off, SPACE | _END)
     sums = prefix_sums(buf)
-    slot = lambda e: (span_hash(sums, starts, e) % np.uint64(SLOTS)).astype(np.int32)
-    # A prefix as long as the word falls together with the word.
-    slots = np.stack([slot(ends), *(slot(np.minimum(ends, starts + k)) for k in PREFIXES)], axis=1) if len(starts) else np.zeros((0, 1 + len(PREFIXES)), np.int32)
+    slot = lambda e: 1 + (span_hash(sums, starts, e) % np.uint64(SLOTS - 1)).astype(np.int32)
+    prefix = lambda k: np.where(ends - starts > k, slot(np.minimum(ends, starts + k)), 0).astype(np.int32)
+    slots = np.stack([slot(ends), *map(prefix, PREFIXES)], axis=1) if len(starts) else np.zeros((0, 1 + len(PREFIXES)), np.int32)
     a, b, _ = spans(buf, off, _END)
     first = np.searchsorted(starts, a)
     some = np.searchsorted(starts, b) > first
@@ -62,21 +62,26 @@ def noisy_or(logits: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.clip(-np.expm1(log_rest[bounds[1:]] - log_rest[bounds[:-1]]), 0, 1) + 0.0
 
 
-def train(slots: np.ndarray, first: np.ndarray, bounds: np.ndarray, toxic: np.ndarray, epochs: int = EPOCHS, rate: float = 0.1, l2: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights by slot and bias, by Adam over all documents at once."""
+def train(slots: np.ndarray, first: np.ndarray, bounds: np.ndarray, toxic: np.ndarray, epochs: int = EPOCHS, rate: float = 0.15, l1: float = 0.1, l2: float = 0.3) -> tuple[np.ndarray, float]:
+    """Weights by slot and bias, by Adam over all documents at once with soft thresholds.
+
+    The bias starts so low that no text is toxic at first: only then do all
+    toxic documents pull on their sentences.
+    """
     n_docs, n_sent = len(bounds) - 1, len(first)
     doc_of = np.repeat(np.arange(n_docs), np.diff(bounds))
     sent_of = np.repeat(np.arange(n_sent), np.diff(np.append(first, len(slots))))
     flat_slots = slots.reshape(-1)
     words = np.repeat(doc_of[sent_of].astype(np.int64), slots.shape[1]) * SLOTS + flat_slots
     seen = np.bincount(np.unique(words) % SLOTS, minlength=SLOTS)
-    allowed = seen >= min(MIN_DOCUMENTS, max(1, n_docs // 10))
-    used, column = np.unique(flat_slots[allowed[flat_slots]]), np.full(SLOTS, -1)
+    seen[0] = 0
+    used, column = np.flatnonzero(seen >= min(MIN_DOCUMENTS, max(2, n_docs // 100))), np.full(SLOTS, -1)
     column[used] = np.arange(len(used))
     cols = column[flat_slots]
     row = np.repeat(sent_of, slots.shape[1])[cols >= 0]
     cols = cols[cols >= 0]
-    w, b = np.zeros(len(used)), -3.0
+    l2 *= n_docs / MAX_LABELLED
+    w, b = np.zeros(len(used)), -7.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, epochs + 1):
         z = np.bincount(row, w[cols], n_sent) + b
@@ -84,11 +89,13 @@ def train(slots: np.ndarray, first: np.ndarray, bounds: np.ndarray, toxic: np.nd
         score = noisy_or(z, bounds)
         pull = np.where(toxic == 1, -(1 - score) / np.maximum(score, 1e-9), 1.0)
         g = p * pull[doc_of]
-        gw, gb = np.bincount(cols, g[row], len(used)) / n_docs + l2 * w / 10, g.sum() / n_docs
+        gw, gb = np.bincount(cols, g[row], len(used)) + l2 * w, g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
-        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
-        b -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-6)
+        step = rate * min(1.0, 2 * (1 - (t - 1) / epochs))
+        w -= step * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
+        b -= step * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-6)
+        w = np.sign(w) * np.maximum(np.abs(w) - l1 * step, 0)
     out = np.zeros(SLOTS, np.float32)
     out[used] = w
     return out, float(b)
