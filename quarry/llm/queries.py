@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import ball_tree, near_dups, packing, pieces, quality, sharding, token_counts, toxicity
+from quarry.llm import ball_tree, near_dups, packing, pieces, quality, sharding, suffix_dedup, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.query,
     "op3_quality_rules": quality.query,
     "op4_best_fit_packing": packing.query,
     "op5_near_duplicates": near_dups.query,
+    "op6_suffix_dedup": suffix_dedup.query,
     "op7_piece_codec": pieces.query,
     "op8_exact_top_k": ball_tree.query,
     "op9_uniform_shards": sharding.query,
