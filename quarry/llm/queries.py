@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import ball_tree, near_dups, packing, pieces, quality, sharding, suffix_dedup, token_counts, toxicity
+from quarry.llm import ball_tree, lm_scoring, near_dups, packing, pieces, quality, sharding, suffix_dedup, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.query,
+    "op2_lm_scoring": lm_scoring.query,
     "op3_quality_rules": quality.query,
     "op4_best_fit_packing": packing.query,
     "op5_near_duplicates": near_dups.query,
