@@ -95,16 +95,17 @@ def _held(words: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (words[signed % len(words)] >> place) & np.uint64(1) == 1
 
 
-def numbered(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """_doc (in the order of ids, ties by text), _id and _text; rows alike in both are one document."""
-    rows = docs.select(F.col(id_column).cast("long").alias("_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).cast("binary").alias("_text"))
+def numbered(docs: DataFrame, id_column: str, text_column: str, carry: list[str] | None = None) -> DataFrame:
+    """_doc (in the order of ids, ties by text), _id, _text and ``carry``; rows alike in id and text are one document."""
+    carry = carry or []
+    rows = docs.select(F.col(id_column).cast("long").alias("_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).cast("binary").alias("_text"), *carry)
     known = rows.groupBy("_id").count()
     if known.where("count > 1 OR _id IS NULL").isEmpty():
-        return rows.select(F.col("_id").alias("_doc"), "_id", "_text")
+        return rows.select(F.col("_id").alias("_doc"), "_id", "_text", *carry)
     rows = rows.withColumn("_hash", F.md5("_text"))
     order = cut(rows.select("_id", "_hash").distinct().orderBy(F.col("_id").asc_nulls_last(), "_hash").withColumn("_doc", F.monotonically_increasing_id()))
     order = order.withColumnsRenamed({"_id": "_i", "_hash": "_h"})
-    return rows.join(order, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))).select("_doc", "_id", "_text")
+    return rows.join(order, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))).select("_doc", "_id", "_text", *carry)
 
 
 def _keys(width: int, core: int):
@@ -308,6 +309,60 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(rows, _repeats(rows, WIDTH, CORE))
 
 
+def parted(rows: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose ``column`` may be among ``ids``, and those whose isn't, told apart by a filter without a shuffle."""
+    held = _bits(ids.select(F.xxhash64(column).alias("h")), "h")
+
+    def side(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hit = _held(held, batch.column(0).to_numpy(zero_copy_only=False))
+                yield batch.filter(pa.array(hit == wanted)).select(batch.schema.names[1:])
+
+        return rows.select(F.xxhash64(column).alias("_h"), *rows.columns).mapInArrow(run, rows.schema)
+
+    return side(True), side(False)
+
+
+def whole_characters(text: bytes, spans: list[dict]) -> list[dict]:
+    """Spans without the bytes at their ends that belong to characters which stay in part."""
+    out = []
+    for s in spans:
+        a, b = s["start"], s["stop"]
+        while a < b and text[a] & 0xC0 == 0x80:
+            a += 1
+        while b > a and b < len(text) and text[b] & 0xC0 == 0x80:
+            b -= 1
+        out.append({"start": a, "stop": b})
+    return out
+
+
+def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length_column: str = "n_chars") -> DataFrame:
+    """``docs`` without the repeated bytes of their texts, ``length_column`` set to what stays.
+
+    A character of which only some bytes would go stays whole. Documents of
+    which nothing stays keep an empty text; null texts become empty ones.
+    """
+    names, kinds = docs.columns, dict(docs.dtypes)
+    carry = [c for c in names if c not in (text_column, length_column)]
+    rows = numbered(docs, id_column, text_column, carry)
+    spans = cut(_repeats(rows, WIDTH, CORE))
+    near, far = parted(rows, spans, "_doc")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, spans = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            left = [cut_out(t, whole_characters(t, s or [])) for t, s in zip(texts, spans, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), *batch.columns[2:]], ["_text", *batch.schema.names[2:]])
+
+    schema = "_text binary" + "".join(f", `{c}` {kinds[c]}" for c in carry)
+    shorter = near.join(spans, "_doc", "left").select("_text", "spans", *carry).mapInArrow(run, schema)
+    out = far.select("_text", *carry).union(shorter).withColumn(text_column, F.col("_text").cast("string"))
+    if length_column in names:
+        out = out.withColumn(length_column, F.length(text_column).cast(kinds[length_column]))
+    return out.select(*names)
+
+
 def cut_out(text: bytes, spans: list[dict] | None) -> bytes:
     out, at = [], 0
     for s in spans or ():
