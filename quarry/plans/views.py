@@ -125,7 +125,7 @@ def sparse_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 
 #: Questions that name numbers of page addresses; every other one a year too.
 QUESTIONS = r"""qs AS (
-  SELECT item_id AS query_id, 'What says resolution ' || (100 + item_id * 37) || CASE WHEN item_id % 2 = 0 THEN ' of ' || (2010 + item_id % 16) ELSE '' END || '? ' || text AS question FROM benchmark
+  SELECT item_id AS query_id, 'What do resolutions ' || array_to_string(list_transform(range(6), lambda k: 100 + (item_id * 37 + k * 211) % 900), ', ') || ' say' || CASE WHEN item_id % 2 = 0 THEN ' of ' || (2010 + item_id % 16) ELSE '' END || '? ' || text AS question FROM benchmark
 ), nb AS (
   SELECT query_id, question, regexp_extract_all(lower(question), '\b(201[0-9]|202[0-5])\b', 1) AS years, regexp_extract_all(lower(question), '\b(\d{3,5})\b', 1) AS every FROM qs
 ), nn AS (SELECT query_id, question, years, list_filter(every, lambda n: NOT list_contains(years, n)) AS nums FROM nb), fl AS (
@@ -139,7 +139,7 @@ QUESTIONS = r"""qs AS (
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("item_id")
     year = F.when(i % 2 == 0, F.concat(F.lit(" of "), (F.lit(2010) + i % 16).cast("string"))).otherwise("")
-    return table(spark, sf_dir, "benchmark").select(i.alias("query_id"), F.concat(F.lit("What says resolution "), (F.lit(100) + i * 37).cast("string"), year, F.lit("? "), F.col("text")).alias("question"))
+    return table(spark, sf_dir, "benchmark").select(i.alias("query_id"), F.concat(F.lit("What do resolutions "), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: (100 + (i * 37 + k * 211) % 900).cast("string")), ", "), F.lit(" say"), year, F.lit("? "), F.col("text")).alias("question"))
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
