@@ -224,7 +224,7 @@ def test_sum_of_squares_takes_the_smallest_sum():
 def test_ball_tree(spark):
     rng = np.random.default_rng(5)
     rows = [(i, (rng.normal(size=6) * 3).astype(np.float32).tolist()) for i in range(700)]
-    rows += [(700 + i, rows[i][1]) for i in range(20)] + [(1000, None), (1100, [float("nan")] * 6), (1200, [1.0, None, 1, 1, 1, 1])]
+    rows += [(700 + i, rows[i][1]) for i in range(20)] + [(1000, None), (1100, [float("nan")] * 6), (1200, [1.0, None, 1.0, 1.0, 1.0, 1.0])]
     v = ball_tree.integer_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"))
     got = ball_tree.top_k(v, v.where("vec_id % 100 = 0"), shard_rows=150, block_rows=3).collect()
     x = {i: np.floor(1024 * np.array(e, np.float64)).astype(np.int64) for i, e in rows if i < 1000}
