@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,20 +39,55 @@ def _in_blocks(queries: DataFrame, key: str, config: Config) -> list[DataFrame]:
     return [queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b) for b in range(blocks)]
 
 
+def _unit(column: pa.Array, length: int) -> np.ndarray:
+    """Rows of unit length from a list column whose lists have ``length`` entries; 0 for lists of no length or with nulls."""
+    flat = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, length)
+    size = np.sqrt((flat * flat).sum(axis=1, keepdims=True))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.nan_to_num(flat / size, nan=0.0, posinf=0.0, neginf=0.0)
+
+
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT.dense_k, config: Config = DEFAULT, decimals: int = 6) -> DataFrame:
     """query_id, chunk_id, score (cosine) and rank; vectors of no length score 0.
 
     ``vectors`` has chunk_id and embedding, ``queries`` query_id and
-    query_embedding. Each block of queries goes to the vectors' tasks, which
-    keep k rows of each query before anything is shuffled.
+    query_embedding; vectors meet the queries of their own length. Each block of
+    queries goes to the vectors' tasks, which multiply matrices batch by batch
+    and keep k rows of each query before anything is shuffled.
     """
-    v = vectors.select("chunk_id", "embedding", norm(F.col("embedding")).alias("_n"))
+    kinds = {f.name: f.dataType.simpleString() for f in [*vectors.schema, *queries.schema]}
+    schema = f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double"
 
     def block(q: DataFrame) -> DataFrame:
-        q = q.select("query_id", "query_embedding", norm(F.col("query_embedding")).alias("_qn"))
-        both = v.join(F.broadcast(q), F.size("embedding") == F.size("query_embedding"))
-        cosine = F.coalesce(dot(F.col("embedding"), F.col("query_embedding")) / F.nullif(F.col("_n") * F.col("_qn"), F.lit(0.0)), F.lit(0.0))
-        return ranked(both.select("query_id", "chunk_id", F.round(cosine, decimals).alias("score")), "query_id", "score", "chunk_id", k)
+        # About query_block rows, which the caller has counted.
+        asked = q.select("query_id", "query_embedding").where("query_embedding IS NOT NULL").toArrow().combine_chunks()
+        lengths = pc.list_value_length(asked["query_embedding"]).to_numpy() if asked.num_rows else np.zeros(0, int)
+        by_length = {}
+        for n in np.unique(lengths).tolist():
+            part = asked.filter(pa.array(lengths == n))
+            by_length[n] = part["query_id"].combine_chunks(), _unit(part["query_embedding"].combine_chunks(), n)
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                sizes = pc.fill_null(pc.list_value_length(whole.column(1)), -1).to_numpy(zero_copy_only=False)
+                for n, (query_ids, matrix) in by_length.items():
+                    batch = whole.filter(pa.array(sizes == n))
+                    if not batch.num_rows or not n:
+                        continue
+                    unit, place = _unit(batch.column(1), n), np.empty(batch.num_rows, np.int64)
+                    place[pc.sort_indices(batch.column(0)).to_numpy()] = np.arange(batch.num_rows)
+                    for at in range(0, len(matrix), 256):
+                        scores = np.round(unit @ matrix[at : at + 256].T, decimals) + 0.0
+                        floor = np.partition(scores, max(0, len(scores) - k), axis=0)[max(0, len(scores) - k)]
+                        row, query = np.nonzero(scores >= floor)
+                        by = np.lexsort((place[row], -scores[row, query], query))
+                        row, query = row[by], query[by]
+                        first = np.searchsorted(query, query)
+                        keep = np.arange(len(query)) - first < k
+                        row, query = row[keep], query[keep]
+                        yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(query + at)), batch.column(0).take(pa.array(row)), pa.array(scores[row, query])], ["query_id", "chunk_id", "score"])
+
+        return ranked(vectors.select("chunk_id", "embedding").mapInArrow(best, schema), "query_id", "score", "chunk_id", k)
 
     return reduce(DataFrame.unionByName, map(block, _in_blocks(queries, "query_id", config)))
 
