@@ -215,29 +215,32 @@ def _windows(width: int):
     return run
 
 
-def _removed(rows: list[dict], width: int) -> np.ndarray:
-    """Maximal removed byte runs of a document from its occurrences and the verdicts on them.
+def _removed(owner: np.ndarray, at: np.ndarray, n: np.ndarray, kind: np.ndarray, docs: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, start and stop of maximal removed byte runs, from occurrences and the verdicts on them.
 
     kind 0: an occurrence, gone unless said otherwise; 1: the first of its
     segment, of which nothing is gone but runs of kind 2; 3: a window of a hot
     key's segments that is the earliest of its kind, and stays.
     """
-    if not rows:
-        return np.zeros((0, 2), np.int64)
-    end = max(r["at"] + r["n"] for r in rows)
-    gone = np.zeros(end, bool)
-    for kind, value in enumerate((True, False, True, False)):
-        for r in rows:
-            if r["kind"] == kind:
-                gone[r["at"] : r["at"] + r["n"]] = value
-    flips = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False]))))
-    runs = flips.reshape(-1, 2) + [0, width - 1]
-    if not len(runs):
-        return runs
-    new = np.ones(len(runs), bool)
-    new[1:] = runs[1:, 0] > runs[:-1, 1]
-    at = np.flatnonzero(new)
-    return np.stack([runs[at, 0], np.maximum.reduceat(runs[:, 1], at)], axis=1)
+    end = np.zeros(docs, np.int64)
+    np.maximum.at(end, owner, at + n)
+    base = np.concatenate(([0], np.cumsum(end + 1)))  # a free place parts documents
+    place = base[owner] + at
+
+    def covered(k: int) -> np.ndarray:
+        i = kind == k
+        return np.cumsum(np.bincount(place[i], minlength=base[-1] + 1) - np.bincount(place[i] + n[i], minlength=base[-1] + 1)) > 0
+
+    gone = ((covered(0) & ~covered(1)) | covered(2)) & ~covered(3)
+    runs = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])))).reshape(-1, 2)
+    doc = np.searchsorted(base, runs[:, 0], side="right") - 1
+    start, stop = runs[:, 0] - base[doc], runs[:, 1] - base[doc] + width - 1
+    if not len(doc):
+        return doc, start, stop
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > stop[:-1])
+    first = np.flatnonzero(new)
+    return doc[first], start[first], np.maximum.reduceat(stop, first)
 
 
 def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH, core: int = CORE) -> DataFrame:
@@ -287,9 +290,15 @@ def _repeats(rows: DataFrame, width: int, core: int) -> DataFrame:
     )
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
         for batch in batches:
-            out = [[{"start": int(a), "stop": int(b)} for a, b in _removed(r, width)] for r in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))], ["_doc", "spans"])
+            lists = batch.column(1)
+            owner = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths(), np.int64))
+            at, n, k = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in lists.flatten().flatten())
+            doc, start, stop = _removed(owner, at, n, k, batch.num_rows, width)
+            pairs = pa.StructArray.from_arrays([pa.array(start), pa.array(stop)], fields=list(kind))
+            edges = pa.array(np.searchsorted(doc, np.arange(batch.num_rows + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(edges, pairs, type=pa.list_(kind))], ["_doc", "spans"])
 
     return verdicts.groupBy("_doc").agg(F.collect_list(F.struct("at", "n", "kind"))).mapInArrow(spans, "_doc bigint, spans array<struct<start:bigint,stop:bigint>>").where("size(spans) > 0")
 
