@@ -14,12 +14,16 @@ that share a band of four coordinates are candidates (a pair at similarity 0.8
 shares none of the 32 bands with a chance of 5e-8). Every link is confirmed on
 the full sets, in three passes that avoid the pairs of large groups:
 
-1. each class against the smallest class it shares a band with;
+1. each class against one pivot: of the pivots of its bands (a band's pivot is the
+   member whose bands hold most classes) the one that shares most;
 2. in bands whose members aren't yet in one component, each member against the
-   band's smallest one;
-3. in bands that still hold several components, all pairs of members of
-   different components, of sizes that can reach the threshold and with sketches
-   that don't rule it out.
+   band's pivot;
+3. in bands that still hold several components, members of different components,
+   of which at least one isn't linked with the pivot. Two such classes can only be
+   linked if what each has different from the pivot agrees to a large part: by the
+   prefix principle they share one of their rarest differences, so these are
+   joined, with bounds on sizes and on the numbers of differences; sketches sort
+   out more before the full sets decide.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.components import components
@@ -144,6 +148,15 @@ def _confirmed(percent: int):
     return run
 
 
+def _deltas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles in which each class and its pivot differ."""
+    for batch in slices(batches, "elements", 1 << 20):
+        parts = [np.setxor1d(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(x.as_buffer(), np.uint64), assume_unique=True).view(np.int64) for p, x in zip(batch.column(5), batch.column(6), strict=True)]
+        size = np.array([len(x) for x in parts], np.int64)
+        at = pa.array(np.repeat(np.arange(batch.num_rows), size))
+        yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(5)), pa.array(np.repeat(size, size)), pa.array(np.concatenate([*parts, np.zeros(0, np.int64)]))], ["pivot", "rep", "n", "component", "outside", "d", "element"])
+
+
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = batch.num_rows
@@ -192,8 +205,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_colum
     known = marks.where("print IS NOT NULL AND _id IS NOT NULL")
     classes = cut(known.groupBy("print").agg(F.min("_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     banded = classes.select(F.explode("bands").alias("band"), "rep", "n")
-    shared = banded.groupBy("band").agg(F.min("rep").alias("pivot"), F.min_by("n", "rep").alias("pivot_n"), F.max("rep").alias("top")).where("pivot < top").drop("top")
+    shared = banded.groupBy("band").agg(F.count("*").alias("size"), F.min("rep").alias("low"), F.max("rep").alias("top")).where("low < top").select("band", "size")
     members = cut(banded.join(shared, "band"))
+    # A band's pivot is its member that shares most: a text that many others are copies of.
+    weight = members.groupBy("rep").agg(F.sum("size").alias("weight"))
+    pivots = members.join(weight, "rep").groupBy("band").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"), "n")).alias("p"))
+    pivots = pivots.select("band", (-F.col("p.minus")).alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.weight").alias("pivot_weight"))
+    members = cut(members.drop("size").join(pivots, "band"))
     fits = lambda x, y: (F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y))
     near = members.select("rep").distinct()
     texts = _only_near(docs, near).join(near, F.col("_id") == F.col("rep"), "left_semi")
@@ -212,16 +230,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_colum
         return cut(rows.join(open_bands, "band"))
 
     star = members.where((F.col("rep") != F.col("pivot")) & fits(F.col("n"), F.col("pivot_n")))
-    first = cut(star.groupBy(F.col("rep").alias("b")).agg(F.min("pivot").alias("a")).select("a", "b"))
+    heaviest = F.max(F.struct("pivot_weight", (-F.col("pivot")).alias("minus"))).alias("p")
+    first = cut(star.groupBy("rep").agg(heaviest).select((-F.col("p.minus")).alias("a"), F.col("rep").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = confirm(first)
     left = labelled(links)
     pivots = left.where("rep = pivot").select("band", F.col("component").alias("pivot_component"))
     second = left.join(pivots, "band").where((F.col("component") != F.col("pivot_component")) & fits(F.col("n"), F.col("pivot_n")))
-    second = cut(second.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
+    second = cut(second.select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
     links = cut(links.union(confirm(second)))
     left = labelled(links)
-    side = lambda s: left.select("band", F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("component").alias(f"c_{s}"))
-    third = side("a").join(side("b"), "band").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & fits(F.col("n_a"), F.col("n_b")))
+    centre = left.where("rep = pivot").select("pivot", F.col("component").alias("centre")).distinct()
+    around = left.where("rep <> pivot").select("pivot", "rep", "n", "component").distinct().join(centre, "pivot")
+    around = around.select("pivot", "rep", "n", "component", (F.col("component") != F.col("centre")).alias("outside"))
+    both = around.join(sets.toDF("pivot", "p"), "pivot").join(sets, "rep").select("pivot", "rep", "n", "component", "outside", "p", "elements")
+    deltas = cut(both.mapInArrow(_deltas, "pivot bigint, rep bigint, n bigint, component bigint, outside boolean, d bigint, element bigint"))
+    holders = deltas.groupBy("pivot", "element").agg(F.count("*").alias("holders"), F.bool_or("outside").alias("met"))
+    share = (100 - percent) / (100 + percent)  # two sets are linked if they differ in so much of their sizes' sum at most
+    least = F.when(F.col("outside"), F.ceil(F.col("d") - share * (1 + 100 / percent) * F.col("n") - 1e-6)).otherwise(F.ceil((1 - share) / 2 * F.col("d") - 1e-6))
+    rarest = Window.partitionBy("pivot", "rep").orderBy("holders", "element")
+    kept = deltas.join(holders, ["pivot", "element"]).withColumn("at", F.row_number().over(rarest)).where((F.col("at") <= F.col("d") - F.greatest(least, F.lit(1)) + 1) & (F.col("holders") > 1) & F.col("met"))
+    kept = cut(kept.select("pivot", "element", "rep", "n", "component", "outside", "d", "at"))
+    side = lambda s: kept.select("pivot", "element", *(F.col(c).alias(f"{c}_{s}") for c in ("n", "d", "component", "outside", "at")), F.col("rep").alias(s))
+    # No more differences than those from here on can agree, if this is the first that does.
+    agree = 1 + F.least(F.col("d_a") - F.col("at_a"), F.col("d_b") - F.col("at_b"))
+    enough = 2 * agree >= F.col("d_a") + F.col("d_b") - share * (F.col("n_a") + F.col("n_b")) - 1e-6
+    third = side("a").where("outside_a").join(side("b"), ["pivot", "element"]).where(enough & (F.col("component_a") != F.col("component_b")) & (~F.col("outside_b") | (F.col("a") < F.col("b"))) & fits(F.col("n_a"), F.col("n_b")) & (F.abs(F.col("d_a") - F.col("d_b")) <= share * (F.col("n_a") + F.col("n_b")) + 1e-6))
+    third = third.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     third = third.select("a", "b").distinct().join(first.union(second), ["a", "b"], "left_anti")
     seen = classes.select("rep", "sketch")
     third = third.join(seen.toDF("a", "x"), "a").join(seen.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_alike, "a bigint, b bigint")
