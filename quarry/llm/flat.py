@@ -7,6 +7,8 @@ a task sees; nothing here keeps state between tasks.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +25,23 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers: dict[str, np.ndarray] = {}
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def give_back() -> None:
+    """Returns freed memory to the system: workers live on, and an executor's share is small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``limit`` bytes of ``column`` at most.
 
     A single longer text makes a batch of its own; texts are never cut.
     """
+    yield from _slices(batches, column, limit)
+    give_back()
+
+
+def _slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue

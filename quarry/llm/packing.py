@@ -26,7 +26,7 @@ from quarry.llm.flat import slices
 from quarry.session import cut, table
 
 CAPACITY, END_ID = 1024, 2
-_loaded: dict[str, object] = {}
+_loaded: dict[object, object] = {}
 
 
 def encoder(path: str):
@@ -37,7 +37,6 @@ def encoder(path: str):
     """
     if path not in _loaded:
         import tiktoken
-        from tokenizers import Tokenizer
 
         spec = json.load(open(path, encoding="utf-8"))
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -46,18 +45,25 @@ def encoder(path: str):
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(to_byte[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in special}
         fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        slow = Tokenizer.from_file(path)
-        _loaded[path] = (fast, slow)
-    fast, slow = _loaded[path]
+        _loaded[path] = fast
+    fast = _loaded[path]
 
     def encode(text: str) -> np.ndarray:
         if len(text) > 400 and max(map(len, text.split()), default=len(text)) > 400:
-            return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+            return np.array(_library(path).encode(text, add_special_tokens=False).ids, np.uint32)
         return fast.encode_to_numpy(text, allowed_special="all")
 
     return encode
 
 
+def _library(path: str):
+    if ("library", path) not in _loaded:
+        from tokenizers import Tokenizer
+
+        _loaded["library", path] = Tokenizer.from_file(path)
+    return _loaded["library", path]
+
+
 def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32 and, if wanted, the ids.
 
@@ -68,7 +74,7 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        for batch in slices(batches, "_text", 2 << 20):
+        for batch in slices(batches, "_text"):
             rows, pieces, starts, lengths, crcs, lists = [], [], [], [], [], []
             for r, text in enumerate(batch.column(1).to_pylist()):
                 ids = np.append(encode(text or ""), end_id).astype("<u4")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.column_bwt import equal_windows
-from quarry.llm.flat import flat, mix, prefix_sums, slices, span_hash
+from quarry.llm.flat import flat, give_back, mix, prefix_sums, slices, span_hash
 from quarry.session import cut, table
 
 WIDTH, CORE = 100, 40
@@ -110,7 +110,7 @@ def numbered(docs: DataFrame, id_column: str, text_column: str, carry: list[str]
 
 def _keys(width: int, core: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text", 1 << 20):
+        for batch in slices(batches, "_text"):
             key, n = np.unique(occurrences(*flat(batch.column(1)), width, core)[4], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
 
@@ -119,7 +119,7 @@ def _keys(width: int, core: int):
 
 def _shared(width: int, core: int, words: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text", 1 << 20):
+        for batch in slices(batches, "_text"):
             text, start, n, anchor, key, segment = occurrences(*flat(batch.column(1)), width, core)
             at = np.flatnonzero(_held(words, key.view(np.int64)))
             cols = [batch.column(0).take(pa.array(text[at])), pa.array(start[at].astype(np.int32)), pa.array(n[at].astype(np.int32)), pa.array(anchor[at].astype(np.int32)), pa.array(key[at].view(np.int64)), pa.array(segment[at].view(np.int64))]
@@ -189,6 +189,8 @@ def _compared(width: int, core: int):
         at = np.flatnonzero(new)
         size = np.diff(np.append(at, len(gone)))
         w = gone[at, 0]
+        del whole, parts
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array(doc[w]), pa.array(start[w].astype(np.int32)), pa.array((start[w] + gone[at, 1]).astype(np.int32)), pa.array(size.astype(np.int32))], ["_doc", "start", "run", "windows"])
 
     return run
