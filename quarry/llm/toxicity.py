@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.flat import LOWER, SPACE, flat, prefix_sums, slices, span_hash, spans
+from quarry.llm.flat import LOWER, SPACE, flat, give_back, prefix_sums, slices, span_hash, spans
 from quarry.session import table
 
 SLOTS = 1 << 18
@@ -75,11 +75,13 @@ def train(slots: np.ndarray, first: np.ndarray, bounds: np.ndarray, toxic: np.nd
     words = np.repeat(doc_of[sent_of].astype(np.int64), slots.shape[1]) * SLOTS + flat_slots
     seen = np.bincount(np.unique(words) % SLOTS, minlength=SLOTS)
     seen[0] = 0
+    del words
     used, column = np.flatnonzero(seen >= min(MIN_DOCUMENTS, max(2, n_docs // 100))), np.full(SLOTS, -1)
     column[used] = np.arange(len(used))
-    cols = column[flat_slots]
-    row = np.repeat(sent_of, slots.shape[1])[cols >= 0]
-    cols = cols[cols >= 0]
+    at = np.flatnonzero(column[flat_slots] >= 0)
+    cols, row = column[flat_slots[at]], sent_of[at // slots.shape[1]]
+    del at, sent_of
+    give_back()
     l2 *= n_docs / MAX_LABELLED
     w, b = np.zeros(len(used)), -7.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
@@ -135,7 +137,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     slots = np.frombuffer(b"".join(got["slots"]), np.int32).reshape(-1, width)
     first = np.concatenate([f + o for f, o in zip(firsts, base[:-1], strict=True)]).astype(np.int64)
     bounds = np.concatenate(([0], np.cumsum([len(f) for f in firsts])))
-    return train(slots, first, bounds, got["toxic"].to_numpy())
+    toxic = got["toxic"].to_numpy()
+    del got, firsts
+    model = train(slots, first, bounds, toxic)
+    give_back()
+    return model
 
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, float], least: float = 0.5, carry: list[str] | None = None, text_column: str = "text") -> DataFrame:
