@@ -173,6 +173,27 @@ def test_lm_odd_texts(spark):
     assert lm_scoring.scored(odd(spark).limit(0), BPE).count() == 0
 
 
+def test_lm_trains_on_whole_texts(spark):
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in range(60)]
+    text = " ".join(rng.choice(words, 4000))
+    classes = lm_scoring.Classes(rng.integers(0, 9, lm_scoring.IDS + 1))
+    weights = []
+    for k in (0.1, 0.3, 0.5, 0.7, 0.9):  # a change anywhere in a long text reaches the weights
+        at = int(k * len(text))
+        df = spark.createDataFrame([(7, text[:at] + " changed words " + text[at:])], "_key bigint, _text string")
+        weights.append(lm_scoring.train(df, classes, BPE, rounds=1).tobytes())
+    assert len(set(weights)) == 5
+    docs = [(7, text), (7, text), (8, ""), (9, "a " * 17), (10, "a " * 18)]
+    runs = lm_scoring.training_runs(spark.createDataFrame(docs, "_key bigint, _text string").coalesce(1), classes, BPE).collect()
+    encode = lm_scoring.encoder(BPE)
+    want = sum(sum(len(x) // 2 for x in encode([w.encode() for w in t.split()])) + 1 for _, t in docs)
+    rows = np.frombuffer(b"".join(r.ids for r in runs), np.int8).reshape(-1, lm_scoring.SPAN + 1)
+    assert (rows[:, lm_scoring.OVERLAP + 1 :] < lm_scoring.CLASSES).sum() == want
+    assert sum(r.n for r in runs) == len(rows) and max(r.n for r in runs) <= lm_scoring.RUN
+    assert len({r.spread for r in runs}) == len(runs)
+
+
 def texts():
     docs = pd.read_parquet(f"{SF}/documents.parquet").text.tolist()
     rng = random.Random(4)
