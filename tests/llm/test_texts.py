@@ -147,6 +147,14 @@ def test_lm_windows_score_each_token_once():
     assert np.bincount(classes.of, share) == pytest.approx(np.ones(lm_scoring.CLASSES))
 
 
+def test_lm_predicts_the_frequent_ids_one_by_one():
+    counts = np.zeros(lm_scoring.IDS + 1, np.int64)
+    counts[:95] = 1000 - np.arange(95)
+    of = lm_scoring.Classes(counts).of
+    alone = np.flatnonzero(np.bincount(of, minlength=lm_scoring.CLASSES)[of] == 1)
+    assert set(range(95)) | {lm_scoring.END} <= set(alone)
+
+
 def test_lm_gradient():
     rng = np.random.default_rng(1)
     classes = lm_scoring.Classes(rng.integers(0, 50, lm_scoring.IDS + 1))
