@@ -3,9 +3,11 @@
 Every document becomes pieces of at most ``capacity`` tokens. Full pieces are
 sequences by themselves; each other piece is placed where the squared counts of
 open bins per residual gap become smallest (a new bin is one of the choices).
-Groups of pieces are packed in tasks of their own. Pieces of bins that a group
-left open go to a next round with fewer groups, until one group is left, so the
-waste of small groups doesn't add up.
+Groups of pieces are packed in tasks of their own; their size doesn't grow with
+the table. Pieces of bins that a group left open go to a next round with fewer
+groups, so the waste of small groups doesn't add up. The rounds end with one
+group, or with one that leaves over half of its pieces in open bins: lengths that
+don't add up to full bins wouldn't in larger groups either.
 """
 
 from __future__ import annotations
@@ -127,15 +129,15 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     return bins, offsets, np.array(gaps, np.int64)
 
 
-def _packer(keys: list[str], capacity: int, step: int, last: bool):
-    """Packs one group; pieces of bins with a gap get sequence -1 unless this is the last round."""
+def _packer(keys: list[str], capacity: int, step: int):
+    """Packs one group; ``_open`` tells pieces of bins with a gap."""
 
     def one(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", *keys], ascending=False, kind="stable", ignore_index=True)
         bins, offsets, gaps = sum_of_squares(pdf["length"].to_numpy(), capacity)
-        kept = (gaps[bins] == 0) | last
-        pdf["sequence_id"] = np.where(kept, (np.int64(step) << 56) + (np.int64(group[0]) << 24) + bins, -1)
+        pdf["sequence_id"] = (np.int64(step) << 56) + (np.int64(group[0]) << 24) + bins
         pdf["offset"] = offsets
+        pdf["_open"] = gaps[bins] > 0
         return pdf.drop(columns="_group")
 
     return one
@@ -150,20 +152,20 @@ def pack(pieces: DataFrame, keys: list[str], capacity: int = CAPACITY, group_row
     """
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     pieces = pieces.select(*names)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id bigint, offset bigint"
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id bigint, offset bigint, _open boolean"
     key = F.xxhash64(*keys)
     done = [pieces.where(F.col("length") == capacity).withColumns({"sequence_id": F.lit(-1) - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})]
     rest, step = pieces.where(F.col("length") < capacity), 0
     left = rest.count()
     while left:
-        groups, last = max(1, math.ceil(left / group_rows)), left <= group_rows
-
-        packed = cut(rest.withColumn("_group", F.pmod(key, F.lit(groups)).cast("long")).groupBy("_group").applyInPandas(_packer(keys, capacity, step, last), fields))
-        done.append(packed.where("sequence_id >= 0"))
-        rest = packed.where("sequence_id < 0").drop("sequence_id", "offset")
-        before, left, step = left, 0 if last else rest.count(), step + 1
-        if left > before // 2 and not last:  # groups that close few bins: take them together
-            group_rows = max(group_rows, math.ceil(left / max(1, groups // 4)))
+        groups = max(1, math.ceil(left / group_rows))
+        packed = cut(rest.withColumn("_group", F.pmod(key, F.lit(groups)).cast("long")).groupBy("_group").applyInPandas(_packer(keys, capacity, step), fields))
+        rest, before, step = packed.where("_open").select(*names), left, step + 1
+        left = rest.count() if groups > 1 else 0
+        last = left == 0 or left > before // 2
+        done.append((packed if last else packed.where("NOT _open")).drop("_open"))
+        if last:
+            break
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)

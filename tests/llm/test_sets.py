@@ -197,6 +197,35 @@ def test_packing(spark):
     assert packing.pack(pieces.limit(0), ["doc_id", "piece"]).count() == 0
 
 
+def test_packing_groups_stay_small(spark, monkeypatch):
+    sizes = spark.sparkContext.accumulator(0)
+    packer = packing._packer
+
+    def watched(*args):
+        one = packer(*args)
+
+        def run(group, pdf):
+            sizes.add(len(pdf) > 1000)
+            return one(group, pdf)
+
+        return run
+
+    monkeypatch.setattr(packing, "_packer", watched)
+    rng = random.Random(7)
+    lengths = [600 if k % 3 == 0 else rng.randrange(1, 1024) for k in range(12000)]  # a hot length keeps most bins open
+    pieces = spark.createDataFrame(list(enumerate(lengths)), "doc_id int, length bigint")
+    got = packing.pack(pieces, ["doc_id"], group_rows=600).collect()
+    assert sizes.value == 0 and sorted(r.doc_id for r in got) == list(range(12000))
+    bins = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for b in bins.values():
+        b.sort()
+        assert b[0][0] == 0 and all(x[0] + x[1] == y[0] for x, y in zip(b, b[1:])) and sum(b[-1]) <= packing.CAPACITY
+    alone = packing.sum_of_squares(np.sort(lengths)[::-1])[2]
+    assert len(bins) <= 1.02 * len(alone)
+
+
 def test_sum_of_squares_takes_the_smallest_sum():
     rng = np.random.default_rng(2)
     lengths = rng.integers(1, 21, 60)
