@@ -19,6 +19,12 @@ def hits_at(cases: DataFrame, retrieved: DataFrame, cuts: tuple[int, ...] = CUTS
     return rows.select("case_id", *(F.coalesce(F.arrays_overlap("expected_doc_ids", F.slice("_got", 1, k)), F.lit(False)).alias(f"hit_at_{k}") for k in cuts))
 
 
+def hits_among(cases: DataFrame, retrieved: DataFrame, cuts: tuple[int, ...] = CUTS) -> DataFrame:
+    """hits_at() where ``retrieved`` (case_id, rank) already tells which rows are ``expected``; no lists are made."""
+    hits = retrieved.groupBy("case_id").agg(*(F.bool_or(F.col("expected") & (F.col("rank") <= k)).alias(f"_{k}") for k in cuts))
+    return cases.join(hits, "case_id", "left").select("case_id", *(F.coalesce(f"_{k}", F.lit(False)).alias(f"hit_at_{k}") for k in cuts))
+
+
 def summary(hits: DataFrame, judged: DataFrame | None = None, cuts: tuple[int, ...] = CUTS) -> DataFrame:
     """Mean hits over all cases; mean and number of the judge's scores where there are any."""
     out = hits.agg(F.count("*").alias("n_cases"), *(F.avg(F.col(f"hit_at_{k}").cast("int")).alias(f"hit_at_{k}") for k in cuts))

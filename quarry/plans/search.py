@@ -172,10 +172,11 @@ CASES = f"""{views.DENSE}, ex AS (
 
 def hit_rows(spark, d):
     v, q = views.dense_inputs(spark, d)
-    good = table(spark, d, "labels").where("quality = 1").groupBy((F.col("doc_id") % 50).alias("_k")).agg(F.collect_set("doc_id").alias("expected_doc_ids"))
-    cases = q.select(F.col("query_id").alias("case_id"), (F.floor(F.col("query_id") / 50) % 50).alias("_k")).join(good, "_k", "left").drop("_k")
+    near = lambda c: F.floor(F.col(c) / 50) % 50
     got = vectors.dense_top_k(v, q).select(F.col("query_id").alias("case_id"), "rank", F.col("chunk_id").alias("doc_id"))
-    return ev.hits_at(cases, got)
+    good = table(spark, d, "labels").where("quality = 1").select("doc_id", F.lit(True).alias("expected")).distinct()
+    found = got.where(F.col("doc_id") % 50 == near("case_id")).join(good, "doc_id")
+    return ev.hits_among(q.select(F.col("query_id").alias("case_id")).distinct(), found)
 
 
 @query(f"WITH {CASES} SELECT * FROM hk")

@@ -73,6 +73,23 @@ def test_rates(spark):
     assert got == {0: True, 1: True, 2: False, 3: False}
 
 
+def test_rates_and_hits_gather_no_groups(spark):
+    from quarry.plans import search
+
+    rows = spark.range(25000).select(F.col("id").alias("event_id"), F.when(F.col("id") % 5 == 0, F.col("id") % 7).alias("user_id"), F.timestamp_seconds(F.col("id") * 40).alias("ts"))
+    out = rates.admitted(rows, config=Config(calls_per_minute=1, calls_per_day=300))
+    got, want, logs = {r.event_id: r.admitted for r in out.collect()}, {}, {}
+    for i in range(25000):
+        log = logs.setdefault(i % 7 if i % 5 == 0 else None, [])
+        want[i] = (not log or i * 40 - log[-1] >= 60) and sum(i * 40 - t < 86400 for t in log[-300:]) < 300
+        log.extend([i * 40] * want[i])
+    assert got == want
+    plans = [out, search.hit_at_k(spark, "/root/testdata/sf0.001")]
+    for df in plans:
+        plan = df._jdf.queryExecution().toString()
+        assert "FlatMapGroups" not in plan and "collect_set" not in plan
+
+
 def test_tables(spark):
     path = folder()
     assert tables.load(spark, path) is None
