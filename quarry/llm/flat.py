@@ -122,11 +122,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def prefix_sums(buf: np.ndarray) -> np.ndarray:
-    """Running polynomial sums; span_hash() takes differences of them."""
+def prefix_sums(buf: np.ndarray, values: np.ndarray = _TABLE) -> np.ndarray:
+    """Running polynomial sums of ``values`` at each symbol; span_hash() takes differences of them."""
     up, _ = powers(len(buf) + 1)
     sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_TABLE[buf] * up[: len(buf)], out=sums[1:])
+    np.cumsum(values[buf] * up[: len(buf)], out=sums[1:])
     return sums
 
 

@@ -12,7 +12,6 @@ don't add up to full bins wouldn't in larger groups either.
 
 from __future__ import annotations
 
-import json
 import math
 import zlib
 from collections.abc import Iterator
@@ -24,48 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm import bpe
 from quarry.llm.flat import slices
 from quarry.session import cut, table
 
 CAPACITY, END_ID = 1024, 2
-_loaded: dict[object, object] = {}
-
-
-def encoder(path: str):
-    """text -> ids array, as the tokenizers library gives them for a byte-level BPE file.
-
-    The vocabulary is read from the same file; a faster reader of it does the
-    work, except for texts with very long words, where its time is quadratic.
-    """
-    if path not in _loaded:
-        import tiktoken
-
-        spec = json.load(open(path, encoding="utf-8"))
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        others = [b for b in range(256) if b not in printable]
-        to_byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
-        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        ranks = {bytes(to_byte[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in special}
-        fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        _loaded[path] = fast
-    fast = _loaded[path]
-
-    def encode(text: str) -> np.ndarray:
-        if len(text) > 400 and max(map(len, text.split()), default=len(text)) > 400:
-            return np.array(_library(path).encode(text, add_special_tokens=False).ids, np.uint32)
-        return fast.encode_to_numpy(text, allowed_special="all")
-
-    return encode
-
-
-def _library(path: str):
-    if ("library", path) not in _loaded:
-        from tokenizers import Tokenizer
-
-        _loaded["library", path] = Tokenizer.from_file(path)
-    return _loaded["library", path]
-
-
 def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32 and, if wanted, the ids.
 
@@ -75,11 +37,10 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_i
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
         for batch in slices(batches, "_text"):
             rows, pieces, starts, lengths, crcs, lists = [], [], [], [], [], []
             for r, text in enumerate(batch.column(1).to_pylist()):
-                ids = np.append(encode(text or ""), end_id).astype("<u4")
+                ids = np.append(bpe.encode(path, text or ""), end_id).astype("<u4")
                 first = len(ids) % capacity or capacity
                 edges = [0, *range(first, len(ids) + 1, capacity)]
                 for k in range(len(edges) - 1):

@@ -21,7 +21,6 @@ chunks gives its count.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm import bpe
 from quarry.llm.flat import flat, slices, strings
 from quarry.session import table
 
@@ -60,12 +60,9 @@ class Machine:
     """The compiled tokenizer of one vocabulary file."""
 
     def __init__(self, path: str):
-        spec = json.load(open(path, encoding="utf-8"))
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        shown = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in printable)}
-        byte_of = {c: b for b, c in shown.items()}
-        self.special = [t["content"].encode() for t in spec["added_tokens"]]
-        words = {bytes(byte_of[c] for c in w): i for w, i in spec["model"]["vocab"].items() if w.encode() not in self.special}
+        spec, byte_of = bpe.file_spec(path), bpe.byte_of()
+        words, special = bpe.ranks(path)
+        self.special = [s.encode() for s in special]
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.rank = {tuple(bytes(byte_of[c] for c in part) for part in m): r for r, m in enumerate(merges)}
         # A trie of the tokens: child nodes by (node, byte), the token that ends at a node, nodes that tokens go on from.

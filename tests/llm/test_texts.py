@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import lm_scoring, pieces, quality, token_counts, toxicity
+from quarry.llm import bpe, lm_scoring, pieces, quality, token_counts, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SF = "/root/testdata/sf0.001"
@@ -112,7 +112,7 @@ def test_noisy_or():
 def test_lm_base_and_score(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    got = lm_scoring.scored(docs, BPE).toPandas().set_index("doc_id")
+    got = lm_scoring.scored(docs, BPE, steps=4).toPandas().set_index("doc_id")
     tokens = {i: [*WORD.findall(low(t)), None] for i, t in rows}
     counts = Counter(w for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 5 != 1 for w in ws)
     n, v = sum(counts.values()), len(counts)
@@ -123,83 +123,128 @@ def test_lm_base_and_score(spark):
     assert (got.score < 0).all()
 
 
+def lm_vocabulary(rng, n=4000):
+    """A vocabulary whose counts come from random neighbours."""
+    ids = np.append(rng.integers(0, 300, n) ** 2 % lm_scoring.IDS, lm_scoring.END)
+    v = lm_scoring.Vocabulary(np.bincount(ids, minlength=lm_scoring.IDS + 1))
+    row = v.row[np.append(lm_scoring.END, ids[:-1])]
+    cell, n = np.unique(row << 16 | v.of[ids], return_counts=True)
+    pair, often = np.unique(row << 16 | ids, return_counts=True)
+    several = (v.of[pair & 0xFFFF] >= lm_scoring.SINGLE) & (often > 1)
+    v.learn(cell >> 16, cell & 0xFFFF, n.astype(float), pair[several], often[several])
+    return v
+
+
 def test_lm_windows_score_each_token_once():
     rng = np.random.default_rng(3)
-    classes = lm_scoring.Classes(rng.integers(0, 9, lm_scoring.IDS + 1))
-    p = lm_scoring.unpacked(lm_scoring.initial(classes))
+    v = lm_vocabulary(rng)
+    w = lm_scoring.initial() + rng.normal(0, 0.2, sum(map(math.prod, lm_scoring.SHAPES.values()))).astype(np.float32)
+    p = lm_scoring.unpacked(w)
     sizes = [1, 17, 18, 19, 70]
     off = np.concatenate(([0], np.cumsum(sizes)))
-    ids = rng.integers(0, lm_scoring.IDS, off[-1])
-    of = classes.of[ids]
-    _, at, _ = lm_scoring.windows(of, off)
+    ids = (rng.integers(0, 300, off[-1]) ** 2 % lm_scoring.IDS).astype(np.uint16)
+    _, at, _ = lm_scoring.windows(ids, off)
     assert sorted(at[at >= 0]) == list(range(off[-1]))
-    got = lm_scoring.log_probs(p, classes, ids, off, batch=3)
+    got = lm_scoring.Scorer(w, v).log_probs(ids, off, batch=3)
     for i, n in enumerate(sizes):  # a token at a time, from the context that its window shows
-        total, mine = 0.0, of[off[i] : off[i + 1]]
+        total, mine = 0.0, ids[off[i] : off[i + 1]]
         for t in range(n):
             first = t // lm_scoring.STRIDE * lm_scoring.STRIDE - lm_scoring.OVERLAP
-            seen = np.array([[mine[q - 1] if 0 < q <= t else lm_scoring.CLASSES for q in range(first, first + lm_scoring.SPAN)]])
-            logits = lm_scoring.forward(p, seen)[0][t % lm_scoring.STRIDE]
-            logits = logits - logits.max()
-            total += logits[mine[t]] - np.log(np.exp(logits).sum()) + classes.log_share[ids[off[i] + t]]
+            seen = v.row[np.array([[mine[q - 1] if 0 < q <= t else lm_scoring.NONE for q in range(first, first + lm_scoring.SPAN)]])]
+            logits = lm_scoring.forward(p, v.prior, seen)[0][t % lm_scoring.STRIDE].astype(float)
+            own = mine[t : t + 1].astype(np.int64)
+            total += logits[v.of[own[0]]] - logits.max() - np.log(np.exp(logits - logits.max()).sum()) + v.within(seen[0, lm_scoring.OVERLAP + t % lm_scoring.STRIDE][None], own)[0]
         assert got[i] == pytest.approx(total, rel=1e-4)
-    share = np.exp(classes.log_share)
-    assert np.bincount(classes.of, share) == pytest.approx(np.ones(lm_scoring.CLASSES))
+
+
+def test_lm_probabilities_sum_to_one():
+    rng = np.random.default_rng(6)
+    v = lm_vocabulary(rng)
+    every = np.arange(lm_scoring.IDS + 1)
+    for before in (lm_scoring.END, 1, 4, 49999, lm_scoring.NONE):
+        row = v.row[before]
+        share = np.exp(v.within(np.full(len(every), row), every))
+        assert np.exp(v.prior[row]).sum() == pytest.approx(1, abs=1e-4)
+        assert np.bincount(v.of, share) == pytest.approx(np.ones(lm_scoring.CLASSES), abs=2e-3)
 
 
 def test_lm_predicts_the_frequent_ids_one_by_one():
     counts = np.zeros(lm_scoring.IDS + 1, np.int64)
-    counts[:95] = 1000 - np.arange(95)
-    of = lm_scoring.Classes(counts).of
+    counts[: lm_scoring.SINGLE - 1] = 1000 - np.arange(lm_scoring.SINGLE - 1)
+    of = lm_scoring.Vocabulary(counts).of
     alone = np.flatnonzero(np.bincount(of, minlength=lm_scoring.CLASSES)[of] == 1)
-    assert set(range(95)) | {lm_scoring.END} <= set(alone)
+    assert set(range(lm_scoring.SINGLE - 1)) | {lm_scoring.END} <= set(alone)
 
 
 def test_lm_gradient():
     rng = np.random.default_rng(1)
-    classes = lm_scoring.Classes(rng.integers(0, 50, lm_scoring.IDS + 1))
-    w = lm_scoring.initial(classes).astype(np.float64) + rng.normal(0, 0.1, sum(map(math.prod, lm_scoring.SHAPES.values())))
-    seen, target = rng.integers(0, lm_scoring.CLASSES + 1, (4, lm_scoring.SPAN)), rng.integers(-1, lm_scoring.CLASSES, (4, lm_scoring.STRIDE))
+    prior = rng.normal(0, 1, (lm_scoring.ROWS + lm_scoring.CLASSES + 1, lm_scoring.CLASSES))
+    w = lm_scoring.initial().astype(np.float64) + rng.normal(0, 0.1, sum(map(math.prod, lm_scoring.SHAPES.values())))
+    seen, target = rng.integers(0, 40, (4, lm_scoring.SPAN)), rng.integers(-1, lm_scoring.CLASSES, (4, lm_scoring.STRIDE))
 
     def loss(x):
-        z = lm_scoring.forward(lm_scoring.unpacked(x), seen)[0]
+        z = lm_scoring.forward(lm_scoring.unpacked(x), prior, seen)[0]
         z = z - z.max(1, keepdims=True)
         z = z - np.log(np.exp(z).sum(1, keepdims=True))
         t = target.reshape(-1)
         return -z[np.flatnonzero(t >= 0), t[t >= 0]].mean()
 
-    g = lm_scoring.gradient(lm_scoring.unpacked(w), seen, target)
-    for i in rng.choice(len(w), 15):
+    g = lm_scoring.gradient(lm_scoring.unpacked(w), prior, seen, target)
+    used = np.concatenate([rng.choice(40 * lm_scoring.WIDTH, 5), rng.choice(np.arange(math.prod(lm_scoring.SHAPES["embed"]), len(w)), 15)])
+    for i in used:
         e = np.zeros_like(w)
         e[i] = 1e-5
         assert g[i] == pytest.approx((loss(w + e) - loss(w - e)) / 2e-5, rel=0.02, abs=1e-4)
 
 
 def test_lm_odd_texts(spark):
-    got = lm_scoring.scored(odd(spark), BPE).toPandas()
+    got = lm_scoring.scored(odd(spark), BPE, steps=4).toPandas()
     assert len(got) == len(ODD) and got.score.notna().all() and np.isfinite(got.base_score).all()
-    assert lm_scoring.scored(odd(spark).limit(0), BPE).count() == 0
+    assert lm_scoring.scored(odd(spark).limit(0), BPE, steps=4).count() == 0
+
+
+def lm_encoded(spark, rows):
+    df = spark.createDataFrame(rows, "_id bigint, _text string").coalesce(1)
+    return lm_scoring.encoded_texts(df.select(F.monotonically_increasing_id().alias("_row"), F.col("_id").alias("_key"), "_id", F.lit(False).alias("_held"), "_text"), BPE)
 
 
-def test_lm_trains_on_whole_texts(spark):
+def test_lm_windows_of_whole_texts(spark):
     rng = np.random.default_rng(4)
-    words = [f"w{k}" for k in range(60)]
-    text = " ".join(rng.choice(words, 4000))
-    classes = lm_scoring.Classes(rng.integers(0, 9, lm_scoring.IDS + 1))
-    weights = []
-    for k in (0.1, 0.3, 0.5, 0.7, 0.9):  # a change anywhere in a long text reaches the weights
-        at = int(k * len(text))
-        df = spark.createDataFrame([(7, text[:at] + " changed words " + text[at:])], "_key bigint, _text string")
-        weights.append(lm_scoring.train(df, classes, BPE, rounds=1).tobytes())
-    assert len(set(weights)) == 5
+    text = " ".join(rng.choice([f"w{k}" for k in range(60)], 4000))
     docs = [(7, text), (7, text), (8, ""), (9, "a " * 17), (10, "a " * 18)]
-    runs = lm_scoring.training_runs(spark.createDataFrame(docs, "_key bigint, _text string").coalesce(1), classes, BPE).collect()
-    encode = lm_scoring.encoder(BPE)
-    want = sum(sum(len(x) // 2 for x in encode([w.encode() for w in t.split()])) + 1 for _, t in docs)
-    rows = np.frombuffer(b"".join(r.ids for r in runs), np.int8).reshape(-1, lm_scoring.SPAN + 1)
-    assert (rows[:, lm_scoring.OVERLAP + 1 :] < lm_scoring.CLASSES).sum() == want
-    assert sum(r.n for r in runs) == len(rows) and max(r.n for r in runs) <= lm_scoring.RUN
-    assert len({r.spread for r in runs}) == len(runs)
+    made = lm_encoded(spark, docs)
+    ids = [np.frombuffer(r.ids, np.uint16) for r in made.where("kind = 0").collect()]
+    opens = bpe.opens_word(BPE)
+    assert [int(opens[x].sum()) for x in ids] == [len(t.split()) for _, t in docs] and all(x[-1] == lm_scoring.END for x in ids)
+    got = lm_scoring.training_windows(made.where("kind = 0"), every=1).collect()
+    rows = np.frombuffer(b"".join(r.window for r in got), np.uint16).reshape(-1, lm_scoring.SPAN + 1)
+    assert (rows[:, lm_scoring.OVERLAP + 1 :] != lm_scoring.NONE).sum() == sum(map(len, ids))
+    assert len({r.spread for r in got}) == len(got)
+    some = lm_scoring.training_windows(made.where("kind = 0"), every=8).count()
+    assert 0.6 * len(got) < 8 * some < 1.5 * len(got)
+    pairs = Counter()
+    for x in ids:
+        pairs.update(zip([lm_scoring.END, *x[:-1].tolist()], x.tolist(), strict=True))
+    assert {(r.key >> 16, r.key & 0xFFFF): r.n for r in made.where("kind = 2").collect()} == pairs
+    assert sum(r.n for r in made.where("kind = 1").collect()) == sum(len(t.split()) + 1 for _, t in docs)
+
+
+def test_lm_long_and_broken_words(spark):
+    rng = random.Random(8)
+    long = "".join(rng.choice("abcde\u00e9!") for _ in range(30000))
+    for w in (long, "x" * 5000, "a<|endoftext|>" * 100, "a\u3000b", "\u00a0"):
+        ids = bpe.encode_word(BPE, w.encode())
+        words = {i: t for t, i in bpe.ranks(BPE)[0].items()}
+        assert b"".join(words[i] for i in ids.tolist()) == (" " + w).encode() and bpe.opens_word(BPE)[ids].sum() == 1
+    assert len(bpe.encode_word(BPE, b"a\xff\xfeb")) > 1
+    got = lm_scoring.scored(spark.createDataFrame([(1, long), (2, long + " b"), (3, "b")], "doc_id bigint, text string"), BPE, steps=4).toPandas().set_index("doc_id")
+    assert got.n_tokens.tolist() == [2, 3, 2] and np.isfinite(got.score).all()
+
+
+def test_lm_training_helps_on_held_out_texts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sums = [lm_scoring.scored(docs, BPE, steps=n).where(lm_scoring.held_out()).agg(F.sum("score")).first()[0] for n in (2, 300)]
+    assert sums[1] > sums[0]
 
 
 def texts():
