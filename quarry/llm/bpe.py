@@ -57,6 +57,18 @@ def encode(path: str, text: str) -> np.ndarray:
     return _reader(path).encode_to_numpy(text, allowed_special="all")
 
 
+def encode_plain(path: str, text: str) -> np.ndarray:
+    """Ids of a text without long runs; special strings are plain text."""
+    return _plain(path).encode_to_numpy(text, disallowed_special=())
+
+
+@lru_cache(2)
+def _plain(path: str):
+    import tiktoken
+
+    return tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(path)[0], special_tokens={})
+
+
 def encode_word(path: str, word: bytes) -> np.ndarray:
     """Ids of a word behind a blank; special strings are plain text, and bytes that are no UTF-8 are taken as they are."""
     try:

@@ -22,8 +22,9 @@ the full sets, in three passes that avoid the pairs of large groups:
    of which at least one isn't linked with the pivot. Two such classes can only be
    linked if what each has different from the pivot agrees to a large part: by the
    prefix principle they share one of their rarest differences, so these are
-   joined, with bounds on sizes and on the numbers of differences; sketches sort
-   out more before the full sets decide.
+   joined, with bounds on sizes and on the numbers of differences (the set that has
+   fewer takes part with a prefix that texts of one template, if not linked, fill
+   with what only they have); sketches sort out more before the full sets decide.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.components import components
-from quarry.llm.flat import LOWER, flat, mix, prefix_sums, slices, span_hash, spans
+from quarry.llm.flat import LOWER, flat, mix, slices, span_hashes, spans
 from quarry.session import cut, table
 
 BINS, BAND = 128, 4
@@ -56,7 +57,8 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     buf, off = flat(texts)
     buf = LOWER[buf]
     starts, ends, bounds = spans(buf, off)
-    words = span_hash(prefix_sums(buf), starts, ends)
+    words = span_hashes(buf, (starts, ends))[0]
+    del starts, ends
     n = max(0, len(words) - width + 1)
     rolled = np.zeros(n, np.uint64)
     for k in range(width):
@@ -77,12 +79,26 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     return out
 
 
-def sketches(sets: list[np.ndarray], bins: int = BINS) -> np.ndarray:
-    """One row of ``bins`` coordinates for each set; those of empty sets have no meaning."""
+def sketches(sets: list[np.ndarray], bins: int = BINS, part: int = 1 << 17) -> np.ndarray:
+    """One row of ``bins`` coordinates for each set; those of empty sets have no meaning.
+
+    Elements are worked on in parts of bounded size: a coordinate is a smallest
+    value, so the parts' sketches combine by their minima.
+    """
     out = np.full((len(sets), bins), np.iinfo(np.uint64).max, np.uint64)
     sizes = np.array([len(s) for s in sets], np.int64)
-    doc = np.repeat(np.arange(len(sets)), sizes)
+    upto = np.concatenate(([0], np.cumsum(sizes)))
     element = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    for a in range(0, len(element), part):
+        b = min(a + part, len(element))
+        i, j = int(np.searchsorted(upto, a, side="right")) - 1, int(np.searchsorted(upto, b))
+        edges = np.clip(upto[i : j + 1], a, b)
+        np.minimum(out[i:j], _sketches(np.repeat(np.arange(j - i), np.diff(edges)), element[a:b], j - i, bins), out=out[i:j])
+    return out
+
+
+def _sketches(doc: np.ndarray, element: np.ndarray, docs: int, bins: int) -> np.ndarray:
+    out = np.full((docs, bins), np.iinfo(np.uint64).max, np.uint64)
     every, low = out.reshape(-1), np.uint64((1 << 56) - 1)
     for i in range(2 * bins):
         if not len(element):
@@ -165,12 +181,14 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.take(pa.array(np.flatnonzero((p == q).sum(axis=1) >= LEAST_EQUAL))).select(["a", "b"])
 
 
-#: Bits of the filter that keeps texts without candidates out of a shuffle: 2 MB, whatever the input.
-FILTER_WORDS = 1 << 18
+#: Words of the filter that keeps texts without candidates out of a shuffle: 2 MB. Where more ids would fill it, the join alone decides.
+FILTER_WORDS, FILTER_VALUES = 1 << 18, 1 << 22
 
 
 def _only_near(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` (_id, _text) without most rows whose id isn't in ``ids`` (rep); a join with ``ids`` decides."""
+    if ids.count() > FILTER_VALUES:
+        return docs
     h = F.xxhash64("rep")
     words = np.zeros(FILTER_WORDS, np.int64)
     bits = ids.groupBy(F.pmod(h, F.lit(FILTER_WORDS)).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(shiftrightunsigned(xxhash64(rep), 32), 64) as int))")).alias("b"))
@@ -195,8 +213,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_colum
     their shingle sets, with ``percent`` 80 at least. Null and empty texts have
     empty sets and are linked with nothing. Ids are bigint; rows that repeat an
     id get the component that its texts have together at the smallest class;
-    rows with a null id are kept, with a null component. An empty table gives
-    an empty result. Other columns are dropped.
+    rows with a null id are kept, with a null component. Very long texts are
+    compared whole; their sets are one row. An empty table gives an empty
+    result. Other columns are dropped.
     """
     if percent < 80:
         raise ValueError("the bands are laid out for a similarity of 0.8 or more")
@@ -213,7 +232,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_colum
     pivots = pivots.select("band", (-F.col("p.minus")).alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.weight").alias("pivot_weight"))
     members = cut(members.drop("size").join(pivots, "band"))
     fits = lambda x, y: (F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y))
-    near = members.select("rep").distinct()
+    near = cut(members.select("rep").distinct())
     texts = _only_near(docs, near).join(near, F.col("_id") == F.col("rep"), "left_semi")
     # Rows that repeat an id must not stand in for the class; its own set is told by the fingerprint.
     sets = texts.mapInArrow(_sets(width), "rep bigint, elements binary").join(classes.select("rep", "print"), "rep").where(F.unhex(F.md5("elements")) == F.col("print")).select("rep", "elements").dropDuplicates(["rep"])
@@ -246,15 +265,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_colum
     deltas = cut(both.mapInArrow(_deltas, "pivot bigint, rep bigint, n bigint, component bigint, outside boolean, d bigint, element bigint"))
     holders = deltas.groupBy("pivot", "element").agg(F.count("*").alias("holders"), F.bool_or("outside").alias("met"))
     share = (100 - percent) / (100 + percent)  # two sets are linked if they differ in so much of their sizes' sum at most
-    least = F.when(F.col("outside"), F.ceil(F.col("d") - share * (1 + 100 / percent) * F.col("n") - 1e-6)).otherwise(F.ceil((1 - share) / 2 * F.col("d") - 1e-6))
+    # Linked sets agree in (weight + weight) / 2 of their differences or more, which is the smaller weight at least.
+    weight = F.col("d") - share * F.col("n")
+    wide = F.when(F.col("outside"), F.ceil(F.col("d") - share * (1 + 100 / percent) * F.col("n") - 1e-6)).otherwise(F.ceil((1 - share) / 2 * F.col("d") - 1e-6))
+    within = lambda least: F.col("at") <= F.col("d") - F.greatest(least, F.lit(1)) + 1
     rarest = Window.partitionBy("pivot", "rep").orderBy("holders", "element")
-    kept = deltas.join(holders, ["pivot", "element"]).withColumn("at", F.row_number().over(rarest)).where((F.col("at") <= F.col("d") - F.greatest(least, F.lit(1)) + 1) & (F.col("holders") > 1) & F.col("met"))
-    kept = cut(kept.select("pivot", "element", "rep", "n", "component", "outside", "d", "at"))
-    side = lambda s: kept.select("pivot", "element", *(F.col(c).alias(f"{c}_{s}") for c in ("n", "d", "component", "outside", "at")), F.col("rep").alias(s))
+    kept = deltas.join(holders, ["pivot", "element"]).withColumn("at", F.row_number().over(rarest)).where(within(wide) & (F.col("holders") > 1) & F.col("met"))
+    kept = cut(kept.select("pivot", "element", "rep", "n", "component", "outside", "d", "at", weight.alias("w"), within(F.ceil(weight - 1e-6)).alias("narrow")))
+    side = lambda s: kept.select("pivot", "element", *(F.col(c).alias(f"{c}_{s}") for c in ("n", "d", "component", "outside", "at", "w", "narrow")), F.col("rep").alias(s))
     # No more differences than those from here on can agree, if this is the first that does.
     agree = 1 + F.least(F.col("d_a") - F.col("at_a"), F.col("d_b") - F.col("at_b"))
-    enough = 2 * agree >= F.col("d_a") + F.col("d_b") - share * (F.col("n_a") + F.col("n_b")) - 1e-6
-    third = side("a").where("outside_a").join(side("b"), ["pivot", "element"]).where(enough & (F.col("component_a") != F.col("component_b")) & (~F.col("outside_b") | (F.col("a") < F.col("b"))) & fits(F.col("n_a"), F.col("n_b")) & (F.abs(F.col("d_a") - F.col("d_b")) <= share * (F.col("n_a") + F.col("n_b")) + 1e-6))
+    enough = 2 * agree >= F.col("w_a") + F.col("w_b") - 1e-6
+    possible = enough & (F.col("component_a") != F.col("component_b")) & fits(F.col("n_a"), F.col("n_b")) & (F.abs(F.col("d_a") - F.col("d_b")) <= share * (F.col("n_a") + F.col("n_b")) + 1e-6)
+    # Of two sets outside, that of the smaller weight takes part with its narrow prefix: what a template's copies have in common is behind it.
+    smaller = (F.col("w_a") < F.col("w_b")) | ((F.col("w_a") == F.col("w_b")) & (F.col("a") < F.col("b")))
+    apart = side("a").where("outside_a AND narrow_a").join(side("b").where("outside_b"), ["pivot", "element"]).where(possible & smaller).select("a", "b")
+    third = apart.union(side("a").where("NOT outside_a").join(side("b").where("outside_b"), ["pivot", "element"]).where(possible).select("a", "b"))
     third = third.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     third = third.select("a", "b").distinct().join(first.union(second), ["a", "b"], "left_anti")
     seen = classes.select("rep", "sketch")

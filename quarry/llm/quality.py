@@ -18,45 +18,61 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.flat import SPACE, flat, mix, prefix_sums, slices, span_hash, spans
+from quarry.llm.carried import renamed, restored
+from quarry.llm.flat import SPACE, Tally, blocks, counts_at, flat, mix, slices, span_hashes, spans
 from quarry.session import cut, table
 
-ORDER = 4
-#: Distinct n-grams a model may have; beyond them it is built one order lower (order 3 has 2**24 at most).
-MODEL_ROWS = 4_000_000
+#: There are 2**24 n-grams of this order at most, so the model is bounded whatever the input.
+ORDER = 3
 #: Width of a band above and below, in median deviations.
 BAND = 6.0
+#: Bands are sent to all tasks up to so many languages; more meet the rows in a join by language.
+SENT_BANDS = 10_000
 SYMBOLS = b"#*$%&|<>"
 _BLANKS = 0x2020202020202020
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def grams(buf: np.ndarray, off: np.ndarray, order: int) -> np.ndarray:
-    """The n-gram that ends at each byte; blanks stand before a text."""
+def grams(buf: np.ndarray, starts: np.ndarray, order: int) -> np.ndarray:
+    """The n-gram that ends at each byte; blanks stand before each text, which begin at ``starts``."""
     out = np.zeros(len(buf), np.uint64)
     for k in range(order - 1, -1, -1):
         out <<= np.uint64(8)
         out[k:] |= buf[: len(buf) - k]
+    ends = np.append(starts[1:], len(buf))
     for k in range(order - 1):  # the first bytes of a text don't see the text before
-        at = off[:-1] + k
-        at = at[at < off[1:]]
+        at = starts + k
+        at = at[at < ends]
         mask = np.uint64((1 << 8 * (k + 1)) - 1)
         out[at] = (out[at] & mask) | (np.uint64(_BLANKS & ((1 << 8 * order) - 1)) & ~mask)
     return out
 
 
+def gram_blocks(buf: np.ndarray, off: np.ndarray, order: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Bounds of each block of bytes and the n-grams that end in it."""
+    starts = off[:-1][off[:-1] < off[1:]]
+    for a, b in blocks(len(buf)):
+        lo = max(0, a - order + 1)
+        some = starts[np.searchsorted(starts, lo) : np.searchsorted(starts, b)]
+        yield a, b, grams(buf[lo:b], some - lo, order)[a - lo :]
+
+
 def counted(texts: DataFrame, order: int = ORDER) -> DataFrame:
     """(gram, n) over all texts; each task adds up its own counts first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        seen = Tally()
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in seen.taken()], ["gram", "n"])
+
         for batch in slices(batches, "_text"):
-            new, n = np.unique(grams(*flat(batch.column(0)), order), return_counts=True)
-            both, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            keys, counts = both, np.bincount(at, np.concatenate([counts, n]), len(both)).astype(np.int64)
-            if len(keys) > MODEL_ROWS:
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["gram", "n"])
-                keys, counts = keys[:0], counts[:0]
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["gram", "n"])
+            for _, _, g in gram_blocks(*flat(batch.column(0)), order):
+                keys, n = np.unique(g.astype(np.uint32) if order < 5 else g, return_counts=True)
+                seen.add(keys.astype(np.uint64).view(np.int64), n)
+            if len(seen.keys) > 2_000_000:
+                yield rows()
+        yield rows()
 
     return texts.mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -121,55 +137,69 @@ class KneserNey:
 
     def scores(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Sum of log probabilities of each text's bytes."""
-        distinct, at = np.unique(grams(buf, off, self.order), return_inverse=True)
-        sums = np.concatenate(([0], np.cumsum(self.log_probs(distinct)[at])))
-        return sums[off[1:]] - sums[off[:-1]]
+        out = np.zeros(len(off) - 1)
+        for a, b, g in gram_blocks(buf, off, self.order):
+            distinct, at = np.unique(g, return_inverse=True)
+            sums = np.concatenate(([0], np.cumsum(self.log_probs(distinct)[at])))
+            i, j = int(np.searchsorted(off, a, side="right")) - 1, int(np.searchsorted(off, b))
+            edges = np.clip(off[i : j + 1], a, b) - a
+            out[i:j] += sums[edges[1:]] - sums[edges[:-1]]
+        return out
+
+
+def fit(docs: DataFrame, text_column: str = "text", order: int = ORDER) -> KneserNey:
+    """The model of all texts of ``docs``."""
+    texts = docs.select(F.col(f"`{text_column}`").cast("string").alias("_text"))
+    got = counted(texts, order).toPandas().sort_values("gram")  # as many rows as there are n-grams
+    return KneserNey(got["gram"].to_numpy().view(np.uint64), got["n"].to_numpy(), order)
 
 
-def fit(docs: DataFrame, text_column: str = "text", order: int = ORDER, limit: int = MODEL_ROWS) -> KneserNey:
-    """The model of all texts of ``docs``; an order lower where the n-grams are more than ``limit``."""
-    texts = docs.select(F.col(text_column).cast("string").alias("_text"))
-    table_ = cut(counted(texts, order))
-    while order > 3 and table_.count() > limit:
-        order -= 1
-        table_ = cut(counted(texts, order))
-    got = table_.toPandas().sort_values("gram")
-    keys, counts = got["gram"].to_numpy().view(np.uint64), got["n"].to_numpy()
-    return KneserNey(keys, counts, order)
+def _repeated(hashes: np.ndarray) -> np.ndarray:
+    """Which values stand there more than once."""
+    by = np.sort(hashes)
+    twice = np.unique(by[1:][by[1:] == by[:-1]])
+    del by
+    if not len(twice):
+        return np.zeros(len(hashes), bool)
+    return twice[np.minimum(np.searchsorted(twice, hashes), len(twice) - 1)] == hashes
 
 
 def measures(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     """The base measures of each text."""
     n = len(off) - 1
-    doc_sum = lambda flags: (lambda c: c[off[1:]] - c[off[:-1]])(np.concatenate(([0], np.cumsum(flags))))
     symbol = np.zeros(256, bool)
     symbol[list(SYMBOLS)] = True
+    solid = ~SPACE & ((np.arange(256) & 0xC0) != 0x80)
+    of_texts = lambda which: np.diff(counts_at(buf, which, off)[0])
     starts, ends, bounds = spans(buf, off)
-    sums = prefix_sums(buf)
-    words = span_hash(sums, starts, ends)
-    text_of = np.repeat(np.arange(n), np.diff(bounds))
-    odd = np.uint64(0x9E3779B97F4A7C15)
+    words = span_hashes(buf, (starts, ends))[0]
+    del starts, ends
+    text_of = np.repeat(np.arange(n, dtype=np.int32), np.diff(bounds))
     rolled = np.zeros(max(0, len(words) - 7), np.uint64)
     for k in range(8):
-        rolled = rolled * odd + words[k : k + len(rolled)]
+        rolled *= _ODD
+        rolled += words[k : k + len(rolled)]
     whole = text_of[: len(rolled)] == text_of[7:] if len(rolled) else np.zeros(0, bool)
+    rolled += text_of[: len(rolled)].astype(np.uint64) * _ODD
     at = np.flatnonzero(whole)
-    _, same, times = np.unique(mix(rolled[at] + text_of[at].astype(np.uint64) * odd), return_inverse=True, return_counts=True)
-    repeated = at[times[same] > 1]
-    cover = np.bincount(repeated, minlength=len(words) + 1) - np.bincount(repeated + 8, minlength=len(words) + 1)[: len(words) + 1]
-    covered = np.cumsum(cover)[: len(words)] > 0
+    repeated = at[_repeated(mix(rolled[at]))]
+    del rolled, at
+    cover = np.zeros(len(words) + 1, np.int32)
+    cover[repeated] += 1
+    cover[repeated + 8] -= 1
+    covered = np.cumsum(cover, dtype=np.int32)[: len(words)] > 0
     newline = np.zeros(256, bool)
     newline[10] = True
     a, b, lines = spans(buf, off, newline)
-    solid = np.concatenate(([0], np.cumsum(~SPACE[buf])))
-    full = solid[b] > solid[a]
+    before, behind = counts_at(buf, ~SPACE, a, b)
+    full = behind > before
     line_text = np.repeat(np.arange(n), np.diff(lines))[full]
-    h = mix(span_hash(sums, a[full], b[full]) + line_text.astype(np.uint64) * odd)
+    h = mix(span_hashes(buf, (a[full], b[full]))[0] + line_text.astype(np.uint64) * _ODD)
     first = np.unique(h, return_index=True)[1]
     return {
         "n_words": np.diff(bounds),
-        "word_chars": doc_sum(~SPACE[buf] & ((buf & 0xC0) != 0x80)),
-        "n_symbols": doc_sum(symbol[buf]),
+        "word_chars": of_texts(solid),
+        "n_symbols": of_texts(symbol),
         "n_dup_lines": np.bincount(line_text, minlength=n) - np.bincount(line_text[first], minlength=n),
         "n_repeat_words": np.bincount(text_of[covered], minlength=n),
         "n_bytes": np.diff(off),
@@ -186,13 +216,16 @@ def assessed(docs: DataFrame, carry: list[str] | None = None, text_column: str =
     8-word windows. ``kept`` is false then, else if the log perplexity is outside
     its language's band. A null text has no words, and so fails; a null language
     is a language of its own; repeated rows are assessed one by one. Columns of
-    ``docs`` with names of the result's are replaced. An empty table gives an
-    empty result.
+    ``docs`` with names of the result's are replaced. Very long texts are measured
+    whole, in blocks; a task holds some 10 bytes for each of theirs. An empty
+    table gives an empty result.
     """
     results = [*MEASURES, "log_perplexity", "base_failed", "kept"]
     model = model or fit(docs, text_column)
     carry = [c for c in (carry or docs.columns) if c not in results]
-    rows = docs.select(*carry, F.col(text_column).cast("string").alias("_text"), F.col(lang_column).cast("string").alias("_lang"))
+    text, lang = (F.col(f"`{c}`").cast("string") for c in (text_column, lang_column))
+    rows = docs.select(*renamed(carry), text.alias("_text"), lang.alias("_lang"))
+    names = rows.columns[: len(carry)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
@@ -200,12 +233,13 @@ def assessed(docs: DataFrame, carry: list[str] | None = None, text_column: str =
             m = measures(buf, off)
             x = -model.scores(buf, off) / np.maximum(m["n_bytes"], 1)
             cols = [*(batch.column(i) for i in range(len(carry))), batch.column(len(carry) + 1), *(pa.array(m[k].astype(np.int64)) for k in MEASURES), pa.array(x)]
-            yield pa.RecordBatch.from_arrays(cols, [*carry, "_lang", *MEASURES, "log_perplexity"])
+            yield pa.RecordBatch.from_arrays(cols, [*names, "_lang", *MEASURES, "log_perplexity"])
 
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*carry).schema)
+    fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema[: len(carry)])
+    # Written with the columns that are carried, so that texts are read and measured once and not shuffled.
     scored = cut(rows.mapInArrow(run, f"{fields}_lang string, {', '.join(f'{k} bigint' for k in MEASURES)}, log_perplexity double"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    long = scored.where(~failed).withColumn("_x", F.col("log_perplexity"))
+    long = scored.where(~failed).select("_lang", "n_bytes", F.col("log_perplexity").alias("_x"))
 
     def median(df: DataFrame, value, step: float, name: str) -> DataFrame:
         """By language, from a histogram of steps whose size doesn't depend on the rows."""
@@ -215,13 +249,15 @@ def assessed(docs: DataFrame, carry: list[str] | None = None, text_column: str =
         return bins.where(2 * F.col("_upto") >= F.col("_all")).groupBy("_lang").agg(((F.min("_bin") + 0.5) * step).alias(name))
 
     same = lambda a, b: a.join(b.withColumnRenamed("_lang", "_l"), F.col("_lang").eqNullSafe(F.col("_l")), "left").drop("_l")
-    middle = median(long, F.col("_x"), 0.001, "_middle")
+    middle = cut(median(long, F.col("_x"), 0.001, "_middle"))
+    few = middle.count() <= SENT_BANDS
+    sent = lambda df: F.broadcast(df) if few else df
     away = (F.col("_x") - F.col("_middle")) * F.sqrt("n_bytes")
-    spread = median(same(long, middle), F.abs(away), 0.01, "_spread")
+    spread = median(same(long, sent(middle)), F.abs(away), 0.01, "_spread")
     bands = same(middle, spread)
-    out = same(scored, bands).withColumn("_x", F.col("log_perplexity"))
+    out = same(scored, sent(bands)).withColumn("_x", F.col("log_perplexity"))
     inside = F.coalesce(F.abs(away) <= F.lit(band) * F.col("_spread"), F.lit(True))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & inside).select(*carry, *results)
+    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & inside).select(*restored(carry), *results)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

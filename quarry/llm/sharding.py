@@ -9,7 +9,10 @@ rows locally and deals them out by its row of the matrix; every block permutes
 what it got. The result is a uniform shuffle with exact shard sizes.
 
 A shard is cut into blocks of about ``rows_per_part`` rows (slots run on across
-a shard's blocks), so that no task holds a whole shard.
+a shard's blocks), so that no task holds a whole shard. Where there are more blocks
+than a matrix may have columns, rows are dealt in levels: first to stretches of
+blocks, then within each stretch, each time by matrices of their own. A level is
+uniform given the one before, so the whole is.
 """
 
 from __future__ import annotations
@@ -21,21 +24,69 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.session import table
-
-#: Bounds of the matrix: partitions and blocks. It has 4 million cells at most.
-MAX_SIDE = 2048
-
-
-def communication_matrix(parts: np.ndarray, blocks: np.ndarray, seed: int) -> np.ndarray:
+from quarry.session import cut, table
+
+#: Partitions of a level and blocks at most; a task's rows are the table's by this number, once these exceed ``rows_per_part``.
+MAX_PARTS = 1 << 16
+#: Columns of a matrix, and cells of a level's matrices.
+MAX_FAN, MAX_CELLS = 256, 1 << 22
+#: Numpy draws hypergeometric numbers from fewer rows than this.
+NUMPY_ROWS = 10**9
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
+    """How many of ``good`` rows are among ``sample`` rows drawn from ``good`` + ``bad``, of any size."""
+    if good + bad < NUMPY_ROWS:
+        return int(rng.hypergeometric(good, bad, sample)) if good + bad else 0
+    total = good + bad
+    if good > bad:
+        return sample - hypergeometric(rng, bad, good, sample)
+    if 2 * sample > total:
+        return good - hypergeometric(rng, good, bad, total - sample)
+    return _rejected(rng, good, bad, sample)
+
+
+def _rejected(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
+    """By ratio of uniforms around the mode, or from 0 upwards where few are expected (good <= bad, sample at most half)."""
+    total, top = good + bad, min(good, sample)
+    mean = sample * good / total
+    log = lambda k: -(math.lgamma(k + 1) + math.lgamma(good - k + 1) + math.lgamma(sample - k + 1) + math.lgamma(bad - sample + k + 1))
+    if mean < 30:
+        left = rng.random()
+        p = math.exp(log(0) + sum(math.lgamma(x + 1) for x in (good, bad, sample, total - sample)) - math.lgamma(total + 1))
+        for k in range(top):
+            left -= p
+            if left <= 0:
+                return k
+            p *= (good - k) * (sample - k) / ((k + 1) * (bad - sample + k + 1))
+        return top
+    spread = math.sqrt(mean * (1 - good / total) * (total - sample) / (total - 1) + 0.5)
+    width = 2 * math.sqrt(2 / math.e) * spread + 3 - 2 * math.sqrt(3 / math.e)
+    peak = log(int((sample + 1) * (good + 1) / (total + 2)))
+    while True:
+        u, v = rng.random(), rng.random()
+        x = mean + 0.5 + width * (v - 0.5) / u if u else -1.0
+        if 0 <= x < top + 1 and 2 * math.log(u) <= log(int(x)) - peak:
+            return int(x)
+
+
+def communication_matrix(parts: np.ndarray, blocks: np.ndarray, seed: int | list[int]) -> np.ndarray:
     """Random matrix of counts with row sums ``parts`` and column sums ``blocks``."""
     if parts.sum() != blocks.sum():
         raise ValueError("partitions and blocks hold different numbers of rows")
     rng, left = np.random.default_rng(seed), blocks.astype(np.int64).copy()
     out = np.zeros((len(parts), len(blocks)), np.int64)
-    for p, n in enumerate(parts):
-        # The marginals method draws a cell at a time and takes large counts.
-        out[p] = rng.multivariate_hypergeometric(left, int(n), method="marginals") if n else 0
+    for p, n in enumerate(parts.tolist()):
+        if not n:
+            continue
+        if left.sum() < NUMPY_ROWS:
+            out[p] = rng.multivariate_hypergeometric(left, n, method="marginals")
+        else:  # a cell at a time
+            rest, todo = int(left.sum()), n
+            for b, size in enumerate(left.tolist()):
+                rest -= size
+                out[p, b] = hypergeometric(rng, size, rest, todo)
+                todo -= int(out[p, b])
         left -= out[p]
     return out
 
@@ -64,37 +115,57 @@ def shuffle_into_shards(df: DataFrame, identity: list[str], n_shards: int, seed:
     """
     df = df.drop("shard", "slot")
     total = df.count()
-    per_part = max(rows_per_part, math.ceil(total / MAX_SIDE))
-    n_parts = max(1, math.ceil(total / per_part))
-    per_shard = max(1, min(math.ceil(total / n_shards / per_part), MAX_SIDE // n_shards or 1))
-    dealt = df.withColumn("_part", F.pmod(F.xxhash64(*identity), F.lit(n_parts)).cast("int"))
-    counts = np.zeros(n_parts, np.int64)
-    for row in dealt.groupBy("_part").count().collect():  # MAX_SIDE rows at most
-        counts[row["_part"]] = row["count"]
-    size, shard, first = block_sizes(total, n_shards, per_shard)
-    matrix = communication_matrix(counts, size, seed)
+    per_part = max(rows_per_part, math.ceil(total / MAX_PARTS))
+    size, shard, first = block_sizes(total, n_shards, max(1, math.ceil(total / n_shards / per_part)))
+    upto = np.concatenate(([0], np.cumsum(size)))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    all_parts = max(1, math.ceil(total / per_part))
+    fan = max(2, min(MAX_FAN, MAX_CELLS // all_parts))
 
     def ordered(pdf: pd.DataFrame, where: int, step: int) -> pd.DataFrame:
         pdf = pdf.sort_values(identity, kind="stable", na_position="first", ignore_index=True)
         return pdf.iloc[np.random.default_rng([seed, step, where]).permutation(len(pdf))].reset_index(drop=True)
 
-    def deal(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = ordered(pdf, int(key[0]), 1)
-        pdf["_block"] = np.repeat(np.arange(len(size)), matrix[int(key[0])]).astype(np.int32)
-        return pdf.drop(columns="_part")
+    def level(rows: DataFrame, stretch: int, step: int) -> tuple[DataFrame, int]:
+        """Deals rows of stretches (``_block``: a stretch's number) of so many blocks to shorter ones."""
+        shorter = math.ceil(stretch / fan)
+        stretches = math.ceil(len(size) / stretch)
+        n_parts = math.ceil(all_parts / stretches)
+        part = F.col("_block") * n_parts + F.pmod(F.xxhash64(*identity, F.lit(step)), F.lit(n_parts))
+        dealt = rows.withColumn("_part", part.cast("int")).drop("_block")
+        counts = np.zeros(stretches * n_parts, np.int64)
+        for row in dealt.groupBy("_part").count().collect():  # MAX_PARTS rows and one for each stretch at most
+            counts[row["_part"]] = row["count"]
+        matrix, base = [], []
+        for s in range(stretches):
+            edges = np.append(np.arange(s * stretch, min((s + 1) * stretch, len(size)), shorter), min((s + 1) * stretch, len(size)))
+            drawn = communication_matrix(counts[s * n_parts : (s + 1) * n_parts], np.diff(upto[edges]), [seed, step, s])
+            matrix += [row.astype(np.int32) for row in drawn]
+            base += [edges[0] // shorter] * n_parts
+
+        def deal(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            p = int(key[0])
+            pdf = ordered(pdf, p, 2 * step + 1)
+            pdf["_block"] = (base[p] + np.repeat(np.arange(len(matrix[p])), matrix[p])).astype(np.int32)
+            return pdf.drop(columns="_part")
+
+        return dealt.groupBy("_part").applyInPandas(deal, f"{fields}, _block int"), shorter
+
+    rows, stretch, step = df.withColumn("_block", F.lit(0)), len(size), 0
+    # Stretches of a power of the fan keep to each other's bounds.
+    stretch = fan ** max(1, math.ceil(math.log(max(stretch, 2), fan) - 1e-9)) if stretch > fan else stretch
+    while step == 0 or stretch > 1:
+        rows, stretch = level(rows, stretch, step)
+        rows, step = rows if stretch == 1 else cut(rows), step + 1
 
     def place(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         b = int(key[0])
-        pdf = ordered(pdf, b, 2)
+        pdf = ordered(pdf, b, 0)
         pdf["shard"] = np.int32(shard[b])
         pdf["slot"] = first[b] + np.arange(len(pdf), dtype=np.int64)
         return pdf.drop(columns="_block")
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return (
-        dealt.groupBy("_part").applyInPandas(deal, f"{fields}, _block int")
-        .groupBy("_block").applyInPandas(place, f"{fields}, shard int, slot bigint")
-    )
+    return rows.groupBy("_block").applyInPandas(place, f"{fields}, shard int, slot bigint")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

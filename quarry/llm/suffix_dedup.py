@@ -26,28 +26,45 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.column_bwt import equal_windows
-from quarry.llm.flat import flat, give_back, mix, prefix_sums, slices, span_hash
+from quarry.llm.carried import renamed, restored
+from quarry.llm.flat import blocks, flat, give_back, mix, slices, span_hashes
 from quarry.session import cut, table
 
 WIDTH, CORE = 100, 40
 #: Segments of a key that one collection takes, and those of a collection.
 CLASS_LIMIT, COLLECTION = 2000, 2000
-#: 64-bit words of the filters that keep keys and documents without a partner out of a shuffle: 4 MB, whatever the input.
+#: 64-bit words of the filters that keep keys and documents without a partner out of a shuffle: 4 MB.
 FILTER_WORDS = 1 << 19
+#: A filter that more values fill lets too much pass; a join does its work then.
+FILTER_VALUES = 1 << 23
 _BYTE = np.random.default_rng(97).integers(1, 2**32, 256, dtype=np.uint32) | np.uint32(1)
 _NEVER = np.uint64(2**64 - 1)
 
 
 def occurrences(buf: np.ndarray, off: np.ndarray, width: int = WIDTH, core: int = CORE) -> tuple[np.ndarray, ...]:
-    """Text, first window, number of windows, anchor, key hash and segment hash of every occurrence."""
+    """Text, first window, number of windows, anchor, key hash and segment hash of every occurrence.
+
+    Windows are looked at in blocks, and an occurrence ends with its block, so
+    what a task holds doesn't grow with a text.
+    """
+    parts = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2]
+    for a, b in blocks(max(0, len(buf) - width + 1)):
+        stop = b + width - 1
+        edges = off[np.searchsorted(off, a, side="right") : np.searchsorted(off, stop)]
+        starts, *rest = _occurrences(buf[a:stop], edges - a, width, core)
+        parts.append((starts + a, rest[0], rest[1] + a, *rest[2:]))
+    starts, count, anchor, key, segment = (np.concatenate(x) for x in zip(*parts, strict=True))
+    text = np.searchsorted(off, starts, side="right") - 1
+    return text, starts - off[text], count, anchor - off[text], key, segment
+
+
+def _occurrences(buf: np.ndarray, edges: np.ndarray, width: int, core: int) -> tuple[np.ndarray, ...]:
+    """The same for the windows of one block, with places in the block; texts begin at ``edges`` too."""
     n = len(buf) - width + 1
-    none = (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
-    if n <= 0:
-        return none
     h, step = _BYTE[buf], 1
     while step < 8:
         h = h[:-step] * np.uint32(pow(0x9E3779B1, step, 1 << 32)) + h[step:]
@@ -63,24 +80,25 @@ def occurrences(buf: np.ndarray, off: np.ndarray, width: int = WIDTH, core: int
         low = np.minimum(low[:-step], low[step:])
         step *= 2
     low = np.minimum(low[:n], low[span - step : span - step + n])
-    text = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    inside = text[:n] == text[width - 1 :]
+    inside = np.ones(n, bool)
+    for e in edges.tolist():  # windows that cross into the next text
+        inside[max(0, e - width + 1) : e] = False
     edge = np.ones(n, bool)
-    edge[1:] = (low[1:] != low[:-1]) | (text[1:n] != text[: n - 1]) | ~inside[:-1]
+    edge[1:] = (low[1:] != low[:-1]) | ~inside[:-1]
     starts = np.flatnonzero(edge & inside)
     if not len(starts):
-        return none
+        return (starts,) * 3 + (np.zeros(0, np.uint64),) * 2
     breaks = np.append(np.flatnonzero(edge | ~inside), n)
     count = breaks[np.searchsorted(breaks, starts, side="right")] - starts
     anchor = (np.uint64(0xFFFFFFFF) - (low[starts] & np.uint64(0xFFFFFFFF))).astype(np.int64)
-    sums = prefix_sums(buf)
-    key = span_hash(sums, anchor, anchor + core)
-    segment = mix(span_hash(sums, starts, starts + count - 1 + width) + (anchor - starts).astype(np.uint64))
-    return text[starts], starts - off[text[starts]], count, anchor - off[text[starts]], key, segment
+    key, segment = span_hashes(buf, (anchor, anchor + core), (starts, starts + count - 1 + width))
+    return starts, count, anchor, key, mix(segment + (anchor - starts).astype(np.uint64))
 
 
-def _bits(rows: DataFrame, column: str) -> np.ndarray:
-    """A filter that holds every value of ``column``; FILTER_WORDS rows come to the driver at most."""
+def _bits(rows: DataFrame, column: str) -> np.ndarray | None:
+    """A filter that holds every value of ``column``; None if they are too many. FILTER_WORDS rows come to the driver at most."""
+    if rows.count() > FILTER_VALUES:
+        return None
     word = F.pmod(F.col(column), F.lit(FILTER_WORDS)).alias("w")
     place = F.expr(f"bit_or(shiftleft(1L, cast(pmod(shiftrightunsigned(`{column}`, 40), 64) as int)))").alias("b")
     got = rows.groupBy(word).agg(place).toPandas()
@@ -89,16 +107,18 @@ def _bits(rows: DataFrame, column: str) -> np.ndarray:
     return words
 
 
-def _held(words: np.ndarray, values: np.ndarray) -> np.ndarray:
+def _held(words: np.ndarray | None, values: np.ndarray) -> np.ndarray:
+    if words is None:
+        return np.ones(len(values), bool)
     signed = values.astype(np.int64)
     place = (signed.view(np.uint64) >> np.uint64(40)) % np.uint64(64)
     return (words[signed % len(words)] >> place) & np.uint64(1) == 1
 
 
-def numbered(docs: DataFrame, id_column: str, text_column: str, carry: list[str] | None = None) -> DataFrame:
+def numbered(docs: DataFrame, id_column: str, text_column: str, carry: list[Column] | None = None) -> DataFrame:
     """_doc (in the order of ids, ties by text), _id, _text and ``carry``; rows alike in id and text are one document."""
-    carry = carry or []
-    rows = docs.select(F.col(id_column).cast("long").alias("_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).cast("binary").alias("_text"), *carry)
+    rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")).cast("binary").alias("_text"), *(carry or []))
+    carry = rows.columns[2:]
     known = rows.groupBy("_id").count()
     if known.where("count > 1 OR _id IS NULL").isEmpty():
         return rows.select(F.col("_id").alias("_doc"), "_id", "_text", *carry)
@@ -117,7 +137,7 @@ def _keys(width: int, core: int):
     return run
 
 
-def _shared(width: int, core: int, words: np.ndarray):
+def _shared(width: int, core: int, words: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
             text, start, n, anchor, key, segment = occurrences(*flat(batch.column(1)), width, core)
@@ -202,11 +222,11 @@ def _windows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "bytes", 1 << 18):
             buf, off = flat(batch.column(2))
-            sums, n = prefix_sums(buf), np.diff(off) - width + 1
+            n = np.diff(off) - width + 1
             part = np.repeat(np.arange(len(n)), n)
             inner = np.arange(len(part)) - np.repeat(np.cumsum(n) - n, n)
             at = off[part] + inner
-            h = span_hash(sums, at, at + width)
+            h = span_hashes(buf, (at, at + width))[0]
             doc, start = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64)[part] for k in (0, 1))
             by = np.lexsort((start + inner, doc, h))
             keep = np.ones(len(by), bool)
@@ -229,12 +249,21 @@ def _removed(owner: np.ndarray, at: np.ndarray, n: np.ndarray, kind: np.ndarray,
     base = np.concatenate(([0], np.cumsum(end + 1)))  # a free place parts documents
     place = base[owner] + at
 
-    def covered(k: int) -> np.ndarray:
+    events = {}
+    for k in range(4):
         i = kind == k
-        return np.cumsum(np.bincount(place[i], minlength=base[-1] + 1) - np.bincount(place[i] + n[i], minlength=base[-1] + 1)) > 0
-
-    gone = ((covered(0) & ~covered(1)) | covered(2)) & ~covered(3)
-    runs = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])))).reshape(-1, 2)
+        events[k] = np.sort(place[i]), np.sort(place[i] + n[i])
+    edges, level, last = [], dict.fromkeys(events, 0), False
+    for a, b in blocks(int(base[-1]) + 1):
+        on = {}
+        for k, (opens, shuts) in events.items():
+            some = [x[np.searchsorted(x, a) : np.searchsorted(x, b)] - a for x in (opens, shuts)]
+            depth = np.cumsum(np.bincount(some[0], minlength=b - a) - np.bincount(some[1], minlength=b - a)) + level[k]
+            on[k], level[k] = depth > 0, int(depth[-1])
+        gone = ((on[0] & ~on[1]) | on[2]) & ~on[3]
+        edges.append(np.flatnonzero(np.diff(np.concatenate(([last], gone)))) + a)
+        last = bool(gone[-1])
+    runs = np.concatenate([*edges, np.zeros(0, np.int64)]).reshape(-1, 2)  # the last place is free
     doc = np.searchsorted(base, runs[:, 0], side="right") - 1
     start, stop = runs[:, 0] - base[doc], runs[:, 1] - base[doc] + width - 1
     if not len(doc):
@@ -258,9 +287,10 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
 
 def _repeats(rows: DataFrame, width: int, core: int) -> DataFrame:
     texts = rows.select("_doc", "_text")
-    keys = texts.mapInArrow(_keys(width, core), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
+    keys = cut(texts.mapInArrow(_keys(width, core), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"))
     words = _bits(keys, "key")
-    seen = cut(texts.mapInArrow(_shared(width, core, words), "_doc bigint, start int, n int, anchor int, key bigint, segment bigint"))
+    seen = texts.mapInArrow(_shared(width, core, words), "_doc bigint, start int, n int, anchor int, key bigint, segment bigint")
+    seen = cut(seen if words is not None else seen.join(keys, "key", "left_semi"))
     place = F.struct("_doc", "start", "n", "anchor")
     firsts = cut(seen.groupBy("key", "segment").agg(F.min(place).alias("f")).select("key", "f.*"))
     several = firsts.groupBy("key").agg(F.count("*").alias("segments")).where("segments > 1").select("key", (F.col("segments") > CLASS_LIMIT).alias("hot"))
@@ -355,8 +385,9 @@ def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     which nothing stays keep an empty text; null texts become empty ones.
     """
     names, kinds = docs.columns, dict(docs.dtypes)
-    carry = [c for c in names if c not in (text_column, length_column)]
-    rows = numbered(docs, id_column, text_column, carry)
+    others = [c for c in names if c not in (text_column, length_column)]
+    rows = numbered(docs, id_column, text_column, renamed(others))
+    carry = [c for c in rows.columns if c not in ("_doc", "_id", "_text")]
     spans = cut(_repeats(rows, WIDTH, CORE))
     near, far = parted(rows, spans, "_doc")
 
@@ -366,12 +397,11 @@ def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             left = [cut_out(t, whole_characters(t, s or [])) for t, s in zip(texts, spans, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), *batch.columns[2:]], ["_text", *batch.schema.names[2:]])
 
-    schema = "_text binary" + "".join(f", `{c}` {kinds[c]}" for c in carry)
+    schema = "_text binary" + "".join(f", {c} {k}" for c, k in rows.dtypes if c in carry)
     shorter = near.join(spans, "_doc", "left").select("_text", "spans", *carry).mapInArrow(run, schema)
-    out = far.select("_text", *carry).union(shorter).withColumn(text_column, F.col("_text").cast("string"))
-    if length_column in names:
-        out = out.withColumn(length_column, F.length(text_column).cast(kinds[length_column]))
-    return out.select(*names)
+    text = F.col("_text").cast("string")
+    out = far.select("_text", *carry).union(shorter).select(*restored(others), text.alias(text_column), *([F.length(text).cast(kinds[length_column]).alias(length_column)] if length_column in names else []))
+    return out.select(*(f"`{n}`" for n in names))
 
 
 def cut_out(text: bytes, spans: list[dict] | None) -> bytes:

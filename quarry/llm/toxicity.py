@@ -17,15 +17,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.flat import LOWER, SPACE, flat, give_back, prefix_sums, slices, span_hash, spans
+from quarry.llm.carried import renamed, restored
+from quarry.llm.flat import LOWER, SPACE, flat, give_back, slices, span_hashes, spans
 from quarry.session import table
 
 SLOTS = 1 << 18
 PREFIXES = (4, 5, 6)
 #: About so many labelled documents are used to fit; they are those of the smallest hashes.
 MAX_LABELLED = 4000
+#: Longer labelled documents are not fitted on, so that the sample is bounded in bytes too.
+MAX_FIT_BYTES = 1 << 16
 #: A feature takes part if so many of these documents have it.
-MIN_DOCUMENTS = 12
+MIN_DOCUMENTS = 6
+#: Features of sentences that are worked on at a time while fitting.
+PART = 1 << 20
 EPOCHS = 120
 ENDS = b".!?\n"
 _END = np.zeros(256, bool)
@@ -39,10 +44,13 @@ def features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """
     buf = LOWER[buf]
     starts, ends, _ = spans(buf, off, SPACE | _END)
-    sums = prefix_sums(buf)
-    slot = lambda e: 1 + (span_hash(sums, starts, e) % np.uint64(SLOTS - 1)).astype(np.int32)
-    prefix = lambda k: np.where(ends - starts > k, slot(np.minimum(ends, starts + k)), 0).astype(np.int32)
-    slots = np.stack([slot(ends), *map(prefix, PREFIXES)], axis=1) if len(starts) else np.zeros((0, 1 + len(PREFIXES)), np.int32)
+    upto = [ends, *(np.minimum(ends, starts + k) for k in PREFIXES)]
+    slots = np.zeros((len(starts), len(upto)), np.int32)
+    for i, h in enumerate(span_hashes(buf, *((starts, e) for e in upto))):
+        slots[:, i] = 1 + (h % np.uint64(SLOTS - 1)).astype(np.int32)
+    for i, k in enumerate(PREFIXES, 1):
+        slots[ends - starts <= k, i] = 0
+    del upto
     a, b, _ = spans(buf, off, _END)
     first = np.searchsorted(starts, a)
     some = np.searchsorted(starts, b) > first
@@ -68,30 +76,39 @@ def train(slots: np.ndarray, first: np.ndarray, bounds: np.ndarray, toxic: np.nd
     The bias starts so low that no text is toxic at first: only then do all
     toxic documents pull on their sentences.
     """
-    n_docs, n_sent = len(bounds) - 1, len(first)
-    doc_of = np.repeat(np.arange(n_docs), np.diff(bounds))
-    sent_of = np.repeat(np.arange(n_sent), np.diff(np.append(first, len(slots))))
-    flat_slots = slots.reshape(-1)
-    words = np.repeat(doc_of[sent_of].astype(np.int64), slots.shape[1]) * SLOTS + flat_slots
-    seen = np.bincount(np.unique(words) % SLOTS, minlength=SLOTS)
+    n_docs, n_sent, width = len(bounds) - 1, len(first), slots.shape[1]
+    sizes = np.diff(np.append(first, len(slots)))
+    seen = np.zeros(SLOTS, np.int64)
+    edges = np.append(first, len(slots))[bounds]  # first word of each document
+    for i in range(n_docs):
+        seen[np.unique(slots[edges[i] : edges[i + 1]])] += 1
     seen[0] = 0
-    del words
-    used, column = np.flatnonzero(seen >= min(MIN_DOCUMENTS, max(2, n_docs // 100))), np.full(SLOTS, -1)
+    used, column = np.flatnonzero(seen >= MIN_DOCUMENTS), np.full(SLOTS, -1, np.int32)
     column[used] = np.arange(len(used))
-    at = np.flatnonzero(column[flat_slots] >= 0)
-    cols, row = column[flat_slots[at]], sent_of[at // slots.shape[1]]
-    del at, sent_of
-    give_back()
+    cols, row = [], []
+    for a in range(0, n_sent, 4096):  # the columns of each sentence, those that take part only
+        lo, hi = first[a], first[a + 4096] if a + 4096 < n_sent else len(slots)
+        some = column[slots[lo:hi].reshape(-1)]
+        at = np.flatnonzero(some >= 0)
+        cols.append(some[at])
+        row.append(np.repeat(np.arange(a, min(a + 4096, n_sent), dtype=np.int32), sizes[a : a + 4096])[at // width])
+    cols, row = (np.concatenate([*x, np.zeros(0, np.int32)]) for x in (cols, row))
+    doc_of = np.repeat(np.arange(n_docs), np.diff(bounds))
     l2 *= n_docs / MAX_LABELLED
     w, b = np.zeros(len(used)), -7.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, epochs + 1):
-        z = np.bincount(row, w[cols], n_sent) + b
+        z = np.full(n_sent, b)
+        for a in range(0, len(cols), PART):
+            r = row[a : a + PART]
+            z[r[0] : r[-1] + 1] += np.bincount(r - r[0], w[cols[a : a + PART]])
         p = np.exp(-np.logaddexp(0, -z))
         score = noisy_or(z, bounds)
         pull = np.where(toxic == 1, -(1 - score) / np.maximum(score, 1e-9), 1.0)
         g = p * pull[doc_of]
-        gw, gb = np.bincount(cols, g[row], len(used)) + l2 * w, g.sum()
+        gw, gb = l2 * w, g.sum()
+        for a in range(0, len(cols), PART):
+            gw += np.bincount(cols[a : a + PART], g[row[a : a + PART]], len(used))
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         step = rate * min(1.0, 2 * (1 - (t - 1) / epochs))
@@ -116,7 +133,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     share = min(1.0, max_labelled / max(n, 1))
     # About max_labelled rows, whatever the input: small enough to send to every task.
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("_text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "_text")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("_text")).where(F.coalesce(F.octet_length("_text"), F.lit(0)) <= MAX_FIT_BYTES)
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
@@ -149,12 +167,14 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], least: float = 0.5,
 
     ``offending`` lists the sentences with p of ``least`` or more as byte spans
     with their p. Null texts and texts without words have score 0 and no spans.
-    Every row is scored by itself, so repeated rows score alike. Columns of
-    ``docs`` named ``score`` or ``offending`` are replaced.
+    Every row is scored by itself, so repeated rows score alike. Texts of any
+    length are scored whole. Columns of ``docs`` named ``score`` or
+    ``offending`` are replaced.
     """
     weights, bias = model
     carry = [c for c in (carry or docs.columns) if c not in ("score", "offending")]
-    rows = docs.select(*carry, F.col(text_column).cast("string").alias("_text"))
+    rows = docs.select(*renamed(carry), F.col(f"`{text_column}`").cast("string").alias("_text"))
+    names = rows.columns[: len(carry)]
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("p", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,10 +187,11 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], least: float = 0.5,
             for s in np.flatnonzero(p >= least).tolist():
                 i = int(np.searchsorted(bounds, s, side="right")) - 1
                 bad[i].append({"start": int(a[s] - off[i]), "stop": int(b[s] - off[i]), "p": float(p[s])})
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(carry))), pa.array(noisy_or(z, bounds)), pa.array(bad, spans_type)], [*carry, "score", "offending"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(carry))), pa.array(noisy_or(z, bounds)), pa.array(bad, spans_type)], [*names, "score", "offending"])
 
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*carry).schema)
-    return rows.mapInArrow(run, f"{fields}score double, offending array<struct<start:bigint,stop:bigint,p:double>>")
+    fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema[: len(carry)])
+    out = rows.mapInArrow(run, f"{fields}score double, offending array<struct<start:bigint,stop:bigint,p:double>>")
+    return out.select(*restored(carry), "score", "offending")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
