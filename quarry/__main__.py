@@ -1,34 +1,137 @@
-"""Command line: python -m quarry COMMAND ..., for spark-submit too."""
+"""Command line: python -m quarry COMMAND ..., for spark-submit too.
+
+Stages that need a model use the stand-ins of quarry.providers; a deployment
+calls the same operators with its own.
+"""
 
 from __future__ import annotations
 
 import argparse
+import json
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.operators import catalog, chunks
+from quarry import providers
+from quarry.operators import answers, catalog, chunks, retrieval, vectors
+from quarry.session import cut
 from quarry.sources import files, tables
 
+#: Arguments of each command.
+COMMANDS = {
+    "init": ("metadata", "catalog"), "status": ("catalog",), "pending": ("catalog", "stage"), "download": ("catalog", "mirror", "files"), "vision": ("catalog", "pages"),
+    "chunk": ("catalog", "pages", "chunks"), "embed": ("catalog", "chunks", "points"), "search": ("points", "questions"), "qa": ("points", "questions"), "evaluate": ("points", "cases", "report"),
+    "all": ("catalog", "pages", "chunks", "points"),
+}
+
+
+def save(spark: SparkSession, rows: DataFrame, path: str) -> None:
+    """A new state instead of the old one, complete before the old one goes."""
+    cut(rows).write.mode("overwrite").parquet(path)
+
+
+def init(spark: SparkSession, given) -> None:
+    """Metadata files into the catalog; stages of known documents keep their statuses."""
+    old = tables.load(spark, given.catalog)
+    new = catalog.loaded(catalog.empty_snapshot(spark) if old is None else old, files.read_metadata(spark, given.metadata))
+    save(spark, new, given.catalog)
+
+
+def marked(spark: SparkSession, path: str, results: DataFrame, stage: str, counted: dict[str, str] | None = None) -> None:
+    """Writes a stage's statuses to the catalog and shows its statistics."""
+    results = cut(results)
+    save(spark, catalog.mark_status(spark.read.parquet(path), results, stage), path)
+    catalog.job_statistics(results, counted).show()
+
+
+def download(spark: SparkSession, given) -> None:
+    """Pending documents' files from a folder that mirrors their addresses by document id; failures are marked."""
+    todo = catalog.pending(spark.read.parquet(given.catalog), "download", given.limit).select("doc_id")
+    found = files.read_documents(spark, given.mirror).select("suffix", "content")
+    rows = cut(todo.withColumn("suffix", F.element_at(F.split("doc_id", "__"), -1)).join(found, "suffix", "left").select("doc_id", "content"))
+    tables.replace_documents(spark, rows.where("content IS NOT NULL"), given.files)
+    marked(spark, given.catalog, rows.select("doc_id", F.when(F.col("content").isNull(), "error").otherwise("ok").alias("status")), "download")
+
+
+def chunk(spark: SparkSession, given) -> None:
+    """Pages of pending documents into chunks; a document without pages is an error."""
+    todo = catalog.pending(spark.read.parquet(given.catalog), "chunk", given.limit).select("doc_id")
+    have = todo.join(spark.read.parquet(given.pages), "doc_id", "left_semi")
+    rows = spark.read.parquet(given.pages).join(have.select("doc_id").distinct(), "doc_id", "left_semi")
+    made = cut(chunks.merged(chunks.pieces(chunks.structural_blocks(chunks.page_lines(rows)))))
+    tables.replace_documents(spark, made, given.chunks)
+    counts = made.groupBy("doc_id").agg(F.count("*").alias("n"))
+    seen = rows.select("doc_id", F.lit("ok").alias("status")).distinct()
+    results = todo.join(seen, "doc_id", "left").join(counts, "doc_id", "left").select("doc_id", F.coalesce("status", F.lit("error")).alias("status"), F.coalesce("n", F.lit(0)).alias("n"))
+    marked(spark, given.catalog, results, "chunk", {"chunks": "n"})
+
+
+def embed(spark: SparkSession, given) -> None:
+    """Chunks of pending documents into points; documents without chunks are done at once."""
+    todo, none = catalog.embed_work(spark.read.parquet(given.catalog), spark.read.parquet(given.chunks))
+    meta = spark.read.parquet(given.catalog).select("doc_id", *catalog.META_COLUMNS)
+    rows = chunks.with_metadata(todo.drop("bucket"), meta, list(catalog.META_COLUMNS))
+    made = cut(providers.embedded(tables.points(rows), "text"))
+    tables.replace_documents(spark, made, given.points)
+    done = made.groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id", F.lit("ok").alias("status"), "n")
+    marked(spark, given.catalog, done.unionByName(none.withColumn("n", F.lit(0).cast("long"))), "embed", {"points": "n"})
+
+
+def hits(spark: SparkSession, points: str, questions: DataFrame, filters: dict | None, top_k: int | None) -> DataFrame:
+    """Hybrid search of questions (query_id, question) over the points that the filters keep."""
+    stored = spark.read.parquet(points).where(catalog.payload_filter(filters))
+    asked = providers.embedded(questions, "question", column="query_embedding").select("query_id", "query_embedding")
+    dense = vectors.dense_top_k(stored.select("chunk_id", "embedding"), asked)
+    sparse = vectors.sparse_top_k(vectors.term_lists(stored, "chunk_id", "text"), vectors.postings(questions, "query_id", "question"))
+    named = retrieval.identifier_documents(questions, stored)
+    own = stored.join(named, "doc_id").join(asked, "query_id")
+    score = F.round(vectors.dot(F.col("embedding"), F.col("query_embedding")) / (vectors.norm(F.col("embedding")) * vectors.norm(F.col("query_embedding"))), 6)
+    identified = vectors.ranked(own.select("query_id", "chunk_id", score.alias("score")), "query_id", "score", "chunk_id", 40)
+    return cut(retrieval.hybrid(dense, sparse, identified, named, stored.drop("embedding"), questions, top_k=top_k))  # read more than once
+
+
+def asked(spark: SparkSession, path: str, top_k: int | None) -> DataFrame:
+    """Questions of a text file, a line each."""
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("query_id", "question")).where(F.trim("question") != "")
+    return answers.checked(rows, top_k)
+
 
 def main(argv: list[str] | None = None) -> None:
     top = argparse.ArgumentParser(prog="quarry")
     sub = top.add_subparsers(dest="command", required=True)
-    for name, args in {"init": ("metadata", "catalog"), "status": ("catalog",), "pending": ("catalog", "stage"), "chunk": ("pages", "chunks")}.items():
+    for name, args in COMMANDS.items():
         p = sub.add_parser(name)
         for a in args:
             p.add_argument(a)
+        p.add_argument("--limit", type=int)
+        p.add_argument("--top-k", type=int)
+        p.add_argument("--filters", type=json.loads, help='as JSON: {"ano": [2021, 2022], "situacao_doc": "VIGENTE"}')
     given = top.parse_args(argv)
     spark = SparkSession.builder.appName("quarry").getOrCreate()
-    if given.command == "init":
-        records = files.read_metadata(spark, given.metadata)
-        catalog.latest(records, ["doc_id"], [catalog.F.desc("metadata_json")]).write.mode("errorifexists").parquet(given.catalog)
+    run = {"init": init, "download": download, "chunk": chunk, "embed": embed}
+    if given.command in run:
+        run[given.command](spark, given)
     elif given.command == "status":
         catalog.stage_progress(spark.read.parquet(given.catalog)).show()
     elif given.command == "pending":
-        catalog.pending(spark.read.parquet(given.catalog), given.stage).select("doc_id").show(100, truncate=False)
+        catalog.pending(spark.read.parquet(given.catalog), given.stage, given.limit).select("doc_id").show(100, truncate=False)
+    elif given.command == "vision":
+        catalog.vision_candidates(spark.read.parquet(given.catalog), spark.read.parquet(given.pages), given.limit).select("doc_id").show(100, truncate=False)
+    elif given.command == "search":
+        found = hits(spark, given.points, asked(spark, given.questions, given.top_k), given.filters, given.top_k)
+        found.select("query_id", "final_rank", "doc_id", "article_ref", "score").orderBy("query_id", "final_rank").show(100, truncate=60)
+    elif given.command == "qa":
+        questions = asked(spark, given.questions, given.top_k)
+        answers.answer(hits(spark, given.points, questions, given.filters, given.top_k), questions).select("question", "answer", F.size("citations").alias("citations")).show(100, truncate=100)
+    elif given.command == "evaluate":
+        cases = cut(tables.read_cases(spark, given.cases))
+        found = hits(spark, given.points, cases.select(F.col("case_id").alias("query_id"), "question"), given.filters, given.top_k)
+        rows, summary = answers.evaluate(cases, found)
+        tables.write_report(rows, given.report)
+        summary.show()
     else:
-        blocks = chunks.structural_blocks(chunks.page_lines(spark.read.parquet(given.pages)))
-        tables.replace_documents(spark, chunks.merged(chunks.pieces(blocks)), given.chunks)
+        chunk(spark, given)
+        embed(spark, given)
 
 
 if __name__ == "__main__":

@@ -18,10 +18,13 @@ def document_audit(catalog: DataFrame, pages: DataFrame, chunks: DataFrame, poin
 
 
 def issues(audit: DataFrame) -> DataFrame:
-    """(doc_id, issue) for rows of document_audit() that don't fit together."""
+    """(doc_id, issue) for rows of document_audit() that don't fit together or with the stages' statuses."""
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    is_ok = lambda stage: F.col(f"status_{stage}") == "ok"
     rules = F.array(
-        F.when((n("pages") > 0) & (n("chunks") == 0), "parsed without chunks"),
+        F.when(~is_ok("download"), "not downloaded"),
+        F.when(is_ok("parse") & (n("pages") == 0), "parsed without pages"),
+        F.when(is_ok("chunk") & (n("chunks") == 0), "chunked without chunks"),
         F.when(n("chunks") != n("points"), "chunks and points differ"),
         F.when(F.coalesce("any_revoked", F.lit(False)) & (n("revoked_chunks") == 0), "struck-out text lost"),
     )

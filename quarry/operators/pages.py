@@ -12,7 +12,7 @@ from quarry.functions.text import strip, strip_end
 def image_ratio(areas: Column, page_area: Column) -> Column:
     """Share of a page that images cover, 1 at most; no page area: 0."""
     total = F.aggregate(F.coalesce(areas, F.array().cast("array<double>")), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
-    return F.coalesce(F.least(total / F.nullif(page_area, F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+    return F.when(page_area > 0, F.least(total / page_area, F.lit(1.0))).otherwise(0.0)
 
 
 def classify(char_count: Column, has_table: Column, config: Config = DEFAULT) -> Column:

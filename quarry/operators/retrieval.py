@@ -17,23 +17,31 @@ SOURCES = ("dense", "sparse", "identifier")
 def identifier_numbers(question: Column) -> tuple[Column, Column]:
     """Numbers of 3 to 5 digits that aren't years, and years from 2010 to 2025."""
     q = F.lower(question)
+    # Fixed patterns of numbers and years.
     years = F.regexp_extract_all(q, F.lit(r"\b(201[0-9]|202[0-5])\b"), F.lit(1))
     return F.array_except(F.regexp_extract_all(q, F.lit(r"\b(\d{3,5})\b"), F.lit(1)), years), years
 
 
+def digit_strings(name: Column) -> Column:
+    """All different strings of 3 to 5 digits that stand anywhere in a file name."""
+    runs = F.regexp_extract_all(name, F.lit(r"(\d{3,})"), F.lit(1))
+    of_size = lambda run, k: F.transform(F.sequence(F.lit(1), F.length(run) - k + 1), lambda i: F.substring(run, i, F.lit(k)))
+    parts = lambda run: F.concat(*(F.when(F.length(run) >= k, of_size(run, k)).otherwise(F.array().cast("array<string>")) for k in (3, 4, 5)))
+    return F.array_distinct(F.flatten(F.transform(runs, parts)))
+
+
 def identifier_documents(queries: DataFrame, documents: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """(query_id, doc_id) of documents whose file name holds a number of the question, and a year if it names any.
 
-    At most ``identifier_docs`` of each query, by id. Only queries that name a
-    number are asked; they are few enough to send around, which is checked.
+    At most ``identifier_docs`` of each query, by id. Numbers of questions meet
+    the digit strings of file names in an equi-join; years are a residual
+    condition.
     """
     numbers, years = identifier_numbers(F.col("question"))
-    asked = queries.select("query_id", numbers.alias("nums"), years.alias("years")).where(F.size("nums") > 0)
-    if asked.count() <= config.query_block:
-        asked = F.broadcast(asked)
-    files = documents.select("doc_id", "arquivo").dropDuplicates(["doc_id"])
-    inside = lambda list_: F.exists(list_, lambda n: F.contains(F.col("arquivo"), n))
-    hits = files.join(asked, inside(F.col("nums")) & ((F.size("years") == 0) | inside(F.col("years")))).select("query_id", "doc_id")
+    asked = queries.select("query_id", years.alias("years"), F.explode(F.array_distinct(numbers)).alias("number"))
+    files = documents.select("doc_id", "arquivo").dropDuplicates(["doc_id"]).select("doc_id", "arquivo", F.explode(digit_strings(F.col("arquivo"))).alias("number"))
+    dated = (F.size("years") == 0) | F.exists("years", lambda y: F.contains(F.col("arquivo"), y))
+    hits = files.join(asked, "number").where(dated).select("query_id", "doc_id").distinct()
     w = Window.partitionBy("query_id").orderBy("doc_id")
     return hits.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= config.identifier_docs).drop("_n")
 
@@ -92,7 +100,7 @@ def hybrid(dense: DataFrame, sparse: DataFrame, identified: DataFrame, identifie
 
 
 def context(hits: DataFrame) -> DataFrame:
-    """Numbered context of each query, as the answering model reads it."""
+    """Numbered context of each query, as the answering model reads it; the header's format is fixed."""
     show = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
     flag = F.when(F.col("has_revoked"), "True").when(~F.col("has_revoked"), "False").otherwise("None")
     head = F.concat(

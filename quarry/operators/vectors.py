@@ -97,12 +97,77 @@ def postings(rows: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("weight"))
 
 
+def term_lists(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(chunk_id, terms): the terms of each text, each as often as it stands there; no shuffle."""
+    return rows.select(F.col(key).alias("chunk_id"), tokens(F.col(text)).alias("terms"))
+
+
+def listed(index: DataFrame) -> DataFrame:
+    """(chunk_id, terms, weights) of stored postings (chunk_id, term, weight)."""
+    return index.groupBy("chunk_id").agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights"))
+
+
 def sparse_top_k(index: DataFrame, queries: DataFrame, k: int = DEFAULT.sparse_k, config: Config = DEFAULT) -> DataFrame:
-    """query_id, chunk_id, score and rank by the dot product of term weights; at least one term is shared."""
+    """query_id, chunk_id, score and rank by the dot product of term weights; at least one term is shared.
+
+    ``index`` has chunk_id, terms and, if they aren't all 1, weights; ``queries``
+    are postings (query_id, term, weight). Each block of queries goes to the
+    index's tasks as a matrix by term; they add up the products batch by batch
+    and keep k rows of each query before anything is shuffled, so neither common
+    terms nor many queries make more rows than that.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in [*index.schema, *queries.schema]}
+    schema = f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double"
+    weighted = "weights" in index.columns
 
     def block(q: DataFrame) -> DataFrame:
-        q = q.select("query_id", "term", F.col("weight").alias("_q"))
-        scores = index.join(q, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("_q")).cast("double").alias("score"))
-        return ranked(scores, "query_id", "score", "chunk_id", k)
+        # Postings of about query_block queries, which the caller has counted.
+        asked = q.select("query_id", "term", F.col("weight").cast("double").alias("weight")).toArrow().combine_chunks()
+        ids, terms = (asked[c].combine_chunks().dictionary_encode() if asked.num_rows else pa.array([], asked[c].type).dictionary_encode() for c in ("query_id", "term"))
+        query, term = (x.indices.to_numpy(zero_copy_only=False).astype(np.int64) for x in (ids, terms))
+        by = np.argsort(term, kind="stable")
+        query, amount = query[by], asked["weight"].to_numpy()[by]
+        edges = np.searchsorted(term[by], np.arange(len(terms.dictionary) + 1))
+        n_queries, query_ids, known = len(ids.dictionary), ids.dictionary, terms.dictionary
+
+        def scores_of(doc: np.ndarray, term: np.ndarray, weight: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
+            """Sum of products, and whether a term is shared, by document and query."""
+            size = edges[term + 1] - edges[term]
+            at = np.repeat(edges[term] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+            cell = np.repeat(doc, size) * n_queries + query[at]
+            total = np.bincount(cell, np.repeat(weight, size) * amount[at], docs * n_queries).reshape(docs, n_queries)
+            shared = np.zeros(docs * n_queries, bool)
+            shared[cell] = True
+            return total, shared.reshape(docs, n_queries)
 
-    return block(queries)
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = max(1, min(1000, 4_000_000 // max(n_queries, 1)))
+            for whole in batches:
+                for start in range(0, whole.num_rows if n_queries else 0, rows):
+                    batch = whole.slice(start, rows)
+                    flat = batch.column(1).flatten()
+                    found = pc.index_in(flat, known)
+                    doc = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+                    hit = found.is_valid().to_numpy(zero_copy_only=False)
+                    weight = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(float)[hit] if weighted else np.ones(int(hit.sum()))
+                    total, shared = scores_of(doc[hit], found.drop_null().to_numpy().astype(np.int64), weight, batch.num_rows)
+                    place = np.empty(batch.num_rows, np.int64)
+                    place[pc.sort_indices(batch.column(0)).to_numpy()] = np.arange(batch.num_rows)
+                    total[~shared] = -np.inf
+                    least = max(0, batch.num_rows - k)
+                    floor = np.partition(total, least, axis=0)[least]
+                    row, col = np.nonzero((total >= floor) & shared)
+                    by = np.lexsort((place[row], -total[row, col], col))
+                    row, col = row[by], col[by]
+                    keep = np.arange(len(col)) - np.searchsorted(col, col) < k
+                    row, col = row[keep], col[keep]
+                    yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(col)), batch.column(0).take(pa.array(row)), pa.array(total[row, col])], ["query_id", "chunk_id", "score"])
+
+        columns = ["chunk_id", "terms", *(["weights"] if weighted else [])]
+        return ranked(index.select(*columns).mapInArrow(best, schema), "query_id", "score", "chunk_id", k)
+
+    names = queries.select("query_id").distinct()
+    blocks = max(1, math.ceil(names.count() / config.query_block))
+    blocks *= 1 if blocks == 1 else 2  # hashes fill blocks unevenly
+    parts = [queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, map(block, parts))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.ids import chunk_id, document_id, point_id
+from quarry.functions.ids import NAMESPACE, chunk_id, document_id, point_id
 from quarry.functions.text import snippet
 from quarry.operators import catalog as cat
 from quarry.operators import chunks as ch
@@ -64,7 +64,8 @@ def doc_ids(spark, d):
     return table(spark, d, "pages").select("page_id", document_id(F.lit(""), F.col("url")).alias("doc_id"))
 
 
-@query()
+@query(f"""WITH h AS (SELECT doc_id, sha1(unhex('{NAMESPACE}') || encode(CAST(doc_id AS VARCHAR))) AS h FROM documents)
+SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (CAST('0x' || substr(h, 17, 1) AS INTEGER) % 4) + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id FROM h""")
 def point_ids(spark, d):
     return table(spark, d, "documents").select("doc_id", point_id(F.col("doc_id").cast("string")).alias("point_id"))
 
@@ -117,11 +118,12 @@ def upsert_latest(spark, d):
     return cat.upsert(old, new, "event_id").select("doc_id", "titulo", "ano", "status_download")
 
 
-@query(f"""WITH {views.CATALOG} SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'ok' ELSE status_embed END AS status_embed FROM cat""")
+@query(f"""WITH {views.CATALOG}, dl AS (
+  SELECT user_id AS doc_id, arg_max(CASE WHEN value > 50 THEN 'ok' ELSE 'error' END, event_id) AS status FROM events GROUP BY 1
+) SELECT c.doc_id, coalesce(d.status, c.status_embed) AS status_embed FROM cat c LEFT JOIN dl d ON c.doc_id = d.doc_id""")
 def mark_status(spark, d):
-    c = views.catalog(spark, d)
-    deltas = c.where("doc_id % 4 = 0").select("doc_id", F.lit("ok").alias("status"))
-    return cat.mark_status(c, deltas, "embed").select("doc_id", "status_embed")
+    deltas = table(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.when(F.col("value") > 50, "ok").otherwise("error").alias("status"), "event_id")
+    return cat.mark_status(views.catalog(spark, d), deltas, "embed", sequence="event_id").select("doc_id", "status_embed")
 
 
 @query(f"WITH {views.CATALOG} SELECT doc_id, ano FROM cat WHERE ano = 2015 AND situacao_doc = 'en'")
@@ -188,11 +190,11 @@ def vision_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 VISION_SQL = "vs AS (SELECT source AS doc_id, doc_id AS page_index, CASE WHEN doc_id % 27 = 0 THEN ' ' ELSE ' seen ' || doc_id END AS markdown, CASE WHEN doc_id % 2 = 0 THEN 'ok' ELSE 'error' END AS status FROM documents WHERE doc_id % 9 = 0)"
 
 
-@query(f"""WITH {PAGES}, {VISION_SQL} SELECT p.page_index, CASE WHEN v.status = 'ok' AND trim(v.markdown) <> '' THEN trim(v.markdown)
-  WHEN p.has_one THEN p.text_clean || CASE WHEN p.text_clean <> '' THEN chr(10) || chr(10) ELSE '' END || '| t' || p.page_index || ' |' ELSE p.text_clean END AS page_text
+@query(f"""WITH {PAGES}, {VISION_SQL} SELECT p.page_index, md5(CASE WHEN v.status = 'ok' AND trim(v.markdown) <> '' THEN trim(v.markdown)
+  WHEN p.has_one THEN p.text_clean || CASE WHEN p.text_clean <> '' THEN chr(10) || chr(10) ELSE '' END || '| t' || p.page_index || ' |' ELSE p.text_clean END) AS text_md5
 FROM pn p LEFT JOIN vs v ON p.doc_id = v.doc_id AND p.page_index = v.page_index""")
 def page_overlay(spark, d):
-    return pg.overlaid(views.pages(spark, d), vision_results(spark, d)).select("page_index", "page_text")
+    return pg.overlaid(views.pages(spark, d), vision_results(spark, d)).select("page_index", F.md5("page_text").alias("text_md5"))
 
 
 @query(f"WITH {PAGES}, {VISION_SQL} SELECT doc_id, page_index FROM pn p WHERE needs_vision AND NOT EXISTS (SELECT 1 FROM vs v WHERE v.status = 'ok' AND v.doc_id = p.doc_id AND v.page_index = p.page_index)")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.plans import documents, search
+from quarry.plans import documents, search, stages
 
-QUERIES = documents.QUERIES | search.QUERIES
-ORACLES = documents.ORACLES | search.ORACLES
+QUERIES = documents.QUERIES | search.QUERIES | stages.QUERIES
+ORACLES = documents.ORACLES | search.ORACLES | stages.ORACLES

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import evaluation as ev
 from quarry.operators import rates, vectors
+from quarry.operators.catalog import payload_filter
 from quarry.operators import retrieval as rt
 from quarry.plans import views
 from quarry.plans.documents import ORACLES, QUERIES, query
@@ -14,17 +15,17 @@ from quarry.session import table
 __all__ = ["ORACLES", "QUERIES"]
 
 
-@query(f"WITH {views.DENSE} SELECT * FROM dn WHERE rank <= 40 AND query_id = 0")
+@query(f"WITH {views.DENSE} SELECT * FROM dn WHERE rank <= 10 AND query_id % 100 = 0")
 def dense_topk(spark, d):
     v, q = views.dense_inputs(spark, d)
-    return vectors.dense_top_k(v, q.where("query_id = 0"))
+    return vectors.dense_top_k(v, q.where("query_id % 100 = 0"), k=10)
 
 
 @query(f"""WITH {views.DENSE}, f AS (SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM cs WHERE label = 3)
-SELECT * FROM f WHERE rank <= 40 AND query_id = 0""")
+SELECT * FROM f WHERE rank <= 40""")
 def dense_topk_filtered(spark, d):
     v, q = views.dense_inputs(spark, d)
-    return vectors.dense_top_k(v.where("label = 3"), q.where("query_id = 0"))
+    return vectors.dense_top_k(v.where("label = 3"), q)
 
 
 @query(f"WITH {views.DENSE} SELECT * FROM dn WHERE rank <= 40")
@@ -34,7 +35,7 @@ def dense_topk_batch(spark, d):
 
 @query(f"WITH {views.SPARSE} SELECT doc_id AS chunk_id, term, weight FROM po")
 def postings(spark, d):
-    return views.sparse_inputs(spark, d)[0]
+    return vectors.postings(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("doc_id", "chunk_id")
 
 
 @query(f"WITH {views.SPARSE} SELECT * FROM sp WHERE rank <= 40")
@@ -72,15 +73,20 @@ RANKINGS = f"""{views.QUESTIONS}, {views.SPARSE}, dc AS (
 )"""
 
 
-def rankings(spark, d):
-    """(dense, sparse, identified, identifier documents, questions)."""
+def rankings(spark, d, filters=None):
+    """(dense, sparse, identified, identifier documents, questions), each within the payload's ``filters``."""
     qs = views.questions(spark, d)
-    v = views.dense_inputs(spark, d)[0]
+    v, index, names = views.dense_inputs(spark, d)[0], views.sparse_inputs(spark, d)[0], views.files(spark, d)
+    asked = v
+    if filters:
+        kept = payload(spark, d).where(payload_filter(filters)).select("chunk_id")
+        v, index = (x.join(kept, "chunk_id", "left_semi") for x in (v, index))
+        names = names.join(kept.withColumnRenamed("chunk_id", "doc_id"), "doc_id", "left_semi")
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
-    q = v.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query_embedding")).join(items, "query_id")
+    q = asked.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query_embedding")).join(items, "query_id")
     dense = vectors.dense_top_k(v, q)
-    sparse = vectors.sparse_top_k(*views.sparse_inputs(spark, d))
-    docs = rt.identifier_documents(qs, views.files(spark, d))
+    sparse = vectors.sparse_top_k(index, views.sparse_inputs(spark, d)[1])
+    docs = rt.identifier_documents(qs, names)
     # Within identified documents: each query has its own few vectors.
     own = docs.select("query_id", F.col("doc_id").alias("chunk_id")).join(v, "chunk_id").join(q, "query_id")
     score = F.round(vectors.dot(F.col("embedding"), F.col("query_embedding")) / (vectors.norm(F.col("embedding")) * vectors.norm(F.col("query_embedding"))), 6)
@@ -122,8 +128,8 @@ def payload(spark, d):
     )
 
 
-def found(spark, d):
-    dense, sparse, identified, docs, qs = rankings(spark, d)
+def found(spark, d, filters=None):
+    dense, sparse, identified, docs, qs = rankings(spark, d, filters)
     return rt.hybrid(dense, sparse, identified, docs, payload(spark, d), qs)
 
 
@@ -144,21 +150,28 @@ def citations(spark, d):
     return rows.select("query_id", "c.final_rank", "c.doc_id", "c.page_start", "c.situacao_doc", "c.score")
 
 
-@query(r"""WITH t AS (SELECT doc_id % 100 AS query_id, row_number() OVER (PARTITION BY doc_id % 100 ORDER BY doc_id) AS r, * FROM documents), u AS (
-  SELECT query_id, r, '[' || r || '] doc_id=' || doc_id || ' | titulo=' || source || ' | ano=None | autor=' || lang || ' | situacao_doc=None | art=Art. ' || r || ' | has_revoked=' || CASE WHEN doc_id % 2 = 0 THEN 'True' ELSE 'False' END || ' | pg 0-' || r
-  || chr(10) || regexp_replace(regexp_replace(regexp_replace(substr(text, 1, 200), '(?m)^\s*\|[\s|]*$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS part FROM t WHERE r <= 6
-) SELECT query_id, md5(string_agg(part, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY r)) AS context_md5 FROM u GROUP BY 1""")
-def context_render(spark, d):
-    from pyspark.sql import Window
+#: The six best of each dense query, with whole texts.
+CONTEXT = f"""{views.DENSE}, cx AS (
+  SELECT r.query_id, r.rank AS r, d.doc_id, d.source, d.lang, d.text FROM dn r JOIN documents d ON r.chunk_id = d.doc_id WHERE r.rank <= 6
+)""" + r""", cp AS (
+  SELECT query_id, r, doc_id, '[' || r || '] doc_id=' || doc_id || ' | titulo=' || source || ' | ano=None | autor=' || lang || ' | situacao_doc=None | art=Art. ' || r || ' | has_revoked=' || CASE WHEN doc_id % 2 = 0 THEN 'True' ELSE 'False' END || ' | pg 0-' || r
+  || chr(10) || regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^\s*\|[\s|]*$', '', 'g'), '~~\s*~~', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS part FROM cx
+), ct AS (SELECT query_id, string_agg(part, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY r) AS context, count(*) AS n FROM cp GROUP BY 1)"""
 
-    i, r = F.col("doc_id"), F.col("final_rank")
-    rows = table(spark, d, "documents").withColumn("query_id", i % 100).withColumn("final_rank", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))).where(r <= 6)
-    none = F.lit(None).cast("string")
-    rows = rows.select(
+
+def context_hits(spark, d):
+    i, r, none = F.col("doc_id"), F.col("final_rank"), F.lit(None).cast("string")
+    v, q = views.dense_inputs(spark, d)
+    best = vectors.dense_top_k(v, q, k=6).select("query_id", F.col("chunk_id").alias("doc_id"), F.col("rank").alias("final_rank"), "score")
+    return best.join(table(spark, d, "documents"), "doc_id").select(
         "query_id", "final_rank", i.cast("string").alias("doc_id"), F.col("source").alias("titulo"), none.alias("ano"), F.col("lang").alias("autor"), none.alias("situacao_doc"), F.concat(F.lit("Art. "), r.cast("string")).alias("article_ref"),
-        (i % 2 == 0).alias("has_revoked"), F.lit(0).alias("page_start"), r.alias("page_end"), F.substring("text", 1, 200).alias("text"),
+        (i % 2 == 0).alias("has_revoked"), F.lit(0).alias("page_start"), r.alias("page_end"), "text", none.alias("url"), "score",
     )
-    return rt.context(rows).select("query_id", F.md5("context").alias("context_md5"))
+
+
+@query(f"WITH {CONTEXT} SELECT query_id, md5(context) AS context_md5 FROM ct")
+def context_render(spark, d):
+    return rt.context(context_hits(spark, d)).select("query_id", F.md5("context").alias("context_md5"))
 
 
 #: Cases: the dense queries, which expect documents of good quality among ids near their own.
@@ -234,7 +247,17 @@ def rate_window(spark, d):
     return rates.trailing_counts(table(spark, d, "events")).select("event_id", "calls_60s", "calls_86400s")
 
 
-@query()
+@query("""WITH RECURSIVE ev AS (
+  SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts NULLS LAST, event_id) AS k FROM events
+), fold(user_id, k, event_id, admitted, log) AS (
+  SELECT user_id, k, event_id, true, [us] FROM ev WHERE k = 1
+  UNION ALL
+  SELECT user_id, k, event_id, pass, CASE WHEN pass THEN list_append(kept, us) ELSE kept END FROM (
+    SELECT *, len(kept) < 3 AND len(list_filter(kept, lambda t: us - t < 60000000)) < 1 AS pass FROM (
+      SELECT e.user_id, e.k, e.event_id, e.us, list_filter(f.log, lambda t: e.us - t < 86400000000) AS kept FROM fold f JOIN ev e ON e.user_id = f.user_id AND e.k = f.k + 1
+    )
+  )
+) SELECT event_id, user_id, admitted FROM fold""")
 def rate_admission(spark, d):
     from quarry.config import Config
 

@@ -9,7 +9,7 @@ from quarry.session import table
 
 CATALOG = """cat AS (
   SELECT d.doc_id, 2010 + CAST(d.doc_id % 16 AS INTEGER) AS ano, d.lang AS situacao_doc, d.source AS tipo_pdf,
-    substr(d.text, 1, 60) AS titulo, d.source AS autor, substr(d.text, 61, 60) AS ementa, substr(d.text, 121, 60) AS assunto, d.n_chars AS updated_at,
+    substr(d.text, 1, 60) AS titulo, d.source AS autor, substr(d.text, 61, 60) AS ementa, substr(d.text, 121) AS assunto, d.n_chars AS updated_at,
     CASE WHEN l.quality IS NULL THEN 'pending' WHEN l.quality = 0 THEN 'error' ELSE 'ok' END AS status_download,
     CASE WHEN d.n_chars < 60 THEN 'skipped' WHEN d.n_chars % 7 = 0 THEN 'error' WHEN l.quality = 1 THEN 'ok' ELSE 'pending' END AS status_parse,
     CASE WHEN d.n_chars > 3600 THEN 'ok' WHEN l.toxic = 1 THEN 'error' ELSE 'pending' END AS status_chunk,
@@ -23,7 +23,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, q = F.col("n_chars"), F.col("quality")
     return d.join(lab, "doc_id", "left").select(
         "doc_id", (F.lit(2010) + (F.col("doc_id") % 16).cast("int")).alias("ano"), F.col("lang").alias("situacao_doc"), F.col("source").alias("tipo_pdf"),
-        F.substring("text", 1, 60).alias("titulo"), F.col("source").alias("autor"), F.substring("text", 61, 60).alias("ementa"), F.substring("text", 121, 60).alias("assunto"), n.alias("updated_at"),
+        F.substring("text", 1, 60).alias("titulo"), F.col("source").alias("autor"), F.substring("text", 61, 60).alias("ementa"), F.substring("text", 121, 2**31 - 1).alias("assunto"), n.alias("updated_at"),
         F.when(q.isNull(), "pending").when(q == 0, "error").otherwise("ok").alias("status_download"),
         F.when(n < 60, "skipped").when(n % 7 == 0, "error").when(q == 1, "ok").otherwise("pending").alias("status_parse"),
         F.when(n > 3600, "ok").when(F.col("toxic") == 1, "error").otherwise("pending").alias("status_chunk"),
@@ -35,7 +35,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAGES = """pg AS (
   SELECT source AS doc_id, doc_id AS page_index, n_chars AS char_count, doc_id % 3 = 0 AS suspected_table,
     CASE WHEN n_chars < 60 THEN 'scanned' WHEN doc_id % 3 = 0 THEN 'complex' ELSE 'digital' END AS classification,
-    CASE WHEN doc_id % 5 = 0 THEN '' ELSE substr(text, 1, 100) END AS text_markdown, doc_id % 6 = 0 AS has_one, doc_id % 11 = 0 AS has_revoked
+    CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END AS text_markdown, doc_id % 6 = 0 AS has_one, doc_id % 11 = 0 AS has_revoked
   FROM documents
 )"""
 
@@ -46,7 +46,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
     rows = table(spark, sf_dir, "documents").select(
         F.col("source").alias("doc_id"), i.alias("page_index"), F.col("n_chars").alias("char_count"), classify(F.col("n_chars"), i % 3 == 0).alias("classification"),
-        F.when(i % 5 == 0, "").otherwise(F.substring("text", 1, 100)).alias("text_markdown"),
+        F.when(i % 5 == 0, "").otherwise(F.col("text")).alias("text_markdown"),
         F.when(i % 6 == 0, F.array(F.concat(F.lit("| t"), i.cast("string"), F.lit(" |")))).otherwise(F.array().cast("array<string>")).alias("tables_markdown"), (i % 11 == 0).alias("has_revoked"),
     )
     return rows.withColumn("needs_vision", needs_vision(F.col("classification"), F.col("text_markdown"), F.col("tables_markdown")))
@@ -117,10 +117,9 @@ SPARSE = r"""tk AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^\p{
 
 
 def sparse_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    from quarry.operators.vectors import postings
+    from quarry.operators.vectors import postings, term_lists
 
-    index = postings(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("doc_id", "chunk_id")
-    return index, postings(table(spark, sf_dir, "benchmark"), "item_id", "text").withColumnRenamed("item_id", "query_id")
+    return term_lists(table(spark, sf_dir, "documents"), "doc_id", "text"), postings(table(spark, sf_dir, "benchmark"), "item_id", "text").withColumnRenamed("item_id", "query_id")
 
 
 #: Questions that name numbers of page addresses; every other one a year too.

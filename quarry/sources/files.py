@@ -13,9 +13,9 @@ from quarry.providers import with_retries
 
 
 def read_metadata(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Catalog records of metadata files; any store that Spark reads serves."""
+    """Catalog records of metadata files, with their place in them; any store that Spark reads serves."""
     raw = spark.read.text(paths, wholetext=True).select("value", F.col("_metadata.file_name").alias("file_name"))
-    return flatten_metadata(raw)
+    return flatten_metadata(raw, ordered=True)
 
 
 def local_name(doc_id, arquivo):
@@ -41,10 +41,12 @@ def parse_status(content):
     return F.when(content.isNull(), "error").when(sniffed(content), "pending").otherwise("skipped")
 
 
-def fetched(todo: DataFrame, fetch: Callable[[str], bytes], tries: int = 4, batch: int = 16) -> DataFrame:
+def fetched(todo: DataFrame, fetch: Callable[[str], bytes], tries: int = 4, batch: int = 16, present: DataFrame | None = None) -> DataFrame:
     """(doc_id, content, status, error) of documents (doc_id, url); ``fetch`` gets https addresses.
 
-    A task works through its rows; failures are kept as rows with their message.
+    ``batch`` tasks fetch at the same time; each works through its rows, and
+    failures are kept as rows with their message. Documents with content in
+    ``present`` (doc_id, content) aren't fetched again.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -57,5 +59,7 @@ def fetched(todo: DataFrame, fetch: Callable[[str], bytes], tries: int = 4, batc
                     out.append((doc_id, None, "error", str(e)[:240]))
             yield pd.DataFrame(out, columns=["doc_id", "content", "status", "error"])
 
+    if present is not None:
+        todo = todo.join(present.where(F.length("content") > 0).select("doc_id").distinct(), "doc_id", "left_anti")
     safe = todo.select("doc_id", F.regexp_replace("url", "^http://", "https://").alias("url"))
     return safe.repartition(batch).mapInPandas(run, "doc_id string, content binary, status string, error string")

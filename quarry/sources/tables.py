@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from quarry.functions.ids import point_id
 from quarry.operators.catalog import latest
@@ -12,39 +13,53 @@ from quarry.operators.catalog import latest
 CASES = "id string, question string, expected_doc_ids array<string>, gold_answer string, filters map<string,string>"
 
 
-def load(spark: SparkSession, path: str) -> DataFrame | None:
-    """A stored table, None if there is none."""
+def load(spark: SparkSession, path: str, schema: StructType | None = None, form: str = "parquet") -> DataFrame | None:
+    """A stored table, None if there is none; JSON needs a schema."""
+    reader = spark.read.format(form)
     try:
-        return spark.read.parquet(path)
+        return (reader.schema(schema) if schema else reader).load(path)
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
 
 
-def save_parts(rows: DataFrame, path: str, by: str = "bucket", buckets: int = 64, key: str = "doc_id") -> None:
-    """Writes documents' rows; of the partitions of ``by`` only those that ``rows`` touches are replaced."""
-    placed = rows.withColumn(by, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+def _bucket(key: str, buckets: int):
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-def replace_documents(spark: SparkSession, rows: DataFrame, path: str, key: str = "doc_id", by: str = "bucket", buckets: int = 64) -> None:
+def _replace_buckets(rows: DataFrame, path: str, by: str, buckets: int, key: str, form: str) -> None:
+    """Writes rows; of the partitions of ``by`` those that ``rows`` touches are replaced as a whole."""
+    rows.withColumn(by, _bucket(key, buckets)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).format(form).save(path)
+
+
+def replace_documents(spark: SparkSession, rows: DataFrame, path: str, key: str = "doc_id", by: str = "bucket", buckets: int = 64, form: str = "parquet") -> None:
     """All stored rows of the documents in ``rows`` make way for the new ones; others stay."""
-    old = load(spark, path)
-    if old is None:
-        save_parts(rows, path, by, buckets, key)
-        return
-    touched = rows.select(F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias(by)).distinct()
-    kept = old.join(touched, by, "left_semi").join(rows.select(key).distinct(), key, "left_anti").drop(by)
-    # The new state is complete before any partition is replaced.
-    from quarry.session import cut
+    schema = StructType([*rows.schema, StructField(by, IntegerType())])
+    old = load(spark, path, schema if form == "json" else None, form)
+    if old is not None:
+        touched = rows.select(_bucket(key, buckets).alias(by)).distinct()
+        kept = old.join(touched, by, "left_semi").join(rows.select(key).distinct(), key, "left_anti").drop(by)
+        # The new state is complete before any partition is replaced.
+        from quarry.session import cut
 
-    save_parts(cut(kept.unionByName(rows)), path, by, buckets, key)
+        rows = cut(kept.unionByName(rows))
+    _replace_buckets(rows, path, by, buckets, key, form)
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Chunks as JSON lines, a folder per document bucket."""
-    chunks.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").json(path)
+    """Chunks as JSON lines, a folder per bucket of documents; chunks of documents that aren't among ``chunks`` stay."""
+    replace_documents(chunks.sparkSession, chunks, path, form="json")
+
+
+CHUNKS = "doc_id string, chunk_id string, chunk_index bigint, text string, article_ref string, has_table boolean, has_revoked boolean, page_start int, page_end int"
+
+
+def read_chunks(spark: SparkSession, path: str, schema: str = CHUNKS, documents: list[str] | None = None) -> DataFrame:
+    """Stored chunks, all or those of some documents (a few); none stored: no rows."""
+    stored = load(spark, path, StructType.fromDDL(schema), "json")
+    rows = spark.createDataFrame([], schema) if stored is None else stored
+    return rows.where(F.col("doc_id").isin(documents)) if documents is not None else rows
 
 
 def points(chunks: DataFrame) -> DataFrame:
@@ -54,7 +69,7 @@ def points(chunks: DataFrame) -> DataFrame:
 
 def upsert_points(old: DataFrame, new: DataFrame) -> DataFrame:
     """New points instead of old ones of the same id; of repeated new ones the last by chunk_id."""
-    new = latest(new, ["point_id"], [F.desc("chunk_id")])
+    new = latest(new, ["point_id"], ["chunk_id"])
     return old.join(new.select("point_id"), "point_id", "left_anti").unionByName(new)
 
 
@@ -77,8 +92,12 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
     One file holds the cases, and one task numbers its lines.
     """
     text = spark.read.text(path, wholetext=True)
-    rows = text.select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "line")).where(F.trim("line") != "")
-    c = rows.select("n", F.from_json("line", CASES).alias("c"))
+    return parsed_cases(text.select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "line")))
+
+
+def parsed_cases(lines: DataFrame) -> DataFrame:
+    """Cases of numbered lines (n, line)."""
+    c = lines.where(F.trim("line") != "").select("n", F.from_json("line", CASES).alias("c"))
     return c.select(F.coalesce("c.id", F.format_string("case_%04d", "n")).alias("case_id"), "c.question", F.coalesce("c.expected_doc_ids", F.array().cast("array<string>")).alias("expected_doc_ids"), "c.gold_answer", "c.filters")
 
 

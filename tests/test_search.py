@@ -163,12 +163,12 @@ def test_providers():
 
 
 def test_audit(spark):
-    cat = spark.createDataFrame([("a",), ("b",)], "doc_id string")
+    cat = spark.createDataFrame([("a", "ok", "ok", "ok"), ("b", "error", "ok", "pending")], "doc_id string, status_download string, status_parse string, status_chunk string")
     pages = spark.createDataFrame([("a", "digital", True, ["t"], 5)], "doc_id string, classification string, has_revoked boolean, tables_markdown array<string>, char_count int")
     none = spark.createDataFrame([], "doc_id string, has_table boolean, has_revoked boolean, text string, chunk_index int")
     points = spark.createDataFrame([("b",)], "doc_id string")
     got = {(r.doc_id, r.issue) for r in audit.issues(audit.document_audit(cat, pages, none, points)).collect()}
-    assert got == {("a", "parsed without chunks"), ("a", "struck-out text lost"), ("b", "chunks and points differ")}
+    assert got == {("a", "chunked without chunks"), ("a", "struck-out text lost"), ("b", "chunks and points differ"), ("b", "not downloaded"), ("b", "parsed without pages")}
 
 
 def test_stream(spark):
