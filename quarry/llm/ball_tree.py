@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quarry.session import cut, table
 
-LEAF, SHARD_ROWS, BLOCK_ROWS = 64, 2048, 256
+LEAF, SHARD_ROWS, BLOCK_ROWS = 64, 2048, 2048
 #: Vectors whose squared norm is at most this have inner products that float64 holds exactly.
 EXACT = 2.0**52
 

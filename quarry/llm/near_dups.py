@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.components import components
 from quarry.llm.flat import LOWER, flat, mix, slices, span_hashes, spans
+from quarry.llm.suffix_dedup import numbered
 from quarry.session import cut, table
 
 BINS, BAND = 128, 4
@@ -206,20 +207,56 @@ def _only_near(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return seen.mapInArrow(run, docs.schema)
 
 
+def _share(percent: int) -> float:
+    """Two sets are linked if they differ in so much of their sizes' sum at most."""
+    return (100 - percent) / (100 + percent)
+
+
+def prefixes(deltas: DataFrame, percent: int) -> DataFrame:
+    """The rarest differences of each class from its pivot, one of which it shares with every class that it can be linked with.
+
+    Of two classes that aren't linked with the pivot's component (``outside``)
+    that of the smaller weight d - share * n only needs its ``narrow`` rows:
+    linked sets agree in half the sum of their weights or more.
+    """
+    holders = deltas.groupBy("pivot", "element").agg(F.count("*").alias("holders"), F.bool_or("outside").alias("met"))
+    share = _share(percent)
+    weight = F.col("d") - share * F.col("n")
+    wide = F.when(F.col("outside"), F.ceil(F.col("d") - share * (1 + 100 / percent) * F.col("n") - 1e-6)).otherwise(F.ceil((1 - share) / 2 * F.col("d") - 1e-6))
+    within = lambda least: F.col("at") <= F.col("d") - F.greatest(least, F.lit(1)) + 1
+    rarest = Window.partitionBy("pivot", "rep").orderBy("holders", "element")
+    kept = deltas.join(holders, ["pivot", "element"]).withColumn("at", F.row_number().over(rarest)).where(within(wide) & (F.col("holders") > 1) & F.col("met"))
+    return kept.select("pivot", "element", "rep", "n", "component", "outside", "d", "at", weight.alias("w"), within(F.ceil(weight - 1e-6)).alias("narrow"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id, n_shingles, component_id and kept of each row.
 
     Two documents are linked if 100 * intersection >= ``percent`` * union of
     their shingle sets, with ``percent`` 80 at least. Null and empty texts have
-    empty sets and are linked with nothing. Ids are bigint; rows that repeat an
-    id get the component that its texts have together at the smallest class;
-    rows with a null id are kept, with a null component. Very long texts are
+    empty sets and are linked with nothing. Ids are bigint; texts of one id are
+    linked with each other; rows with a null id are kept, with a null component. Very long texts are
     compared whole; their sets are one row. An empty table gives an empty
     result. Other columns are dropped.
     """
     if percent < 80:
         raise ValueError("the bands are laid out for a similarity of 0.8 or more")
-    docs = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text_column).cast("string").alias("_text"))
+    rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("_id"), F.col(f"`{text_column}`").cast("string").alias("_text"))
+    if rows.where("_id IS NOT NULL").groupBy("_id").count().where("count > 1").isEmpty():
+        out = _grouped(rows, width, percent)
+    else:  # texts of one id are documents of their own, linked with each other
+        named = cut(numbered(rows, "_id", "_text"))
+        known = named.where("_id IS NOT NULL").select(F.col("_doc").alias("a"), F.col("_id").alias("of_id")).distinct()
+        first = known.groupBy("of_id").agg(F.min("a").alias("b"))
+        bound = known.join(first, "of_id").where("a <> b").select("a", "b")
+        out = _grouped(named.select(F.when(F.col("_id").isNotNull(), F.col("_doc")).alias("_id"), "_text"), width, percent, bound)
+        names = known.select(F.col("a").alias("_id"), "of_id")
+        out = out.join(names, "_id", "left").join(names.toDF("component", "of_component"), "component", "left").select(F.col("of_id").alias("_id"), "n", F.col("of_component").alias("component"))
+    return out.select(F.col("_id").alias(id_column), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("_id") == F.col("component"), F.lit(True)).alias("kept"))
+
+
+def _grouped(docs: DataFrame, width: int, percent: int, bound: DataFrame | None = None) -> DataFrame:
+    """_id, n and component of each row of ``docs`` (_id, _text); documents of ``bound`` (a, b) are linked whatever their texts."""
     marks = cut(docs.mapInArrow(_fingerprints(width), "_id bigint, n bigint, print binary, bands array<bigint>, sketch binary"))
     known = marks.where("print IS NOT NULL AND _id IS NOT NULL")
     classes = cut(known.groupBy("print").agg(F.min("_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
@@ -234,9 +271,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_colum
     fits = lambda x, y: (F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y))
     near = cut(members.select("rep").distinct())
     texts = _only_near(docs, near).join(near, F.col("_id") == F.col("rep"), "left_semi")
-    # Rows that repeat an id must not stand in for the class; its own set is told by the fingerprint.
-    sets = texts.mapInArrow(_sets(width), "rep bigint, elements binary").join(classes.select("rep", "print"), "rep").where(F.unhex(F.md5("elements")) == F.col("print")).select("rep", "elements").dropDuplicates(["rep"])
-    sets = cut(sets)
+    sets = texts.mapInArrow(_sets(width), "rep bigint, elements binary")
+    sets = cut(sets if bound is None else sets.dropDuplicates(["rep"]))  # rows alike in id and text
 
     def confirm(pairs: DataFrame) -> DataFrame:
         left, right = sets.select(F.col("rep").alias("a"), F.col("elements").alias("x")), sets.select(F.col("rep").alias("b"), F.col("elements").alias("y"))
@@ -263,15 +299,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_colum
     around = around.select("pivot", "rep", "n", "component", (F.col("component") != F.col("centre")).alias("outside"))
     both = around.join(sets.toDF("pivot", "p"), "pivot").join(sets, "rep").select("pivot", "rep", "n", "component", "outside", "p", "elements")
     deltas = cut(both.mapInArrow(_deltas, "pivot bigint, rep bigint, n bigint, component bigint, outside boolean, d bigint, element bigint"))
-    holders = deltas.groupBy("pivot", "element").agg(F.count("*").alias("holders"), F.bool_or("outside").alias("met"))
-    share = (100 - percent) / (100 + percent)  # two sets are linked if they differ in so much of their sizes' sum at most
-    # Linked sets agree in (weight + weight) / 2 of their differences or more, which is the smaller weight at least.
-    weight = F.col("d") - share * F.col("n")
-    wide = F.when(F.col("outside"), F.ceil(F.col("d") - share * (1 + 100 / percent) * F.col("n") - 1e-6)).otherwise(F.ceil((1 - share) / 2 * F.col("d") - 1e-6))
-    within = lambda least: F.col("at") <= F.col("d") - F.greatest(least, F.lit(1)) + 1
-    rarest = Window.partitionBy("pivot", "rep").orderBy("holders", "element")
-    kept = deltas.join(holders, ["pivot", "element"]).withColumn("at", F.row_number().over(rarest)).where(within(wide) & (F.col("holders") > 1) & F.col("met"))
-    kept = cut(kept.select("pivot", "element", "rep", "n", "component", "outside", "d", "at", weight.alias("w"), within(F.ceil(weight - 1e-6)).alias("narrow")))
+    kept, share = cut(prefixes(deltas, percent)), _share(percent)
     side = lambda s: kept.select("pivot", "element", *(F.col(c).alias(f"{c}_{s}") for c in ("n", "d", "component", "outside", "at", "w", "narrow")), F.col("rep").alias(s))
     # No more differences than those from here on can agree, if this is the first that does.
     agree = 1 + F.least(F.col("d_a") - F.col("at_a"), F.col("d_b") - F.col("at_b"))
@@ -286,10 +314,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_colum
     seen = classes.select("rep", "sketch")
     third = third.join(seen.toDF("a", "x"), "a").join(seen.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_alike, "a bigint, b bigint")
     links = cut(links.union(confirm(third)))
+    if bound is not None:
+        of = known.select("_id", "print").distinct().join(classes.select("print", "rep"), "print").select("_id", "rep")
+        ends = bound.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").where("x <> y")
+        links = links.union(ends.select(F.least("x", "y"), F.greatest("x", "y")))
     final = components(links).withColumnsRenamed({"node": "rep"})
     by_class = classes.select("print", "rep").join(final, "rep", "left").select("print", F.coalesce("component", "rep").alias("component"))
-    out = marks.select("_id", "n", "print").join(by_class, "print", "left").withColumn("component", F.when(F.col("_id").isNotNull(), F.coalesce("component", "_id")))
-    return out.select(F.col("_id").alias(id_column), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("_id") == F.col("component"), F.lit(True)).alias("kept"))
+    out = marks.select("_id", "n", "print").join(by_class, "print", "left")
+    return out.select("_id", "n", F.when(F.col("_id").isNotNull(), F.coalesce("component", "_id")).alias("component"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

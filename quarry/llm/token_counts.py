@@ -35,9 +35,8 @@ from quarry.session import table
 
 #: Bytes of a chunk; most documents are one chunk.
 CHUNK = 1 << 16
-#: Transitions and words that a task keeps.
-TABLE_ENTRIES = 1_000_000
-WORD_ENTRIES = 300_000
+#: States, pairs of tokens and words that a task keeps.
+STATES, PAIRS, WORD_ENTRIES = 150_000, 400_000, 300_000
 OTHER, LETTER, NUMBER, BLANK = range(4)
 #: Fixed values of the splitting pattern.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -101,7 +100,7 @@ class Machine:
     def follows(self, before: bytes | None, token: bytes) -> bool:
         """Do the two tokens stay as they are, side by side? A tokenization is one of which all neighbours do."""
         if (key := (before, token)) not in self.pairs:
-            if len(self.pairs) > TABLE_ENTRIES:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             self.pairs[key] = self.merged((before or b"") + token) == ([before, token] if before is not None else [token])
         return self.pairs[key]
@@ -128,12 +127,16 @@ class Machine:
         """Tokens of one word of the splitter, or of a special token."""
         if word in self.special:
             return 1
-        if len(self.configs) > TABLE_ENTRIES:
-            self.reset()
         step, state, n = self.step, 0, 0
         for b in word:
             to = step.get(state << 8 | b)
             if to is None:
+                if len(self.configs) > STATES:  # a long word goes on from where it is, in new tables
+                    config = self.configs[state]
+                    self.reset()
+                    step, state = self.step, self.states.setdefault(config, len(self.configs))
+                    if state:
+                        self.configs.append(config)
                 to = self.transition(state, b)
             state = to >> 12
             n += (to & 4095) - 2048

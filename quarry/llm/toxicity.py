@@ -44,13 +44,15 @@ def features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """
     buf = LOWER[buf]
     starts, ends, _ = spans(buf, off, SPACE | _END)
-    upto = [ends, *(np.minimum(ends, starts + k) for k in PREFIXES)]
-    slots = np.zeros((len(starts), len(upto)), np.int32)
-    for i, h in enumerate(span_hashes(buf, *((starts, e) for e in upto))):
-        slots[:, i] = 1 + (h % np.uint64(SLOTS - 1)).astype(np.int32)
+    width = 1 + len(PREFIXES)
+    slots = np.zeros((len(starts), width), np.int32)
+    end = lambda i: np.minimum(ends, starts + PREFIXES[i - 1]) if i else ends
+    step = width if len(buf) <= 1 << 21 else 1  # of very long texts one column at a time
+    for at in range(0, width, step):
+        for i, h in enumerate(span_hashes(buf, *((starts, end(i)) for i in range(at, at + step))), at):
+            slots[:, i] = 1 + (h % np.uint64(SLOTS - 1)).astype(np.int32)
     for i, k in enumerate(PREFIXES, 1):
         slots[ends - starts <= k, i] = 0
-    del upto
     a, b, _ = spans(buf, off, _END)
     first = np.searchsorted(starts, a)
     some = np.searchsorted(starts, b) > first

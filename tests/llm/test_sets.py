@@ -1,6 +1,7 @@
 """Operators over whole collections."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -8,11 +9,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarry.llm import ball_tree, column_bwt, components, near_dups, packing, sharding, suffix_dedup
+from quarry.llm import ball_tree, column_bwt, components, flat, near_dups, packing, quality, queries, sharding, suffix_dedup, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SF = "/root/testdata/sf0.001"
@@ -78,6 +80,46 @@ def test_near_duplicates_odd_rows(spark):
     got = near_dups.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in got) == [(-1, -1, True), (5, 5, True), (5, 5, True), (6, 5, False), (7, 7, True)]
     assert near_dups.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+    # An id with two texts links what is like either of them.
+    a, b, c = ("one two three four five six seven", "alpha beta gamma delta epsilon zeta", "not like any of the other texts")
+    rows = [(9, a), (9, b), (3, b), (12, a), (20, c), (9, a), (None, b)]
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in got) == [(-1, -1, True), (3, 3, True), (9, 3, False), (9, 3, False), (9, 3, False), (12, 3, False), (20, 20, True)]
+
+
+def test_texts_of_one_template_make_no_pairs(spark):
+    def met(n):
+        """Rows that the third pass joins, for a template of 160 words with 40 own words, none of them linked."""
+        rows = []
+        for i in range(1, n):
+            own = [*range(1000 * i, 1000 * i + 41), *range(41)]  # what it has alone, and what the pivot has alone
+            rows += [(0, i, 200, i, True, len(own), e) for e in own]
+        kept = near_dups.prefixes(spark.createDataFrame(rows, "pivot bigint, rep bigint, n bigint, component bigint, outside boolean, d bigint, element bigint"), 80)
+        keys = kept.groupBy("pivot", "element").agg(F.count_if("narrow").alias("a"), F.count("*").alias("b"))
+        return keys.agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0))).first()[0]
+
+    assert met(200) <= 200 and met(400) <= 400
+
+
+def test_template_texts_and_their_copies(spark):
+    rng = random.Random(12)
+    base = [f"t{k}" for k in range(160)]
+    rows = []
+    for i in range(60):
+        own = [f"o{i}_{k}" for k in range(40)]
+        rows.append((i, " ".join(base + own)))
+        if i % 3 == 0:  # a near copy of a text that isn't near the template's others
+            own[rng.randrange(40)] = "changed"
+            rows.append((100 + i, " ".join(base + own)))
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, SCHEMA), width=2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == groups(rows, 2)
+
+
+def test_sketches_in_parts_are_the_same():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (0, 1, 700, 3, 0, 250)]
+    whole, parts = near_dups.sketches(sets), near_dups.sketches(sets, part=100)
+    assert (whole == parts).all()
 
 
 def test_sketches_fill_and_estimate():
@@ -197,6 +239,15 @@ def test_packing(spark):
     assert packing.pack(pieces.limit(0), ["doc_id", "piece"]).count() == 0
 
 
+def test_packing_very_long_runs(spark):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(BPE)
+    rows = [(1, "a" + " " * 1_000_000 + "b c"), (2, "\n" * 200_000), (3, "x" * 300_000), (4, " \t" * 90_000 + "<|endoftext|>")]
+    got = {r.doc_id: r.n for r in packing.tokenized_pieces(spark.createDataFrame(rows, SCHEMA), BPE).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    assert got == {i: len(lib.encode(t, add_special_tokens=False).ids) + 1 for i, t in rows}
+
+
 def test_packing_groups_stay_small(spark, monkeypatch):
     sizes = spark.sparkContext.accumulator(0)
     packer = packing._packer
@@ -287,6 +338,121 @@ def test_communication_matrix():
     assert every.mean(axis=0) == pytest.approx(np.outer(parts, blocks) / 20, abs=0.12)
 
 
+def test_shards_in_levels(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "MAX_FAN", 4)
+    df = spark.range(2000).select(F.col("id").alias("doc_id"))
+    got = sharding.shuffle_into_shards(df, ["doc_id"], 7, rows_per_part=40).collect()
+    sizes = Counter(r.shard for r in got)
+    assert sorted(r.doc_id for r in got) == list(range(2000)) and sorted(sizes) == list(range(7)) and max(sizes.values()) - min(sizes.values()) <= 1
+    for s in sizes:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sizes[s]))
+    runs = [{r.doc_id: r.shard for r in sharding.shuffle_into_shards(spark.range(60).select(F.col("id").alias("doc_id")), ["doc_id"], 3, seed=k, rows_per_part=6).collect()} for k in range(25)]
+    together = np.mean([r[a] == r[b] for r in runs for a in range(60) for b in range(a)])
+    assert together == pytest.approx(19 / 59, abs=0.01)  # as for a uniform shuffle into shards of 20
+
+
+def test_large_hypergeometric_numbers():
+    rng = np.random.default_rng(4)
+    for good, bad, sample in ((400, 900, 300), (60, 5000, 900), (9000, 9000, 4000), (700, 800, 750)):
+        got = np.array([sharding._rejected(rng, good, bad, sample) for _ in range(4000)])
+        p = good / (good + bad)
+        spread = math.sqrt(sample * p * (1 - p) * (good + bad - sample) / (good + bad - 1))
+        assert got.mean() == pytest.approx(sample * p, abs=5 * spread / 60) and got.std() == pytest.approx(spread, rel=0.06)
+    parts, blocks = np.array([3 * 10**9, 10**9, 7]), np.array([2 * 10**9, 10**9, 10**9, 7])
+    m = sharding.communication_matrix(parts, blocks, 1)
+    assert (m.sum(1) == parts).all() and (m.sum(0) == blocks).all() and (m >= 0).all()
+    assert m[0, 0] == pytest.approx(1.5 * 10**9, rel=1e-3)
+
+
+def plain_queries(name, got, docs):
+    """What each contract fixes, from plain Python; ``got`` by doc_id."""
+    crc = lambda b: zlib.crc32(b)
+    for i, t in docs:
+        r, b = got[i], (t or "").encode()
+        if name == "op1_toxicity":
+            assert r.held_out == (crc(str(i).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7)
+        elif name == "op9_uniform_shards":
+            assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(b) + 16, crc(b), "rows", None) and 0 <= r.shard < 40
+        elif name == "op10_token_counts":
+            assert r.n_bytes == len(b) and r.over_limit == (r.n_tokens > 512)
+        elif name == "op5_near_duplicates":
+            assert r.kept == (i == r.component_id)
+
+
+COLUMNS = {
+    "op1_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op3_quality_rules": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
+    "op4_best_fit_packing": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
+    "op5_near_duplicates": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
+    "op6_suffix_dedup": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
+    "op7_piece_codec": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+    "op8_exact_top_k": "query_id bigint, rank int, vec_id bigint, score bigint",
+    "op9_uniform_shards": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
+    "op10_token_counts": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
+}
+
+
+@pytest.mark.parametrize("name", COLUMNS)
+def test_registered_queries(spark, name):
+    df = queries.QUERIES[name](spark, SF)
+    kinds = dict(df.dtypes)
+    assert all(kinds[c.split()[0]] == c.split()[1] for c in COLUMNS[name].split(", "))
+    rows = df.collect()
+    if name == "op8_exact_top_k":
+        return
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    assert {r.doc_id for r in rows} == {i for i, _ in docs}
+    if name == "op6_suffix_dedup":
+        assert Counter(map(tuple, rows)) == removed(docs)
+    if name != "op4_best_fit_packing":
+        plain_queries(name, {r.doc_id: r for r in rows}, docs)
+
+
+def test_carried_names_never_clash(spark):
+    df = spark.createDataFrame([(k, f"text number {k} " * 30, "en", k, "a", 1, "b", 0.5, 1) for k in range(30)], "doc_id bigint, text string, lang string, n_chars bigint, spans string, _text int, _lang string, score double, _doc int")
+    assert suffix_dedup.deduplicated(df).columns == df.columns and suffix_dedup.deduplicated(df).count() == 30
+    assert "_text" in quality.assessed(df).columns and quality.assessed(df).count() == 30
+    out = toxicity.scored(df, (np.zeros(toxicity.SLOTS, np.float32), -5.0))
+    assert out.where("_text = 1 AND _lang = 'b'").count() == 30
+
+
+def test_very_long_texts_in_blocks(spark):
+    """A text of many blocks: what a task holds is a small multiple of it, and results are those of short blocks."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(1, 11))) for _ in range(3000)]
+    text = " ".join(rng.choice(words, 1_500_000)).encode()
+    buf, off = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    model = quality.KneserNey(*(np.unique(quality.grams(buf[:100000], np.array([0]), 3), return_counts=True)), 3)
+    for name, run, most in (
+        ("op1", lambda: toxicity.features(buf, off), 25), ("op3", lambda: (quality.measures(buf, off), model.scores(buf, off)), 22),
+        ("op5", lambda: near_dups.sketches(near_dups.shingle_sets(pa.array([text.decode()], pa.large_string()), 5)), 22), ("op6", lambda: suffix_dedup.occurrences(buf, off), 25),
+    ):
+        tracemalloc.start()
+        run()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most * len(text), (name, peak / len(text))
+
+
+def test_blocks_change_nothing(monkeypatch):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ab \n.é") for _ in range(rng.randrange(0, 900))) for _ in range(40)] + ["", "x" * 700, "a b " * 300]
+    buf, off = flat.flat(pa.array(texts, pa.large_string()))
+
+    def every():
+        m = quality.measures(buf, off)
+        model = quality.KneserNey(*(np.unique(np.concatenate([g for _, _, g in quality.gram_blocks(buf, off, 3)]), return_counts=True)), 3)
+        occ = suffix_dedup.occurrences(buf, off)
+        return {k: v.tolist() for k, v in m.items()}, model.scores(buf, off), [x.tolist() for x in toxicity.features(buf, off)], int(occ[2].sum())
+
+    one = every()
+    monkeypatch.setattr(flat, "BLOCK", 97)
+    two = every()
+    assert one[0] == two[0] and one[1] == pytest.approx(two[1]) and one[2] == two[2] and one[3] == two[3]
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     names = docs.columns

@@ -67,6 +67,67 @@ def test_quality_bands(spark):
     assert all(got[i] for i in range(150)) and not any(got[i] for i in range(150, 153))
 
 
+def plain_log_perplexity(texts):
+    """Modified Kneser-Ney of byte trigrams with dictionaries, mean negative log per byte of each text."""
+    grams = lambda b: [(b"  " + b)[i : i + 3] for i in range(len(b))]
+    levels = {3: Counter(g for t in texts for g in grams(t))}
+    for n in (2, 1):
+        levels[n] = Counter(g[1:] for g in levels[n + 1])
+    discount, total, kinds = {}, {}, {}
+    for n, counts in levels.items():
+        n1, n2, n3, n4 = (sum(c == k for c in counts.values()) for k in (1, 2, 3, 4))
+        if min(n1, n2, n3, n4):
+            y = n1 / (n1 + 2 * n2)
+            d = [0, min(max(1 - 2 * y * n2 / n1, 0), 0.99), min(max(2 - 3 * y * n3 / n2, 0), 1.99), min(max(3 - 4 * y * n4 / n3, 0), 2.99)]
+        else:
+            d = [0, 0.5, 0.75, 0.9]
+        discount[n], total[n], kinds[n] = d, Counter(), {}
+        for g, c in counts.items():
+            total[n][g[:-1]] += c
+            kinds[n].setdefault(g[:-1], Counter())[min(c, 3)] += 1
+
+    def p(g):
+        n = len(g)
+        lower = p(g[1:]) if n > 1 else 1 / 256
+        if not total[n][g[:-1]]:
+            return lower
+        d, c = discount[n], levels[n].get(g, 0)
+        spare = sum(d[k] * m for k, m in kinds[n][g[:-1]].items()) / total[n][g[:-1]]
+        return max(c - d[min(c, 3)], 0) / total[n][g[:-1]] + spare * lower
+
+    known = {}
+    return [-sum(math.log(known.setdefault(g, p(g))) for g in grams(t)) / max(len(t), 1) for t in texts]
+
+
+def test_quality_verdicts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    rows = [(r.doc_id, r.text, r.lang) for r in docs] + [(9000, None, "en"), (9001, "", None), (9002, "#% " * 90, "en")]
+    x = plain_log_perplexity([(t or "").encode() for _, t, _ in rows])
+    fails = [base_measures(t or "")[5] for _, t, _ in rows]
+
+    def median(values, step):
+        bins = Counter(math.floor(v / step) for v in values)
+        upto = 0
+        for k in sorted(bins):
+            upto += bins[k]
+            if 2 * upto >= len(values):
+                return (k + 0.5) * step
+
+    want = {}
+    for lang in {r[2] for r in rows}:
+        mine = [k for k, r in enumerate(rows) if r[2] == lang]
+        long = [k for k in mine if not fails[k]]
+        middle = median([x[k] for k in long], 0.001) if long else None
+        away = {k: (x[k] - middle) * math.sqrt(len((rows[k][1] or "").encode())) for k in mine} if long else {}
+        spread = median([abs(away[k]) for k in long], 0.01) if long else None
+        for k in mine:
+            want[rows[k][0]] = not fails[k] and (not long or abs(away[k]) <= quality.BAND * spread), x[k]
+    got = {r.doc_id: r for r in quality.assessed(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), carry=["doc_id"]).collect()}
+    assert all(got[i].log_perplexity == pytest.approx(v, abs=2e-4) for i, (_, v) in want.items())
+    assert sum(got[i].kept != k for i, (k, _) in want.items()) <= 1  # a value at a bin's edge may fall to either side
+    assert sum(k for k, _ in want.values()) > 0.6 * len(rows)
+
+
 def test_kneser_ney_sums_to_one():
     text = np.frombuffer(b"abracadabra abra banana band " * 3, np.uint8)
     keys, counts = np.unique(quality.grams(text, np.array([0]), 3), return_counts=True)
@@ -100,6 +161,28 @@ def test_toxicity(spark):
     assert toxicity.scored(odd(spark).limit(0), model).count() == 0
 
 
+def test_toxicity_scores_as_a_plain_version(spark):
+    rng = np.random.default_rng(7)
+    weights, bias = rng.normal(-0.1, 1, toxicity.SLOTS).astype(np.float32), -2.0
+    weights[0] = 0
+
+    def slots(word):
+        b = np.frombuffer(word, np.uint8)
+        return toxicity.features(b, np.array([0, len(b)]))[0][0]
+
+    def score(t):
+        rest = 1.0
+        for sentence in re.split("[.!?\n]+", low(t or "")):
+            w = WORD.findall(sentence)
+            if w:
+                rest *= 1 - 1 / (1 + math.exp(-(sum(float(weights[slots(x.encode())].sum()) for x in w) + bias)))
+        return 1 - rest
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()] + ODD[:5] + [(90, "One. Two! two?\nONE one")]
+    got = toxicity.scored(spark.createDataFrame(rows, "doc_id bigint, text string"), (weights, bias)).collect()
+    assert [r.score for r in got] == pytest.approx([score(t) for _, t in rows], abs=1e-6)
+
+
 def test_noisy_or():
     assert toxicity.noisy_or(np.log([0.25, 1.0]) - np.log([0.75, 1.0]), np.array([0, 2, 2])) == pytest.approx([1 - 0.75 * 0.5, 0])
 
