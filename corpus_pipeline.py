@@ -22,7 +22,9 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that of the smallest id."""
+    """One document of each near-duplicate group: that of the smallest id, and of rows alike in id and text one."""
+    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        docs = cut(docs.dropDuplicates(["doc_id", "text"]))
     gone = cut(near_dups.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct())
     maybe, no = suffix_dedup.parted(docs, gone, "doc_id")
     return no.union(maybe.join(gone, "doc_id", "left_anti").select(*docs.columns))

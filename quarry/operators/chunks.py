@@ -21,10 +21,11 @@ HEADINGS = (
 
 
 def heading_kind(line: Column) -> Column:
+    """Kind of the first pattern that a line matches; most lines fail a look at their first letters."""
     out = F.lit(None).cast("string")
     for pattern, kind in reversed(HEADINGS):
         out = F.when(F.rlike(line, F.lit(pattern)), kind).otherwise(out)
-    return out
+    return F.when(F.rlike(line, F.lit(r"(?iuU)^\s*(?:CAP|SE[ÇC]|TÍT|ART|§|PAR)")), out)
 
 
 def has_table(text: Column) -> Column:
@@ -37,7 +38,10 @@ def has_revoked(text: Column) -> Column:
 
 
 def clean_text(text: Column) -> Column:
-    """Without blank table rows, empty strike-outs and runs of blank lines."""
+    """Without blank table rows, empty strike-outs and runs of blank lines.
+
+    The pattern of blank rows is written so that it takes linear time.
+    """
     text = F.regexp_replace(text, r"(?dmU)^\s*\|[\s|]*$", "")
     text = F.regexp_replace(text, r"(?U)~~\s*~~", "")
     return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))

@@ -8,24 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quarry.sources.tables import load
-
 
 def run_stage(spark: SparkSession, source: str, schema: str, work: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, key: str = "doc_id", files_per_batch: int = 128) -> StreamingQuery:
-    """Applies ``work`` to new rows of Parquet files under ``source`` and appends to ``target``, once for each key.
+    """Applies ``work`` to new rows of Parquet files under ``source`` and adds the results to ``target``, once for each key.
 
-    A micro-batch that is run again after a failure finds its keys in the target
-    and adds nothing. All files that are there are worked off, then it ends.
+    The stream's state tells which keys it has had, so no micro-batch reads the
+    target. Each writes a folder of its own (``batch``), so one that is run again
+    after a failure replaces what it had written. All files that are there are
+    worked off, then it ends; a later run with the same checkpoint goes on.
     """
 
     def flush(batch: DataFrame, number: int) -> None:
-        done = load(batch.sparkSession, target)
-        new = batch.dropDuplicates([key])
-        if done is not None:
-            new = new.join(done.select(key).distinct(), key, "left_anti")
-        work(new).write.mode("append").parquet(target)
+        work(batch).write.mode("overwrite").parquet(f"{target.rstrip('/')}/batch={number}")
 
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source).dropDuplicates([key])
     return stream.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
