@@ -183,18 +183,18 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 #: Words of the filter that keeps texts without candidates out of a shuffle: 2 MB. Where more ids would fill it, the join alone decides.
-FILTER_WORDS, FILTER_VALUES = 1 << 18, 1 << 22
+FILTER_WORDS = 1 << 18
 
 
 def _only_near(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` (_id, _text) without most rows whose id isn't in ``ids`` (rep); a join with ``ids`` decides."""
-    if ids.count() > FILTER_VALUES:
-        return docs
     h = F.xxhash64("rep")
     words = np.zeros(FILTER_WORDS, np.int64)
     bits = ids.groupBy(F.pmod(h, F.lit(FILTER_WORDS)).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(shiftrightunsigned(xxhash64(rep), 32), 64) as int))")).alias("b"))
     got = bits.toPandas()  # FILTER_WORDS rows at most
     words[got["w"].to_numpy()] = got["b"].to_numpy()
+    if 4 * np.bitwise_count(words.view(np.uint64)).sum() > 64 * FILTER_WORDS:
+        return docs  # so many ids that the filter lets too much pass
     seen = docs.withColumn("_h", F.xxhash64("_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +269,7 @@ def _grouped(docs: DataFrame, width: int, percent: int, bound: DataFrame | None
     pivots = pivots.select("band", (-F.col("p.minus")).alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.weight").alias("pivot_weight"))
     members = cut(members.drop("size").join(pivots, "band"))
     fits = lambda x, y: (F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y))
-    near = cut(members.select("rep").distinct())
+    near = members.select("rep").distinct()
     texts = _only_near(docs, near).join(near, F.col("_id") == F.col("rep"), "left_semi")
     sets = texts.mapInArrow(_sets(width), "rep bigint, elements binary")
     sets = cut(sets if bound is None else sets.dropDuplicates(["rep"]))  # rows alike in id and text
