@@ -9,10 +9,11 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, lm_scoring, pieces, quality, token_counts, toxicity
+from quarry.llm import bpe, flat, lm_scoring, pieces, quality, token_counts, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SF = "/root/testdata/sf0.001"
@@ -307,6 +308,16 @@ def test_lm_windows_of_whole_texts(spark):
     assert sum(r.n for r in made.where("kind = 1").collect()) == sum(len(t.split()) + 1 for _, t in docs)
 
 
+def test_lm_batches_give_the_words_ids():
+    rng = random.Random(1)
+    docs = ["", "a b a", "  x\u00a0y z\u3000  ", " " * 5, "x" * 900 + " b x", "don't <|endoftext|> a<|endoftext|>", "\u00c9 \u00e9 \u00c0B"]
+    docs += ["".join(rng.choice(["a", " ", "\n", "\u00e9", "\u00a0", "'s", "1", "!?"]) for _ in range(60)) for _ in range(200)]
+    ids, at = lm_scoring.batch_ids(BPE, *flat.flat(pa.array(docs, pa.large_string())))
+    for i, t in enumerate(docs):
+        want = [*(bpe.encode_word(BPE, w.encode()).tolist() for w in WORD.findall(low(t))), [lm_scoring.END]]
+        assert ids[at[i] : at[i + 1]].tolist() == [x for w in want for x in w]
+
+
 def test_lm_long_and_broken_words(spark):
     rng = random.Random(8)
     long = "".join(rng.choice("abcde\u00e9!") for _ in range(30000))
