@@ -13,9 +13,6 @@ TABLES = (
     "documents embeddings pages benchmark labels conversations"
 ).split()
 
-#: Files of a cut table for each core.
-WAVES = 4
-
 
 def local_session(cpus: int | str = "*", app: str = "quarry") -> SparkSession:
     """A local session for tests and the bench; clusters bring their own."""
@@ -55,12 +52,8 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as a compressed table in the shared folder and cut its lineage.
 
     A lost executor takes nothing of it along. The folder's owner clears it.
-    The table has a few files for each core of the cluster at most: partitions
-    beyond that are written one after another, which spares the folder's store
-    and the cluster thousands of small files.
     """
     spark = df.sparkSession
-    df = df.coalesce(WAVES * max(spark.sparkContext.defaultParallelism, 6))
     path = f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
