@@ -33,7 +33,8 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_i
 
     The end id closes each document, so a null or empty text is one piece of one
     token. Documents longer than ``capacity`` are cut into full pieces, the
-    first one taking what is over.
+    first one taking what is over. Texts are encoded whole, whatever their
+    length; rows that repeat an id are cut one by one, and a null id stays null.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,8 +109,10 @@ def pack(pieces: DataFrame, keys: list[str], capacity: int = CAPACITY, group_row
     """``pieces`` with sequence_id and offset.
 
     ``length`` is between 1 and ``capacity``; ``keys`` tell pieces apart and fix
-    the order of a group, so a lost task's second run packs alike. An empty
-    table gives an empty result.
+    the order of a group, so a lost task's second run packs alike. Pieces of one
+    length go by their keys; rows alike in all of them are packed one by one.
+    Columns of ``pieces`` named like the results are replaced. An empty table
+    gives an empty result.
     """
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     pieces = pieces.select(*names)

@@ -280,7 +280,8 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     A byte goes if a string of ``width`` bytes that covers it also starts
     earlier: in a smaller id, or before it in the same text. Null ids count as
     the largest; texts of one id are ordered among themselves, and rows alike in
-    id and text are one document. Null texts are empty.
+    id and text are one document. Null texts are empty. Texts of any length are
+    looked at whole, in blocks. An empty table gives an empty result.
     """
     return _repeats(numbered(docs, id_column, text_column), width, core)
 
