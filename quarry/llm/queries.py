@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import ball_tree, lm_scoring, near_dups, packing, pieces, quality, sharding, suffix_dedup, token_counts, toxicity
+from quarry.llm import ball_tree, lm_scoring, manifest, near_dups, packing, pieces, quality, sharding, suffix_dedup, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.query,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_top_k": ball_tree.query,
     "op9_uniform_shards": sharding.query,
     "op10_token_counts": token_counts.query,
+    "op11_merkle_manifest": manifest.query,
 }
 
-ORACLES: dict[str, str] = {"op8_exact_top_k": ball_tree.ORACLE}
+ORACLES: dict[str, str] = {"op8_exact_top_k": ball_tree.ORACLE, "op11_merkle_manifest": manifest.ORACLE}
