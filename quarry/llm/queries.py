@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import ball_tree, lm_scoring, manifest, near_dups, packing, pieces, quality, sharding, suffix_dedup, token_counts, toxicity
+from quarry.llm import ball_tree, licenses, lm_scoring, manifest, near_dups, packing, pieces, quality, sharding, spelling, suffix_dedup, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.query,
@@ -20,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_uniform_shards": sharding.query,
     "op10_token_counts": token_counts.query,
     "op11_merkle_manifest": manifest.query,
+    "op12_spelling_variants": spelling.query,
+    "op13_license_scans": licenses.query,
 }
 
-ORACLES: dict[str, str] = {"op8_exact_top_k": ball_tree.ORACLE, "op11_merkle_manifest": manifest.ORACLE}
+ORACLES: dict[str, str] = {"op8_exact_top_k": ball_tree.ORACLE, "op11_merkle_manifest": manifest.ORACLE, "op12_spelling_variants": spelling.ORACLE}
