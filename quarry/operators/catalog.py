@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.ids import document_id
@@ -133,11 +133,21 @@ def embed_work(catalog: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFr
     return chunks.join(todo, "doc_id", "left_semi"), todo.join(have, "doc_id", "left_anti").select("doc_id", F.lit("ok").alias("status"))
 
 
-def job_statistics(results: DataFrame, counted: dict[str, str] | None = None) -> DataFrame:
-    """One row of a stage's run: documents taken on (``pending``), done and failed, and sums of the columns in ``counted`` by name."""
+def _statistics(counted: dict[str, str] | None) -> list[Column]:
     n = lambda s: F.count_if(F.col("status") == s)
     sums = (F.coalesce(F.sum(column), F.lit(0)).alias(name) for name, column in (counted or {}).items())
-    return results.agg(F.count("*").alias("pending"), n("ok").alias("ok"), n("error").alias("errors"), *sums)
+    return [F.count("*").alias("pending"), n("ok").alias("ok"), n("error").alias("errors"), *sums]
+
+
+def job_statistics(results: DataFrame, counted: dict[str, str] | None = None) -> DataFrame:
+    """One row of a stage's run: documents taken on (``pending``), done and failed, and sums of the columns in ``counted`` by name."""
+    return results.agg(*_statistics(counted))
+
+
+def observed(results: DataFrame, counted: dict[str, str] | None = None) -> tuple[DataFrame, Observation]:
+    """``results``, and an observation that has job_statistics() of them once a job has read them all."""
+    seen = Observation()
+    return results.observe(seen, *_statistics(counted)), seen
 
 
 def _states(catalog: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.config import DEFAULT, Config
 from quarry.functions.text import strip, strip_end
+from quarry.operators import intervals
 
 
 def image_ratio(areas: Column, page_area: Column) -> Column:
@@ -95,13 +98,48 @@ def stroke_lines(drawings: DataFrame) -> DataFrame:
     )
 
 
+def _probes(coverage: float) -> list[float]:
+    """Places along a span's width of which any stroke that covers ``coverage`` of it meets one."""
+    if coverage > 0.5:
+        return [0.5]
+    n = math.ceil(1 / max(coverage, 0.02))
+    return [k / n for k in range(n + 1)]
+
+
+def strike_pairs(spans: DataFrame, marks: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """Spans with the marks of their page that may strike them out, as pairs on equal bands of height and width.
+
+    Both sides stand in bands of height; in the width, a stroke that covers enough
+    of a span reaches its middle, so the span stands in the bands of that place
+    and the mark in those of its width. Spans and marks of a page with very
+    many of both meet in proportion to those that lie on each other.
+    """
+    page, side = ["doc_id", "page_index"], ["x0", "y0", "x1", "y1"]
+    m = marks.where(F.col("kind").isin("line", "annotation") & intervals.finite(*side)).select(*page, "kind", *(F.col(c).alias(f"m{c}") for c in side))
+    middle = (F.col("my0") + F.col("my1")) / 2
+    flat = F.col("kind") == "line"  # a line counts at its middle, an annotation from edge to edge
+    m = m.withColumns({"_mlow": F.when(flat, middle).otherwise(F.least("my0", "my1")), "_mhigh": F.when(flat, middle).otherwise(F.greatest("my0", "my1")), "_left": F.least("mx0", "mx1"), "_right": F.greatest("mx0", "mx1")})
+    s = spans.where(intervals.finite(*side)).withColumns({"_low": F.least("y0", "y1"), "_high": F.greatest("y0", "y1")})
+    reach = (F.col("y1") - F.col("y0")) * config.strike_band
+    if config.strike_band > 0.5:  # then the band is wider than the span
+        s = s.withColumns({"_low": F.least("_low", (F.col("y0") + F.col("y1")) / 2 - F.abs(reach)), "_high": F.greatest("_high", (F.col("y0") + F.col("y1")) / 2 + F.abs(reach))})
+    s = s.withColumn("_at", F.explode(F.array(*(F.col("x0") + (F.col("x1") - F.col("x0")) * f for f in _probes(config.strike_coverage)))))
+    heights = intervals.levels(s, page, "_tall", "_low", "_high").join(intervals.levels(m, page, "_flat", "_mlow", "_mhigh"), page).join(intervals.levels(m, page, "_wide", "_left", "_right"), page)
+    s, m = (df.join(heights, page) for df in (s, m))  # pages without both have no pairs
+    s = intervals.banded(s.withColumn("_wx", F.explode("_wide")), F.col("_flat"), "_s", "_low", "_high")
+    s = s.withColumn("_bx", F.floor(F.col("_at") / (F.lit(intervals.BASE) * F.pow(F.lit(2.0), F.col("_wx")))).cast("long"))
+    m = intervals.banded(m, F.col("_tall"), "_m", "_mlow", "_mhigh").withColumn("_wx", intervals.level(F.col("_left"), F.col("_right")))
+    width = F.lit(intervals.BASE) * F.pow(F.lit(2.0), F.col("_wx"))
+    m = m.withColumn("_bx", F.explode(F.sequence(F.floor(F.col("_left") / width).cast("long"), F.floor(F.col("_right") / width).cast("long"))))
+    drop = ["_tall", "_flat", "_wide"]
+    return s.drop(*drop).join(m.drop(*drop), [*page, "_l", "_b", "_wx", "_bx"]).where(intervals.once("_s", "_m"))
+
+
 def struck(spans: DataFrame, marks: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """``spans`` with ``revoked``: a stroke line or a strike-out annotation of its page covers enough of it.
 
-    ``marks`` has kind 'line' or 'annotation'. A page's marks meet its spans in
-    an equi-join; the geometry is a residual condition.
+    ``marks`` has kind 'line' or 'annotation'; coordinates that aren't finite strike nothing.
     """
-    m = marks.select("doc_id", "page_index", "kind", *(F.col(c).alias(f"m{c}") for c in ("x0", "y0", "x1", "y1")))
     width, middle = F.col("x1") - F.col("x0"), (F.col("y0") + F.col("y1")) / 2
     band = (F.col("y1") - F.col("y0")) * config.strike_band
     level = (F.col("my0") + F.col("my1")) / 2
@@ -110,8 +148,9 @@ def struck(spans: DataFrame, marks: DataFrame, config: Config = DEFAULT) -> Data
     touch = (F.col("mx1") >= F.col("x0")) & (F.col("mx0") <= F.col("x1")) & (F.col("my1") >= F.col("y0")) & (F.col("my0") <= F.col("y1"))
     note = (F.col("kind") == "annotation") & touch & (overlap / F.greatest(F.lit(1e-6), width) >= config.strike_coverage)
     keys = ["doc_id", "page_index", "line_no", "span_no"]
-    hit = spans.join(m, ["doc_id", "page_index"]).where(line | note).select(*keys).distinct().withColumn("revoked", F.lit(True))
-    return spans.drop("revoked").join(hit, keys, "left").withColumn("revoked", F.coalesce("revoked", F.lit(False)))
+    own = spans.drop("revoked")
+    hit = strike_pairs(own.select(*keys, "x0", "y0", "x1", "y1"), marks, config).where(line | note).select(*keys).distinct().withColumn("revoked", F.lit(True))
+    return own.join(hit, keys, "left").withColumn("revoked", F.coalesce("revoked", F.lit(False)))
 
 
 def spans_markdown(spans: DataFrame) -> DataFrame:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.operators import evaluation as ev
-from quarry.operators import rates, vectors
+from quarry.operators import clusters, rates, sparse_index, vectors
 from quarry.operators.catalog import payload_filter
 from quarry.operators import retrieval as rt
 from quarry.plans import views
 from quarry.plans.documents import ORACLES, QUERIES, query
-from quarry.session import table
+from quarry.session import shared_dir, table
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -43,6 +43,26 @@ def sparse_topk(spark, d):
     return vectors.sparse_top_k(*views.sparse_inputs(spark, d))
 
 
+def _path(spark, name):
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{spark.sql('SELECT uuid()').first()[0]}"
+
+
+@query(f"WITH {views.SPARSE} SELECT * FROM sp WHERE rank <= 40")
+def sparse_indexed(spark, d):
+    """The rows of sparse_topk from stored postings, of which only blocks that can hold one of the best are unpacked."""
+    path = _path(spark, "postings")
+    words = vectors.postings(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("doc_id", "chunk_id")
+    sparse_index.write(sparse_index.blocks(words), path)
+    return sparse_index.top_k(sparse_index.read(spark, path), views.sparse_inputs(spark, d)[1])
+
+
+@query(f"WITH {views.DENSE} SELECT * FROM dn WHERE rank <= 40")
+def dense_clustered(spark, d):
+    """The rows of dense_topk_batch from vectors stored by cluster."""
+    v, q = views.dense_inputs(spark, d)
+    return clusters.top_k(clusters.laid_out(v.select("chunk_id", "embedding"), _path(spark, "vectors")), q)
+
+
 @query(f"WITH {views.QUESTIONS} SELECT query_id, doc_id FROM idd")
 def identifier_lookup(spark, d):
     return rt.identifier_documents(views.questions(spark, d), views.files(spark, d))

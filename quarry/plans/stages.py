@@ -14,7 +14,7 @@ from quarry.plans import documents, search, views
 from quarry.plans.documents import ORACLES, QUERIES, query
 from quarry.providers import answered
 from quarry.session import cut, table
-from quarry.sources import files, tables
+from quarry.sources import files, store, tables
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -258,3 +258,19 @@ def chunk_rewrite(spark, d):
     stored = cut(tables.read_chunks(spark, path, "doc_id string, text string"))
     i = F.col("doc_id").cast("long")
     return stored.select(i.alias("doc_id"), F.md5("text").alias("text_md5"), (i % 4 == 0).alias("rewritten"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 100 = 1 THEN 'second' ELSE 'first' END AS version, n_chars FROM documents WHERE doc_id % 100 NOT IN (2, 3)
+UNION ALL SELECT doc_id, 'more', n_chars FROM documents WHERE doc_id % 100 = 1""")
+def store_upsert(spark, d):
+    """A store of documents after a batch that replaces some, one that deletes some, a compaction, and one more deletion."""
+    from quarry.session import shared_dir
+
+    path = f"{shared_dir(spark).rstrip('/')}/store-{spark.sql('SELECT uuid()').first()[0]}"
+    docs = table(spark, d, "documents").select("doc_id", F.lit("first").alias("version"), "n_chars")
+    rest = lambda k: docs.where(F.col("doc_id") % 100 == k)
+    store.write(docs, path)
+    store.write(rest(1).withColumn("version", F.explode(F.array(F.lit("second"), F.lit("more")))), path, rest(2))
+    store.compact(spark, path, sort=("n_chars",), bloom=("doc_id",))
+    store.delete(rest(3), path)
+    return store.read(spark, path)

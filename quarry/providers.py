@@ -75,16 +75,36 @@ def with_retries(call: Callable, tries: int = 3, base: float = 0.5, sleep: Calla
             sleep(base * 2**n * (1 + random.random()))
 
 
-def embedded(rows: DataFrame, text: str, make: Callable[[], Encoder] = HashedWords, column: str = "embedding") -> DataFrame:
-    """``rows`` with dense vectors; a task makes its encoder once and works on batches."""
+def embedded(rows: DataFrame, text: str, make: Callable[[], Encoder] = HashedWords, column: str = "embedding", error: str | None = None) -> DataFrame:
+    """``rows`` with dense vectors; a task makes its encoder once and works on batches.
 
-    @F.pandas_udf("array<float>")
-    def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    With ``error``, a batch that fails is encoded text by text, and a text that
+    fails has no vector but its message (cut to 240 characters) in that column;
+    otherwise the failure ends the job.
+    """
+
+    @F.pandas_udf("v array<float>, e string")
+    def encode(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = make()
+
+        def single(t: str) -> tuple:
+            try:
+                return encoder.encode([t])[0], None
+            except Exception as e:
+                return None, str(e)[:240]
+
         for part in parts:
-            yield pd.Series(list(encoder.encode(part.fillna("").tolist())))
+            texts = part.fillna("").tolist()
+            try:
+                out = [(v, None) for v in encoder.encode(texts)] if texts else []
+            except Exception:
+                if error is None:
+                    raise
+                out = [single(t) for t in texts]
+            yield pd.DataFrame(out, columns=["v", "e"], dtype=object)
 
-    return rows.withColumn(column, encode(F.col(text)))
+    out = rows.withColumn("_v", encode(F.col(text))).withColumn(column, F.col("_v.v"))
+    return (out.withColumn(error, F.col("_v.e")) if error else out).drop("_v")
 
 
 def answered(rows: DataFrame, make: Callable[[], Generator] = Extract, system: str = "Answer from the context.", tries: int = 3) -> DataFrame:

@@ -31,6 +31,12 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", suffix.alias("suffix"), "content", sniffed(F.col("content")).alias("is_pdf"))
 
 
+def listed(spark: SparkSession, path: str) -> DataFrame:
+    """(path, suffix) of document files; contents aren't read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path)
+    return files.select("path", F.regexp_extract("path", r"__([0-9a-f]{10})\.pdf$", 1).alias("suffix")).where("suffix <> ''")
+
+
 def sniffed(content):
     """Do the first bytes say that this is a PDF?"""
     return F.coalesce(F.substring(content, 1, 4) == F.unhex(F.lit("25504446")), F.lit(False))

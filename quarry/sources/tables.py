@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from quarry.functions.ids import point_id
 from quarry.operators.catalog import latest
+from quarry.sources import store
 
 CASES = "id string, question string, expected_doc_ids array<string>, gold_answer string, filters map<string,string>"
 
 
 def load(spark: SparkSession, path: str, schema: StructType | None = None, form: str = "parquet") -> DataFrame | None:
-    """A stored table, None if there is none; JSON needs a schema."""
+    """A stored table, be it a store of deltas or a plain folder; None if there is none. JSON needs a schema."""
+    if store.exists(spark, path):
+        return store.read(spark, path, schema, form=form)
     reader = spark.read.format(form)
     try:
         return (reader.schema(schema) if schema else reader).load(path)
@@ -24,32 +27,17 @@ def load(spark: SparkSession, path: str, schema: StructType | None = None, form:
         raise
 
 
-def _bucket(key: str, buckets: int):
-    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+def replace_documents(rows: DataFrame, path: str, documents: DataFrame | None = None, form: str = "parquet") -> None:
+    """All stored rows of the documents in ``rows`` and in ``documents`` make way for the new ones; others stay.
 
-
-def _replace_buckets(rows: DataFrame, path: str, by: str, buckets: int, key: str, form: str) -> None:
-    """Writes rows; of the partitions of ``by`` those that ``rows`` touches are replaced as a whole."""
-    rows.withColumn(by, _bucket(key, buckets)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).format(form).save(path)
-
-
-def replace_documents(spark: SparkSession, rows: DataFrame, path: str, key: str = "doc_id", by: str = "bucket", buckets: int = 64, form: str = "parquet") -> None:
-    """All stored rows of the documents in ``rows`` make way for the new ones; others stay."""
-    schema = StructType([*rows.schema, StructField(by, IntegerType())])
-    old = load(spark, path, schema if form == "json" else None, form)
-    if old is not None:
-        touched = rows.select(_bucket(key, buckets).alias(by)).distinct()
-        kept = old.join(touched, by, "left_semi").join(rows.select(key).distinct(), key, "left_anti").drop(by)
-        # The new state is complete before any partition is replaced.
-        from quarry.session import cut
-
-        rows = cut(kept.unionByName(rows))
-    _replace_buckets(rows, path, by, buckets, key, form)
+    Writes no more than ``rows`` and these documents' ids.
+    """
+    store.write(rows, path, documents, form=form)
 
 
-def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Chunks as JSON lines, a folder per bucket of documents; chunks of documents that aren't among ``chunks`` stay."""
-    replace_documents(chunks.sparkSession, chunks, path, form="json")
+def write_chunks(chunks: DataFrame, path: str, documents: DataFrame | None = None) -> None:
+    """Chunks as JSON lines; those of documents that aren't among ``chunks`` stay, unless ``documents`` names them as gone."""
+    replace_documents(chunks, path, documents, "json")
 
 
 CHUNKS = "doc_id string, chunk_id string, chunk_index bigint, text string, article_ref string, has_table boolean, has_revoked boolean, page_start int, page_end int"

@@ -94,8 +94,8 @@ def test_tables(spark):
     path = folder()
     assert tables.load(spark, path) is None
     rows = spark.createDataFrame([("a", 1), ("b", 1)], "doc_id string, v int")
-    tables.replace_documents(spark, rows, path)
-    tables.replace_documents(spark, spark.createDataFrame([("a", 2)], "doc_id string, v int"), path)
+    tables.replace_documents(rows, path)
+    tables.replace_documents(spark.createDataFrame([("a", 2)], "doc_id string, v int"), path)
     assert {(r.doc_id, r.v) for r in tables.load(spark, path).collect()} == {("a", 2), ("b", 1)}
     old = tables.points(spark.createDataFrame([("c1", "a", "f"), ("c2", "b", "g")], "chunk_id string, doc_id string, arquivo string"))
     new = tables.upsert_points(old, old.where("chunk_id = 'c1'").withColumn("arquivo", F.lit("h")))
@@ -176,4 +176,4 @@ def test_stream(spark):
     for part in ([("a", 1), ("b", 2)], [("b", 2), ("c", 3)]):
         spark.createDataFrame(part, "doc_id string, v int").write.mode("append").parquet(source)
         stages.run_stage(spark, source, "doc_id string, v int", lambda df: df.withColumn("w", F.col("v") * 2), target, check).awaitTermination(60)
-    assert sorted((r.doc_id, r.w) for r in spark.read.parquet(target).collect()) == [("a", 2), ("b", 4), ("c", 6)]
+    assert sorted((r.doc_id, r.w) for r in tables.load(spark, target).collect()) == [("a", 2), ("b", 4), ("c", 6)]

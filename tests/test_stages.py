@@ -55,15 +55,15 @@ def test_command_line(spark, capsys):
         json.dump({"b": {"registros": [entry(k) for k in range(4)]}}, f)
     for _ in range(2):  # a second run is an upsert
         main(["init", f"{meta}/x_2021_metadados.json", cat])
-    ids = sorted(r.doc_id for r in spark.read.parquet(cat).collect())
+    ids = sorted(r.doc_id for r in tables.load(spark, cat).collect())
     assert len(ids) == 4
     for i in ids[:3]:
         with open(f"{mirror}/{i}.pdf", "wb") as f:
             f.write(b"%PDF")
     main(["download", cat, mirror, stored])
-    assert sorted(r.status_download for r in spark.read.parquet(cat).collect()) == ["error", "ok", "ok", "ok"]
-    parsed = spark.read.parquet(cat).where("status_download = 'ok'").select("doc_id", F.lit("ok").alias("status"))
-    catalog.mark_status(spark.read.parquet(cat), parsed, "parse").write.parquet(cat + "2")
+    assert sorted(r.status_download for r in tables.load(spark, cat).collect()) == ["error", "ok", "ok", "ok"]
+    parsed = tables.load(spark, cat).where("status_download = 'ok'").select("doc_id", F.lit("ok").alias("status"))
+    catalog.mark_status(tables.load(spark, cat), parsed, "parse").write.parquet(cat + "2")
     cat += "2"
     text = "Art. 1 energia solar " + "palavra " * 80
     spark.createDataFrame([(i, 0, f"{text} {k}", True) for k, i in enumerate(ids[:2])], "doc_id string, page_index int, page_text string, needs_vision boolean").write.parquet(pages)
@@ -72,7 +72,7 @@ def test_command_line(spark, capsys):
     main(["embed", cat, chunks, points])
     main(["status", cat])
     main(["pending", cat, "embed"])
-    got = {r.doc_id: (r.status_chunk, r.status_embed) for r in spark.read.parquet(cat).collect()}
+    got = {r.doc_id: (r.status_chunk, r.status_embed) for r in tables.load(spark, cat).collect()}
     assert got[ids[0]] == ("ok", "ok") and got[ids[2]] == ("error", "pending") and got[ids[3]][0] == "pending"
     questions, cases, report = folder("q.txt"), folder("cases.jsonl"), folder("report")
     with open(questions, "w") as f:
