@@ -15,19 +15,22 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe
+from quarry.llm import bpe, carried
 from quarry.llm.flat import slices
 from quarry.session import cut, table
 
 CAPACITY, END_ID = 1024, 2
+
+
 def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32 and, if wanted, the ids.
 
@@ -91,16 +94,15 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     return bins, offsets, np.array(gaps, np.int64)
 
 
-def _packer(keys: list[str], capacity: int, step: int):
-    """Packs one group; ``_open`` tells pieces of bins with a gap."""
+def _packer(order: list[str], capacity: int, step: int):
+    """Packs one group by columns ``_length`` and ``order``; ``_open`` tells pieces of bins with a gap."""
 
-    def one(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", *keys], ascending=False, kind="stable", ignore_index=True)
-        bins, offsets, gaps = sum_of_squares(pdf["length"].to_numpy(), capacity)
-        pdf["sequence_id"] = (np.int64(step) << 56) + (np.int64(group[0]) << 24) + bins
-        pdf["offset"] = offsets
-        pdf["_open"] = gaps[bins] > 0
-        return pdf.drop(columns="_group")
+    def one(group: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.drop_columns("_group").combine_chunks()
+        rows = rows.take(pc.sort_indices(rows, [(c, "descending") for c in ("_length", *order)]))
+        bins, offsets, gaps = sum_of_squares(rows.column("_length").to_numpy(), capacity)
+        rows = rows.append_column("_sequence", pa.array((np.int64(step) << 56) + (np.int64(group[0].as_py()) << 24) + bins))
+        return rows.append_column("_offset", pa.array(offsets)).append_column("_open", pa.array(gaps[bins] > 0))
 
     return one
 
@@ -109,31 +111,34 @@ def pack(pieces: DataFrame, keys: list[str], capacity: int = CAPACITY, group_row
     """``pieces`` with sequence_id and offset.
 
     ``length`` is between 1 and ``capacity``; ``keys`` tell pieces apart and fix
-    the order of a group, so a lost task's second run packs alike. Pieces of one
-    length go by their keys; rows alike in all of them are packed one by one.
-    Columns of ``pieces`` named like the results are replaced. An empty table
-    gives an empty result.
+    the order of a group. Every piece has a number of its own besides, written down
+    before the groups are dealt, so rows alike in all keys (ids that are null or
+    repeated) spread over the groups like others and a lost task's second run
+    packs alike. Pieces of one length go by their keys, then by that number.
+    Columns of ``pieces`` named like the results are replaced, others are carried under
+    names of their own, so none clashes. An empty table gives an empty result.
     """
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    pieces = pieces.select(*names)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id bigint, offset bigint, _open boolean"
-    key = F.xxhash64(*keys)
-    done = [pieces.where(F.col("length") == capacity).withColumns({"sequence_id": F.lit(-1) - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})]
-    rest, step = pieces.where(F.col("length") < capacity), 0
+    order = [f"c{names.index(k)}" for k in keys] + ["_tie"]
+    rows = pieces.select(F.col("length").cast("long").alias("_length"), *carried.renamed(names)).withColumn("_tie", F.monotonically_increasing_id())
+    own = rows.columns
+    result = lambda df: df.select(*carried.restored(names), F.col("_sequence").alias("sequence_id"), F.col("_offset").alias("offset"))
+    full = rows.where(F.col("_length") == capacity).withColumns({"_sequence": F.lit(-1) - F.col("_tie"), "_offset": F.lit(0).cast("long")})
+    done = [result(full)]
+    rest, step = cut(rows.where(F.col("_length") < capacity)), 0
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema) + ", _sequence bigint, _offset bigint, _open boolean"
     left = rest.count()
     while left:
         groups = max(1, math.ceil(left / group_rows))
-        packed = cut(rest.withColumn("_group", F.pmod(key, F.lit(groups)).cast("long")).groupBy("_group").applyInPandas(_packer(keys, capacity, step), fields))
-        rest, before, step = packed.where("_open").select(*names), left, step + 1
+        dealt = rest.withColumn("_group", F.pmod(F.xxhash64(*order), F.lit(groups)).cast("long"))
+        packed = cut(dealt.groupBy("_group").applyInArrow(_packer(order, capacity, step), fields))
+        rest, before, step = packed.where("_open").select(*own), left, step + 1
         left = rest.count() if groups > 1 else 0
         last = left == 0 or left > before // 2
-        done.append((packed if last else packed.where("NOT _open")).drop("_open"))
+        done.append(result(packed if last else packed.where("NOT _open")))
         if last:
             break
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
-    return out
+    return reduce(DataFrame.unionByName, done)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

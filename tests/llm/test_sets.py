@@ -239,6 +239,18 @@ def test_packing(spark):
     assert packing.pack(pieces.limit(0), ["doc_id", "piece"]).count() == 0
 
 
+def test_packing_spreads_equal_rows_and_keeps_names(spark):
+    rows = [(None if k % 3 else 2**60 + 1, 0, 300 + k % 2, "o", k) for k in range(20_000)]
+    pieces = spark.createDataFrame(rows, "doc_id bigint, piece int, length bigint, _open string, _tie bigint").repartition(4)
+    out = packing.pack(pieces, ["doc_id", "piece"], group_rows=1000)
+    assert out.columns == ["doc_id", "piece", "length", "_open", "_tie", "sequence_id", "offset"]
+    got = out.collect()
+    assert sorted(r["_tie"] for r in got) == list(range(20_000)) and {r.doc_id for r in got} == {None, 2**60 + 1}
+    groups = Counter((r.sequence_id >> 24) & 0xFFFFFFFF for r in got if r.sequence_id >> 56 == 0)
+    assert max(groups.values(), default=0) < 1500
+    assert len({(r.sequence_id, r.offset) for r in got}) == len(got) and len({r.sequence_id for r in got}) < 20_000 / 3 * 1.2
+
+
 def test_packing_very_long_runs(spark):
     from tokenizers import Tokenizer
 
@@ -318,6 +330,59 @@ def test_ball_tree(spark):
     assert len(ball_tree.top_k(v.where("vec_id < 3"), v.where("vec_id = 0")).collect()) == 2
 
 
+def test_exact_search_of_odd_rows(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(i), rng.integers(-9, 9, 4).tolist(), i) for i in range(120)] + [(int(i), rng.integers(-9, 9, 3).tolist(), i) for i in range(120, 150)]
+    rows += [(7, rows[7][1], 0)] * 40 + [(None, [1, 1, 1, 1], 0), (500, None, 0), (600, [], 0), (20, rows[3][1], 1)]
+    df = spark.createDataFrame(rows, "vec_id bigint, vector array<bigint>, shard int")
+    full = [(i, v) for i, v, _ in rows if i is not None and v]
+    want = Counter()
+    for q in {i for i, _ in full if i % 10 == 0}:
+        pairs = sorted((-int(np.dot(a, b)), c) for i, a in full if i == q for c, b in full if c != q and len(a) == len(b))[:5]
+        want.update((q, k + 1, c, -s) for k, (s, c) in enumerate(pairs))
+    got = ball_tree.top_k(df, df.where("vec_id % 10 = 0"), k=5, shard_rows=16, block_rows=4)
+    assert Counter(map(tuple, got.collect())) == want
+
+
+def test_regions_let_bounds_prune():
+    rng = np.random.default_rng(6)
+    x = (rng.normal(size=(40, 1, 8)) * 4000 + rng.normal(size=(40, 100, 8)) * 200).reshape(-1, 8).astype(np.int64)
+    ids, asked = np.arange(len(x)), range(0, len(x), 97)
+
+    def rows_read(shards):
+        trees, read = [ball_tree.BallTree(ids[s], x[s], 16) for s in shards], 0
+        for q in asked:
+            floor = np.sort(x @ x[q])[-11]
+            for t in trees:
+                bounds = t.bounds(x[q])
+                open_ = [0]
+                while open_:
+                    lo, hi, left, right = t.nodes[n := open_.pop()]
+                    if bounds[n] >= floor:
+                        read += 0 if left >= 0 else hi - lo
+                        open_ += [left, right] if left >= 0 else []
+        return read
+
+    where = ball_tree.Regions(x[rng.permutation(len(x))[:2000]], 4).of(x)
+    by_region = [np.flatnonzero(where == r) for r in np.unique(where)]
+    by_hash = [np.flatnonzero(rng.integers(0, 16, len(x)) == r) for r in range(16)]
+    assert len(by_region) == 16 and rows_read(by_region) < 0.6 * rows_read([np.unique(s) for s in by_hash])
+
+
+def test_shards_of_equal_rows_and_clashing_names(spark):
+    rows = [(5, "t", k, k, k) for k in range(3000)] + [(k, "t", k, k, k) for k in range(3000, 3300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, _block int, _part int, _salt int")
+    parts = sharding._salted(df.select(F.col("doc_id").alias("c0")), ["c0"], 60).groupBy("_salt").count().collect()
+    assert max(r["count"] for r in parts if r["_salt"]) < 60 and sum(r["count"] for r in parts) == 3300
+    out = sharding.shuffle_into_shards(df, ["doc_id"], 7, rows_per_part=60)
+    assert out.columns == [*df.columns, "shard", "slot"]
+    got = out.collect()
+    assert sorted(r["_part"] for r in got) == list(range(3300)) and all(r["_block"] == r["_part"] == r["_salt"] for r in got)
+    sizes = Counter(r.shard for r in got)
+    assert max(sizes.values()) - min(sizes.values()) <= 1
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in sizes.items())
+
+
 def test_shards(spark):
     rows = [(i % 90 if i % 17 else None, i, "x") for i in range(1000)]
     df = spark.createDataFrame(rows, "doc_id bigint, size bigint, shard string")
