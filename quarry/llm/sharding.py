@@ -20,10 +20,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm import carried
 from quarry.session import cut, table
 
 #: Partitions of a level and blocks at most; a task's rows are the table's by this number, once these exceed ``rows_per_part``.
@@ -104,34 +106,56 @@ def block_sizes(total: int, n_shards: int, per_shard: int) -> tuple[np.ndarray,
     return np.array(size, np.int64), np.array(shard, np.int64), np.array(first, np.int64)
 
 
+def _salted(df: DataFrame, identity: list[str], per_part: int) -> DataFrame:
+    """``df`` with ``_salt``: 0, but for rows of an identity that would fill more than half a partition.
+
+    Those are numbered and dealt out by their number. Numbers are written down
+    before anything depends on them.
+    """
+    half = max(1, per_part // 2)
+    hot = cut(df.groupBy(F.xxhash64(*identity).alias("_hash")).agg(F.count("*").alias("_many")).where(F.col("_many") > half))
+    if hot.isEmpty():
+        return df.withColumn("_salt", F.lit(0).cast("long"))
+    rows = cut(df.withColumns({"_tie": F.monotonically_increasing_id(), "_hash": F.xxhash64(*identity)}))
+    salt = F.coalesce(F.pmod(F.col("_tie"), F.ceil(F.col("_many") / half)), F.lit(0))
+    return rows.join(hot, "_hash", "left").withColumn("_salt", salt.cast("long")).drop("_tie", "_hash", "_many")
+
+
 def shuffle_into_shards(df: DataFrame, identity: list[str], n_shards: int, seed: int = 7, rows_per_part: int = 2000) -> DataFrame:
     """``df`` with columns ``shard`` and ``slot`` (gapless from 0 in each shard).
 
     ``identity`` names the columns that tell rows apart; they also fix the order
     from which the seeded permutations start, so a lost task's second run gives
-    the same rows. Rows alike in all of them are interchangeable. Null
-    identities are values like others. An empty table gives an empty result.
-    Columns of ``df`` named ``shard`` or ``slot`` are replaced; others stay.
+    the same rows. Rows alike in all of them are interchangeable; where they are
+    many, they spread over partitions by a number of their own. Null
+    identities are values like others, texts of any length are carried as they are. An
+    empty table gives an empty result. Columns of ``df`` named ``shard`` or ``slot`` are
+    replaced; others are carried under names of their own, so none clashes.
     """
     df = df.drop("shard", "slot")
+    names = df.columns
+    identity = [f"c{names.index(c)}" for c in identity]
+    df = df.select(*carried.renamed(names))
     total = df.count()
     per_part = max(rows_per_part, math.ceil(total / MAX_PARTS))
+    df = _salted(df, identity, per_part)
     size, shard, first = block_sizes(total, n_shards, max(1, math.ceil(total / n_shards / per_part)))
     upto = np.concatenate(([0], np.cumsum(size)))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     all_parts = max(1, math.ceil(total / per_part))
     fan = max(2, min(MAX_FAN, MAX_CELLS // all_parts))
 
-    def ordered(pdf: pd.DataFrame, where: int, step: int) -> pd.DataFrame:
-        pdf = pdf.sort_values(identity, kind="stable", na_position="first", ignore_index=True)
-        return pdf.iloc[np.random.default_rng([seed, step, where]).permutation(len(pdf))].reset_index(drop=True)
+    def ordered(rows: pa.Table, where: int, step: int) -> pa.Table:
+        rows = rows.combine_chunks()
+        rows = rows.take(pc.sort_indices(rows, [(c, "ascending") for c in identity], null_placement="at_start"))
+        return rows.take(pa.array(np.random.default_rng([seed, step, where]).permutation(rows.num_rows)))
 
     def level(rows: DataFrame, stretch: int, step: int) -> tuple[DataFrame, int]:
         """Deals rows of stretches (``_block``: a stretch's number) of so many blocks to shorter ones."""
         shorter = math.ceil(stretch / fan)
         stretches = math.ceil(len(size) / stretch)
         n_parts = math.ceil(all_parts / stretches)
-        part = F.col("_block") * n_parts + F.pmod(F.xxhash64(*identity, F.lit(step)), F.lit(n_parts))
+        part = F.col("_block") * n_parts + F.pmod(F.xxhash64(*identity, "_salt", F.lit(step)), F.lit(n_parts))
         dealt = rows.withColumn("_part", part.cast("int")).drop("_block")
         counts = np.zeros(stretches * n_parts, np.int64)
         for row in dealt.groupBy("_part").count().collect():  # MAX_PARTS rows and one for each stretch at most
@@ -143,13 +167,12 @@ def shuffle_into_shards(df: DataFrame, identity: list[str], n_shards: int, seed:
             matrix += [row.astype(np.int32) for row in drawn]
             base += [edges[0] // shorter] * n_parts
 
-        def deal(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            p = int(key[0])
-            pdf = ordered(pdf, p, 2 * step + 1)
-            pdf["_block"] = (base[p] + np.repeat(np.arange(len(matrix[p])), matrix[p])).astype(np.int32)
-            return pdf.drop(columns="_part")
+        def deal(key: tuple, rows: pa.Table) -> pa.Table:
+            p = key[0].as_py()
+            rows = ordered(rows, p, 2 * step + 1).drop_columns("_part")
+            return rows.append_column("_block", pa.array((base[p] + np.repeat(np.arange(len(matrix[p])), matrix[p])).astype(np.int32)))
 
-        return dealt.groupBy("_part").applyInPandas(deal, f"{fields}, _block int"), shorter
+        return dealt.groupBy("_part").applyInArrow(deal, f"{fields}, _block int"), shorter
 
     rows, stretch, step = df.withColumn("_block", F.lit(0)), len(size), 0
     # Stretches of a power of the fan keep to each other's bounds.
@@ -158,14 +181,13 @@ def shuffle_into_shards(df: DataFrame, identity: list[str], n_shards: int, seed:
         rows, stretch = level(rows, stretch, step)
         rows, step = rows if stretch == 1 else cut(rows), step + 1
 
-    def place(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        b = int(key[0])
-        pdf = ordered(pdf, b, 0)
-        pdf["shard"] = np.int32(shard[b])
-        pdf["slot"] = first[b] + np.arange(len(pdf), dtype=np.int64)
-        return pdf.drop(columns="_block")
+    def place(key: tuple, rows: pa.Table) -> pa.Table:
+        b = key[0].as_py()
+        rows = ordered(rows, b, 0).drop_columns("_block")
+        return rows.append_column("shard", pa.array(np.full(rows.num_rows, shard[b], np.int32))).append_column("slot", pa.array(first[b] + np.arange(rows.num_rows, dtype=np.int64)))
 
-    return rows.groupBy("_block").applyInPandas(place, f"{fields}, shard int, slot bigint")
+    placed = rows.groupBy("_block").applyInArrow(place, f"{fields}, shard int, slot bigint")
+    return placed.select(*carried.restored(names), "shard", "slot")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
