@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.ids import document_id
 from quarry.functions.text import blank_to_null, clean_value, strip
+from quarry.operators import trigrams
 
 #: Fixed format of the metadata files.
 METADATA = (
@@ -184,14 +185,16 @@ def payload_filter(filters: dict | None) -> Column:
     return out
 
 
-def browse(catalog: DataFrame, years=None, situations=None, kinds=None, statuses: dict | None = None, search: str | None = None, limit: int = 500) -> DataFrame:
-    """Rows of the browser page and whether there are more than it shows."""
+def browse(catalog: DataFrame, years=None, situations=None, kinds=None, statuses: dict | None = None, search: str | None = None, limit: int = 500, index: DataFrame | None = None) -> DataFrame:
+    """Rows of the browser page and whether there are more than it shows.
+
+    With ``index`` (of trigrams.lists()) only documents that can hold the term are read.
+    """
     keep = payload_filter({k: v for k, v in (("ano", years), ("situacao_doc", situations), ("tipo_pdf", kinds)) if v})
     for stage, status in (statuses or {}).items():
         keep &= F.col(f"status_{stage}") == status
     if search and search.strip():
-        like = f"%{search.strip()}%"
-        keep &= F.ilike("titulo", F.lit(like)) | F.ilike("autor", F.lit(like)) | F.ilike("ementa", F.lit(like)) | F.ilike("assunto", F.lit(like))
+        catalog = trigrams.holding(catalog, index, search) if index is not None else catalog.where(trigrams.held(search))
     order = [F.desc_nulls_last("ano"), F.asc("doc_id")]
     rows = catalog.where(keep).orderBy(*order).limit(limit + 1)
     numbered = rows.withColumn("_n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))  # limit + 1 rows at most

@@ -146,7 +146,11 @@ def payload_filter_bool(spark, d):
   SELECT doc_id, ano, situacao_doc FROM cat WHERE ano IN (2012, 2013, 2014) AND status_embed = 'ok' AND (titulo ILIKE '%the%' OR autor ILIKE '%the%' OR ementa ILIKE '%the%' OR assunto ILIKE '%the%') ORDER BY ano DESC NULLS LAST, doc_id LIMIT 501
 ), n AS (SELECT *, count(*) OVER () > 500 AS truncated, row_number() OVER (ORDER BY ano DESC NULLS LAST, doc_id) AS n FROM m) SELECT doc_id, ano, situacao_doc, truncated FROM n WHERE n <= 500""")
 def browser_search(spark, d):
-    return cat.browse(views.catalog(spark, d), years=[2012, 2013, 2014], statuses={"embed": "ok"}, search=" the ").select("doc_id", "ano", "situacao_doc", "truncated")
+    return browsed(views.catalog(spark, d))
+
+
+def browsed(rows, index=None):
+    return cat.browse(rows, years=[2012, 2013, 2014], statuses={"embed": "ok"}, search=" the ", index=index).select("doc_id", "ano", "situacao_doc", "truncated")
 
 
 @query(f"WITH {views.CATALOG} SELECT DISTINCT 'ano' AS facet, CAST(ano AS VARCHAR) AS value FROM cat UNION ALL SELECT DISTINCT 'situacao_doc', situacao_doc FROM cat")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from quarry.operators import answers, audit, vectors
+from quarry import quarantine
+from quarry.operators import answers, audit, ruling, trigrams, vectors
 from quarry.operators import catalog as cat
 from quarry.operators import chunks as ch
 from quarry.operators import evaluation as ev
@@ -274,3 +276,66 @@ def store_upsert(spark, d):
     store.compact(spark, path, sort=("n_chars",), bloom=("doc_id",))
     store.delete(rest(3), path)
     return store.read(spark, path)
+
+
+#: Lines of orders as rows of a page, each ruled in three cells; numbers that are missing part tables.
+RULED_SQL = """ln AS (SELECT l_orderkey, l_linenumber AS n, max(l_returnflag) AS flag, min(l_linestatus) AS state FROM lineitem GROUP BY 1, 2)"""
+
+
+def order_lines(spark, d):
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("n")).agg(F.max("l_returnflag").alias("flag"), F.min("l_linestatus").alias("state"))
+    return rows.select(F.col("l_orderkey").cast("string").alias("doc_id"), F.lit(0).alias("page_index"), "n", "flag", "state", (F.col("n") * 12.0).alias("y"))
+
+
+def cells_as_spans(rows, cells):
+    """Spans of (text, x) in each row."""
+    each = rows.select("doc_id", "page_index", F.col("n").alias("line_no"), "y", F.explode(F.array(*(F.struct(F.lit(k).alias("span_no"), t.alias("text"), F.lit(x).alias("x0")) for k, (t, x) in enumerate(cells)))).alias("c"))
+    return each.select("doc_id", "page_index", "line_no", "c.*", (F.col("c.x0") + 10).alias("x1"), (F.col("y") + 1).alias("y0"), (F.col("y") + 11).alias("y1"))
+
+
+@query(rf"""WITH {RULED_SQL}, g AS (SELECT *, n - row_number() OVER (PARTITION BY l_orderkey ORDER BY n) AS isl FROM ln), h AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, isl ORDER BY n) AS r FROM g), m AS (
+  SELECT l_orderkey, isl, string_agg('| ' || n || ' | ' || flag || ' | ' || state || ' |' || CASE WHEN r = 1 THEN chr(10) || '| --- | --- | --- |' ELSE '' END, chr(10) ORDER BY n) AS markdown FROM h GROUP BY ALL
+) SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY isl) - 1 AS INTEGER) AS table_no, markdown FROM m""")
+def ruled_tables(spark, d):
+    rows = order_lines(spark, d)
+    spans = cells_as_spans(rows, [(F.col("n").cast("string"), 10.0), (F.col("flag"), 50.0), (F.col("state"), 90.0)])
+    lines = [(0.0, 0.0, 120.0, 0.0), (0.0, 12.0, 120.0, 12.0), *((x, 0.0, x, 12.0) for x in (0.0, 40.0, 80.0, 120.0))]
+    strokes = rows.select("doc_id", "page_index", "y", F.explode(F.array(*(F.struct(*(F.lit(v).alias(c) for v, c in zip(line, ("x0", "a", "x1", "b"), strict=True))) for line in lines))).alias("s"))
+    strokes = strokes.select("doc_id", "page_index", "s.x0", (F.col("y") + F.col("s.a")).alias("y0"), "s.x1", (F.col("y") + F.col("s.b")).alias("y1"))
+    return ruling.lattice(spans, strokes).select("doc_id", "table_no", pg.table_markdown(F.col("rows")).alias("markdown"))
+
+
+@query(rf"""WITH {RULED_SQL}, k AS (SELECT *, flag <> 'N' AS two FROM ln), c AS (SELECT *, CASE WHEN two AND lag(two) OVER (PARTITION BY l_orderkey ORDER BY n) THEN 0 ELSE 1 END AS new FROM k),
+g AS (SELECT *, sum(new) OVER (PARTITION BY l_orderkey ORDER BY n) AS run FROM c), m AS (
+  SELECT l_orderkey, run, count(*) AS lines, string_agg(n || ',' || flag, ';' ORDER BY n) AS rows FROM g WHERE two GROUP BY ALL HAVING count(*) > 1
+) SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY run) - 1 AS INTEGER) AS table_no, rows FROM m""")
+def aligned_tables(spark, d):
+    spans = cells_as_spans(order_lines(spark, d), [(F.col("n").cast("string"), 10.0), (F.when(F.col("flag") != "N", F.col("flag")).otherwise(""), 80.0)])
+    rows = F.array_join(F.transform("rows", lambda r: F.array_join(r, ",")), ";")
+    return ruling.stream(spans).select("doc_id", "table_no", rows.alias("rows"))
+
+
+@query(documents.ORACLES["browser_search"])
+def browser_indexed(spark, d):
+    """The rows of browser_search from lists of three-letter strings."""
+    from quarry.session import shared_dir
+
+    path = f"{shared_dir(spark).rstrip('/')}/trigrams-{spark.sql('SELECT uuid()').first()[0]}"
+    docs = views.catalog(spark, d)
+    trigrams.write(trigrams.lists(docs), path)
+    return documents.browsed(docs, trigrams.read(spark, path))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 250 <> 7 THEN length(text) END AS n, CASE WHEN doc_id % 250 = 7 THEN 'ValueError: no. ' || doc_id END AS error FROM documents""")
+def isolated_work(spark, d):
+    """Lengths of texts, found in child processes; some documents fail there."""
+
+    def make():
+        def work(row):
+            if row["doc_id"] % 250 == 7:
+                raise ValueError(f"no. {row['doc_id']}")
+            return [{"n": len(row["text"])}]
+
+        return work
+
+    return quarantine.isolated(table(spark, d, "documents").select("doc_id", "text"), make, StructType([StructField("n", LongType())]))

@@ -63,3 +63,34 @@ def call_counts(calls: DataFrame, window: str = "60 seconds", late: str = "10 mi
     timed = calls.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     counts = timed.groupBy(F.window("ts", window), "user_id").agg(F.count("*").alias("calls"))
     return counts.select(F.col("window.start").alias("start"), "user_id", "calls")
+
+
+def run_batches(
+    spark: SparkSession, source: str, schema: str, work: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, key: str = "doc_id", rows_each: int = 128, files_per_batch: int = 128
+) -> None:
+    """Applies ``work`` to rows of all new files in flushes of ``rows_each`` rows or more, across documents, with one of the rest at the end.
+
+    Rows wait in the store ``{target}-waiting`` until as many are there; a document's
+    rows are flushed together, and replace what ``target`` has of it only then. A stop
+    between leaves them waiting for the next run.
+    """
+    waiting = f"{target.rstrip('/')}-waiting"
+
+    def flush() -> None:
+        rows = store.read(spark, waiting, key=key)
+        if rows is None or rows.isEmpty():
+            return
+        rows = cut(rows)
+        keys = rows.select(key).distinct()
+        store.write(work(rows), target, keys, key)
+        store.delete(keys, waiting, key)
+
+    def collect(batch: DataFrame, number: int) -> None:
+        store.write(batch.dropDuplicates(), waiting, key=key)
+        rows = store.read(spark, waiting, key=key)
+        if rows.limit(rows_each).count() >= rows_each:
+            flush()
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    stream.writeStream.foreachBatch(collect).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    flush()
