@@ -140,7 +140,7 @@ def hits(spark: SparkSession, points: str, questions: DataFrame, filters: dict |
 
 def asked(spark: SparkSession, path: str, top_k: int | None) -> DataFrame:
     """Questions of a text file, a line each."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("query_id", "question")).where(F.trim("question") != "")
+    rows = tables.numbered_lines(spark, path).select(F.col("n").alias("query_id"), F.col("line").alias("question")).where(F.trim("question") != "")
     return answers.checked(rows, top_k)
 
 

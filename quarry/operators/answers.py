@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarry import providers
 from quarry.operators import evaluation
 from quarry.operators.retrieval import citations, context
+from quarry.session import cut
 
 
 def checked(questions: DataFrame, top_k: int | None = None) -> DataFrame:
@@ -20,7 +21,8 @@ def checked(questions: DataFrame, top_k: int | None = None) -> DataFrame:
 
 
 def answer(hits: DataFrame, questions: DataFrame, make: Callable[[], providers.Generator] = providers.Extract) -> DataFrame:
-    """query_id, question, answer, elapsed, error and citations of all retrieved chunks."""
+    """query_id, question, answer, elapsed, error and citations of all retrieved chunks; ``hits`` are written down, as they are read twice."""
+    hits = cut(hits)
     rows = questions.join(context(hits), "query_id", "left")
     return providers.answered(rows, make).drop("context").join(citations(hits), "query_id", "left")
 

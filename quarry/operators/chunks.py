@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,38 +86,41 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"(?U)\n\s*\n"), strip), lambda p: p != "")
 
 
+def packed(lengths: Iterable[int], limit: int, overlap: int) -> list[tuple[int, int]]:
+    """First paragraph and number of paragraphs of each piece, from the paragraphs' lengths."""
+    out, first, size, every = [], 0, 0, list(lengths)
+    for k, n in enumerate(every):
+        if size + n > limit and k > first:
+            out.append((first + 1, k - first))
+            at, size = k, 0
+            while at > first and size + every[at - 1] <= overlap:
+                at -= 1
+                size += every[at]
+            first = at
+        size += n
+    return [*out, (first + 1, len(every) - first)]
+
+
 def window_pieces(text: Column, config: Config = DEFAULT) -> Column:
     """``text`` itself, or if it is too long its paragraphs packed into overlapping pieces.
 
     A piece ends before the paragraph that would exceed the window; the next one
     repeats as many whole paragraphs from its end as the overlap allows. A
-    longer paragraph is never parted. One pass over the paragraphs.
+    longer paragraph is never parted. The fold over the paragraphs' lengths runs
+    in Arrow batches, as one in SQL copies its state at every paragraph.
     """
     limit, overlap = config.max_tokens * 4, config.overlap_tokens * 4
-    parts = paragraphs(text)
-    none = F.array().cast("array<string>")
-
-    def tail(buf: Column) -> Column:
-        start = F.struct(none.alias("kept"), F.lit(0).alias("n"), F.lit(False).alias("stop"))
-
-        def back(s: Column, p: Column) -> Column:
-            fits = ~s["stop"] & (s["n"] + F.length(p) <= overlap)
-            return F.struct(F.when(fits, F.array_prepend(s["kept"], p)).otherwise(s["kept"]).alias("kept"), F.when(fits, s["n"] + F.length(p)).otherwise(s["n"]).alias("n"), (~fits).alias("stop"))
-
-        return F.aggregate(F.reverse(buf), start, back)
-
-    def step(s: Column, p: Column) -> Column:
-        full = (s["len"] + F.length(p) > limit) & (F.size(s["buf"]) > 0)
-        rest = tail(s["buf"])
-        return F.struct(
-            F.when(full, F.array_append(s["out"], F.array_join(s["buf"], "\n\n"))).otherwise(s["out"]).alias("out"),
-            F.array_append(F.when(full, rest["kept"]).otherwise(s["buf"]), p).alias("buf"),
-            (F.when(full, rest["n"]).otherwise(s["len"]) + F.length(p)).alias("len"),
-        )
-
-    start = F.struct(none.alias("out"), none.alias("buf"), F.lit(0).alias("len"))
-    packed = F.aggregate(parts, start, step, lambda s: F.when(F.size(s["buf"]) > 0, F.array_append(s["out"], F.array_join(s["buf"], "\n\n"))).otherwise(s["out"]))
-    return F.when((approx_tokens(text) > config.max_tokens) & (F.size(parts) > 0), packed).otherwise(F.array(text))
+
+    @F.pandas_udf("array<struct<first:int,size:int>>")
+    def borders(parts: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else packed(x.tolist(), limit, overlap) for x in parts], dtype=object)
+
+    long = approx_tokens(text) > config.max_tokens
+    parts = F.when(long, paragraphs(text))
+    # Through an array of one entry, so that the paragraphs are found once for all pieces.
+    both = F.array(F.struct(parts.alias("parts"), borders(F.transform(parts, F.length)).alias("borders")))
+    pieces_ = F.element_at(F.transform(both, lambda s: F.transform(s["borders"], lambda b: F.array_join(F.slice(s["parts"], b["first"], b["size"]), "\n\n"))), 1)
+    return F.when(long & (F.size(parts) > 0), pieces_).otherwise(F.array(text))
 
 
 def pieces(blocks: DataFrame, config: Config = DEFAULT) -> DataFrame:

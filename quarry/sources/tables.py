@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quarry.functions.ids import point_id
 from quarry.operators.catalog import latest
+from quarry.session import cut
 from quarry.sources import store
 
 CASES = "id string, question string, expected_doc_ids array<string>, gold_answer string, filters map<string,string>"
@@ -74,13 +75,23 @@ def count_points(stored: DataFrame, doc_id: str) -> int:
     return stored.where(F.col("doc_id") == doc_id).count()
 
 
-def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation cases of JSON lines; blank lines are skipped, and a case without an id is named by its line.
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(n, line) of a text file or folder of files, numbered from 0 over all splits in the files' order.
 
-    One file holds the cases, and one task numbers its lines.
+    Lines are counted split by split; a line's number is its place in its split
+    and the lines of the splits before it, so no task holds more than its split.
     """
-    text = spark.read.text(path, wholetext=True)
-    return parsed_cases(text.select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "line")))
+    text = spark.read.text(path).select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("_id"), F.struct(F.input_file_name().alias("file"), F.input_file_block_start().alias("start")).alias("_split"))
+    rows = cut(text)
+    counts = rows.groupBy("_split").agg(F.count("*").alias("_lines"), F.min("_id").alias("_first"))
+    before = F.coalesce(F.sum("_lines").over(Window.orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each split
+    shift = counts.select("_split", (before - F.col("_first")).alias("_shift"))
+    return rows.join(shift, "_split").select((F.col("_id") + F.col("_shift")).cast("int").alias("n"), "line")
+
+
+def read_cases(spark: SparkSession, path: str) -> DataFrame:
+    """Evaluation cases of JSON lines; blank lines are skipped, and a case without an id is named by its line."""
+    return parsed_cases(numbered_lines(spark, path))
 
 
 def parsed_cases(lines: DataFrame) -> DataFrame:

@@ -164,3 +164,16 @@ def test_flags_and_cleanup(spark):
     assert [g[0] for g in got][:2] == [False, True]
     assert [g[1] for g in got][2:4] == [True, True]
     assert [g[2] for g in got][3:] == ["", "a\n\nb", "x\n\ny", ""]
+
+
+def test_very_many_paragraphs_take_linear_time(spark):
+    import time
+
+    times = []
+    for n in (4_000, 32_000):
+        df = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.concat(F.lit("paragraph "), k.cast("string"))), "\n\n").alias("t"))
+        start = time.time()
+        got = df.select(F.size(chunks.window_pieces(F.col("t"))).alias("n"), F.length(F.array_join(chunks.window_pieces(F.col("t")), "")).alias("c")).first()
+        times.append(time.time() - start)
+        assert got.n > n // 300
+    assert times[1] < 12 * max(times[0], 0.5)

@@ -177,3 +177,42 @@ def test_stream(spark):
         spark.createDataFrame(part, "doc_id string, v int").write.mode("append").parquet(source)
         stages.run_stage(spark, source, "doc_id string, v int", lambda df: df.withColumn("w", F.col("v") * 2), target, check).awaitTermination(60)
     assert sorted((r.doc_id, r.w) for r in tables.load(spark, target).collect()) == [("a", 2), ("b", 4), ("c", 6)]
+
+
+def test_lines_are_numbered_over_splits(spark):
+    path = folder("lines.txt")
+    want = [f"line {k} " + "x" * (k % 90) if k % 13 else "" for k in range(4000)]
+    with open(path, "w") as f:
+        f.write("\n".join(want))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = tables.numbered_lines(spark, path)
+        assert {r.n: r.line for r in got.collect()} == dict(enumerate(want))
+        assert spark.read.text(path).rdd.getNumPartitions() > 5
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_a_compacted_store_skips_row_groups(spark):
+    from quarry.sources import store
+
+    path = folder("store")
+    rows = spark.range(200_000).select(F.md5(F.col("id").cast("string")).alias("doc_id"), (F.col("id") % 20).cast("int").alias("ano"), F.repeat(F.col("id").cast("string"), 4).alias("text"))
+    store.write(rows.repartition(4, "doc_id"), path)
+    store.compact(spark, path, sort=("ano",), bloom=("doc_id",))
+
+    def read(where):
+        """Rows that the scan hands on."""
+        df = store.read(spark, path).where(where)
+        assert df.count() >= 1
+        plan = df._jdf.queryExecution().executedPlan()
+        df.write.format("noop").mode("overwrite").save()
+        found = df.select("doc_id", "ano", "text")
+        found.collect()
+        leaves = found._jdf.queryExecution().executedPlan().collectLeaves()
+        return leaves.apply(0).metrics().apply("numOutputRows").value(), plan
+
+    assert read("ano = 3")[0] < 100_000
+    one = rows.where("id = 77").first().doc_id
+    assert read(f"doc_id = '{one}' AND ano = 17")[0] < 100_000
