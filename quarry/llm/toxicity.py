@@ -18,15 +18,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.carried import renamed, restored
-from quarry.llm.flat import LOWER, SPACE, flat, give_back, slices, span_hashes, spans
+from quarry.llm.flat import LOWER, SPACE, flat, give_back, mix, slices, span_hashes, spans
 from quarry.session import table
 
 SLOTS = 1 << 18
 PREFIXES = (4, 5, 6)
 #: About so many labelled documents are used to fit; they are those of the smallest hashes.
 MAX_LABELLED = 4000
-#: Longer labelled documents are not fitted on, so that the sample is bounded in bytes too.
-MAX_FIT_BYTES = 1 << 16
+#: Bytes of their texts in all, so that the sample is bounded in bytes too; documents of any length can be among them.
+MAX_FIT_BYTES = 1 << 25
 #: A feature takes part if so many of these documents have it.
 MIN_DOCUMENTS = 6
 #: Features of sentences that are worked on at a time while fitting.
@@ -127,6 +127,18 @@ def held_out(id_column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def fitting(sizes: pd.DataFrame, limit: int | None = None) -> pd.DataFrame:
+    """The doc_id of those rows (doc_id, size) whose bytes fit into ``limit`` together, in the order of a hash of the id."""
+    total = sizes.groupby("doc_id", as_index=False)["size"].sum()
+    total = total.iloc[np.argsort(mix(total["doc_id"].to_numpy(np.int64).view(np.uint64)))]
+    left, kept = MAX_FIT_BYTES if limit is None else limit, []
+    for doc_id, size in zip(total["doc_id"].tolist(), total["size"].tolist(), strict=True):
+        if size <= left:
+            left -= size
+            kept.append(doc_id)
+    return pd.DataFrame({"doc_id": np.array(kept, np.int64)})
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[np.ndarray, float]:
     """Model from the labels of rows that aren't held out; without both kinds of labels every score is 0."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
@@ -135,8 +147,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     share = min(1.0, max_labelled / max(n, 1))
     # About max_labelled rows, whatever the input: small enough to send to every task.
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("_text")).where(F.coalesce(F.octet_length("_text"), F.lit(0)) <= MAX_FIT_BYTES)
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "_text")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("_text")).join(F.broadcast(chosen), "doc_id")
+    # In the order of their hashes until the bytes are used up; a text that doesn't fit any more is passed over.
+    sizes = texts.select("doc_id", F.coalesce(F.octet_length("_text"), F.lit(0)).alias("size")).toPandas()  # about max_labelled rows
+    rows = texts.join(F.broadcast(docs.sparkSession.createDataFrame(fitting(sizes), "doc_id bigint")), "doc_id", "left_semi").select("doc_id", "toxic", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):

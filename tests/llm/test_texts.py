@@ -381,3 +381,12 @@ def test_token_counts(spark):
         assert got == want
     assert token_counts.token_counts(odd(spark), BPE).count() == len(ODD)
     assert token_counts.token_counts(odd(spark).limit(0), BPE).count() == 0
+
+
+def test_labelled_documents_are_bounded_by_bytes_not_by_length():
+    sizes = pd.DataFrame({"doc_id": [*range(50), 900, 901, 901], "size": [1000] * 50 + [200_000, 40_000_000, 1]})
+    kept = toxicity.fitting(sizes)["doc_id"].tolist()
+    assert 900 in kept and 901 not in kept and len(kept) == 51
+    some = toxicity.fitting(sizes, 20_000)["doc_id"].tolist()
+    assert len(some) == 20 and some == toxicity.fitting(sizes.iloc[::-1], 20_000)["doc_id"].tolist()
+    assert toxicity.fitting(sizes.iloc[:0]).empty
