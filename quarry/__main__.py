@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import providers
-from quarry.operators import answers, catalog, chunks, clusters, retrieval, sparse_index, vectors
+from quarry.operators import answers, catalog, chunks, clusters, pages, retrieval, ruling, sparse_index, vectors
 from quarry.session import cut
 from quarry.sources import files, filesink, store, tables
 
 #: Arguments of each command.
 COMMANDS = {
     "init": ("metadata", "catalog"), "status": ("catalog",), "pending": ("catalog", "stage"), "download": ("catalog", "mirror", "files"), "vision": ("catalog", "pages"),
-    "chunk": ("catalog", "pages", "chunks"), "index": ("points", "index"), "compact": ("points",), "embed": ("catalog", "chunks", "points"), "search": ("points", "questions"), "qa": ("points", "questions"), "evaluate": ("points", "cases", "report"),
+    "parse": ("catalog", "spans", "strokes", "pages"), "chunk": ("catalog", "pages", "chunks"), "index": ("points", "index"), "compact": ("points",), "embed": ("catalog", "chunks", "points"), "search": ("points", "questions"), "qa": ("points", "questions"), "evaluate": ("points", "cases", "report"),
     "all": ("catalog", "pages", "chunks", "points"),
 }
 
@@ -68,6 +68,26 @@ def download(spark: SparkSession, given) -> None:
     marked(spark, given.catalog, rows.select("doc_id", F.when(F.col("path").isNull(), "error").otherwise("ok").alias("status")), "download")
 
 
+def parse(spark: SparkSession, given) -> None:
+    """Pages of pending documents from their spans, strokes and (if given) tables; what comes with them, no PDF library.
+
+    A document without spans is an error. Struck-out text is marked, tables are those
+    given, or ruled, or aligned, and pages are classified by their text and tables.
+    """
+    todo = cut(catalog.pending(stored(spark, given.catalog), "parse", given.limit).select("doc_id"))
+    own = lambda path: stored(spark, path).join(todo, "doc_id", "left_semi")
+    spans, drawings = own(given.spans), own(given.strokes)
+    marks = pages.stroke_lines(drawings.where("kind <> 'annotation'")).unionByName(drawings.where("kind = 'annotation'").select("doc_id", "page_index", "kind", "x0", "y0", "x1", "y1"))
+    struck = cut(pages.struck(spans, marks))
+    found = cut(ruling.extracted(struck, drawings.where("kind <> 'annotation'"), own(given.tables) if given.tables else None))
+    made = cut(pages.assembled(struck, found))
+    seen = cut(made.select("doc_id").distinct())
+    tables.replace_documents(made, given.pages, seen)
+    counts = made.groupBy("doc_id").agg(F.count("*").alias("n"))
+    results = todo.join(counts, "doc_id", "left").select("doc_id", F.when(F.col("n").isNull(), "error").otherwise("ok").alias("status"), F.coalesce("n", F.lit(0)).alias("n"))
+    marked(spark, given.catalog, results, "parse", {"pages": "n"})
+
+
 def chunk(spark: SparkSession, given) -> None:
     """Pages of pending documents into chunks; a document without pages is an error.
 
@@ -153,12 +173,13 @@ def main(argv: list[str] | None = None) -> None:
             p.add_argument(a)
         p.add_argument("--limit", type=int)
         p.add_argument("--top-k", type=int)
+        p.add_argument("--tables", help="tables that documents already have, for parse")
         if "index" not in args:
             p.add_argument("--index", help="folder that the command index has written")
         p.add_argument("--filters", type=json.loads, help='as JSON: {"ano": [2021, 2022], "situacao_doc": "VIGENTE"}')
     given = top.parse_args(argv)
     spark = SparkSession.builder.appName("quarry").getOrCreate()
-    run = {"init": init, "download": download, "chunk": chunk, "embed": embed, "index": index, "compact": compact}
+    run = {"init": init, "download": download, "parse": parse, "chunk": chunk, "embed": embed, "index": index, "compact": compact}
     if given.command in run:
         run[given.command](spark, given)
     elif given.command == "status":

@@ -168,3 +168,16 @@ def spans_markdown(spans: DataFrame) -> DataFrame:
 
 def page_revoked(spans: DataFrame) -> DataFrame:
     return spans.groupBy("doc_id", "page_index").agg(F.bool_or("revoked").alias("has_revoked"))
+
+
+def assembled(spans: DataFrame, tables: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """A row for each page of struck() spans: its text, tables, kind, flags and ``page_text``, the text followed by the tables."""
+    page = ["doc_id", "page_index"]
+    lines = spans_markdown(spans)
+    text = lines.groupBy(*page).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "markdown"))), lambda x: x.markdown), "\n").alias("text_markdown"))
+    sizes = spans.groupBy(*page).agg(F.sum(F.length(strip(F.col("text")))).alias("char_count"), F.bool_or("revoked").alias("has_revoked"))
+    rows = sizes.join(text, page, "left").join(tables_by_page(tables), page, "left")
+    rows = rows.withColumns({"text_markdown": F.coalesce("text_markdown", F.lit("")), "tables_markdown": F.coalesce("tables_markdown", F.array().cast("array<string>"))})
+    rows = rows.withColumn("classification", classify(F.col("char_count"), F.size("tables_markdown") > 0, config))
+    rows = rows.withColumn("needs_vision", needs_vision(F.col("classification"), F.col("text_markdown"), F.col("tables_markdown")))
+    return rows.withColumn("page_text", F.concat_ws("\n\n", F.nullif(strip(F.col("text_markdown")), F.lit("")), F.nullif(F.array_join("tables_markdown", "\n\n"), F.lit(""))))

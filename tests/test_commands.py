@@ -161,3 +161,23 @@ def test_search_with_a_stored_index(spark, capsys):
         cli.main(["search", points, questions, *extra])
         shown.append(capsys.readouterr().out)
     assert len(set(shown)) == 1 and "palavra" not in shown[0] and "d12" in shown[0]
+
+
+def test_parse_spans_and_strokes(spark):
+    cat = catalog_of(spark, a=("ok", "pending", "pending", "pending"), b=("ok", "pending", "pending", "pending"), c=("ok", "ok", "pending", "pending"))
+    spans, strokes, given_tables, pages, chunks = folder("spans"), folder("strokes"), folder("tables"), folder("pages"), folder("chunks")
+    text = "Art. 1 " + "palavra " * 12
+    rows = [("a", 0, 0, 0, text, 0.0, 0.0, 400.0, 10.0), ("a", 0, 1, 0, "gone away", 0.0, 20.0, 60.0, 30.0), ("a", 0, 2, 0, "x", 15.0, 105.0, 25.0, 115.0), ("a", 0, 2, 1, "y", 65.0, 105.0, 75.0, 115.0), ("a", 1, 0, 0, "short", 0.0, 0.0, 30.0, 10.0), ("c", 0, 0, 0, "not pending", 0.0, 0.0, 9.0, 9.0)]
+    spark.createDataFrame(rows, "doc_id string, page_index int, line_no int, span_no int, text string, x0 double, y0 double, x1 double, y1 double").write.parquet(spans)
+    lines = [("a", 0, "line", 0.0, 25.0, 60.0, 25.0), *(("a", 0, "line", 0.0, y, 100.0, y) for y in (100.0, 120.0)), *(("a", 0, "line", x, 100.0, x, 120.0) for x in (0.0, 50.0, 100.0))]
+    spark.createDataFrame(lines, "doc_id string, page_index int, kind string, x0 double, y0 double, x1 double, y1 double").write.parquet(strokes)
+    spark.createDataFrame([("z", 0, 0, "primary", [["other"]])], "doc_id string, page_index int, table_no int, source string, rows array<array<string>>").write.parquet(given_tables)
+    cli.main(["parse", cat, spans, strokes, pages, "--tables", given_tables])
+    got = {(r.doc_id, r.page_index): r for r in tables.load(spark, pages).collect()}
+    assert set(got) == {("a", 0), ("a", 1)} and states(spark, cat, "parse") == {"a": "ok", "b": "error", "c": "ok"}
+    first = got["a", 0]
+    assert first.text_markdown.split("\n")[1] == "~~gone away~~" and first.has_revoked and first.classification == "complex" and not first.needs_vision
+    assert first.tables_markdown == ["| x | y |\n| --- | --- |"] and first.page_text.endswith(first.tables_markdown[0])
+    assert got["a", 1].classification == "scanned" and not got["a", 1].has_revoked
+    cli.main(["chunk", cat, pages, chunks])
+    assert "~~gone away~~" in tables.load(spark, chunks).first().text
