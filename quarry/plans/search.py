@@ -10,7 +10,7 @@ from quarry.operators.catalog import payload_filter
 from quarry.operators import retrieval as rt
 from quarry.plans import views
 from quarry.plans.documents import ORACLES, QUERIES, query
-from quarry.session import shared_dir, table
+from quarry.session import cut, shared_dir, table
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -93,8 +93,8 @@ RANKINGS = f"""{views.QUESTIONS}, {views.SPARSE}, dc AS (
 )"""
 
 
-def rankings(spark, d, filters=None):
-    """(dense, sparse, identified, identifier documents, questions), each within the payload's ``filters``."""
+def rankings(spark, d, filters=None, indexed=False):
+    """(dense, sparse, identified, identifier documents, questions), each within the payload's ``filters``; ``indexed``: from stored indexes."""
     qs = views.questions(spark, d)
     v, index, names = views.dense_inputs(spark, d)[0], views.sparse_inputs(spark, d)[0], views.files(spark, d)
     asked = v
@@ -104,8 +104,14 @@ def rankings(spark, d, filters=None):
         names = names.join(kept.withColumnRenamed("chunk_id", "doc_id"), "doc_id", "left_semi")
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
     q = asked.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query_embedding")).join(items, "query_id")
-    dense = vectors.dense_top_k(v, q)
-    sparse = vectors.sparse_top_k(index, views.sparse_inputs(spark, d)[1])
+    terms = views.sparse_inputs(spark, d)[1]
+    if indexed:
+        path = _path(spark, "indexes")
+        sparse_index.write(sparse_index.blocks(vectors.postings(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("doc_id", "chunk_id")), f"{path}/postings")
+        dense = cut(clusters.top_k(clusters.laid_out(v.select("chunk_id", "embedding"), f"{path}/vectors"), q))
+        sparse = cut(sparse_index.top_k(sparse_index.read(spark, f"{path}/postings"), terms))
+    else:
+        dense, sparse = vectors.dense_top_k(v, q), vectors.sparse_top_k(index, terms)
     docs = rt.identifier_documents(qs, names)
     # Within identified documents: each query has its own few vectors.
     own = docs.select("query_id", F.col("doc_id").alias("chunk_id")).join(v, "chunk_id").join(q, "query_id")
@@ -148,8 +154,8 @@ def payload(spark, d):
     )
 
 
-def found(spark, d, filters=None):
-    dense, sparse, identified, docs, qs = rankings(spark, d, filters)
+def found(spark, d, filters=None, indexed=False):
+    dense, sparse, identified, docs, qs = rankings(spark, d, filters, indexed)
     return rt.hybrid(dense, sparse, identified, docs, payload(spark, d), qs)
 
 
@@ -158,6 +164,12 @@ def hybrid_search(spark, d):
     return found(spark, d).select("query_id", "chunk_id", "score", "final_rank")
 
 
+@query(f"WITH {HYBRID} SELECT query_id, chunk_id, score, final_rank FROM fin WHERE final_rank <= 6")
+def hybrid_indexed(spark, d):
+    """The rows of hybrid_search from stored postings and vectors by cluster."""
+    return found(spark, d, indexed=True).select("query_id", "chunk_id", "score", "final_rank")
+
+
 @query(f"WITH {HYBRID} SELECT query_id, chunk_id, score, page_start FROM fin WHERE final_rank <= 20")
 def rerank_boost(spark, d):
     dense, sparse, identified, docs, qs = rankings(spark, d)
