@@ -124,15 +124,15 @@ def strike_pairs(spans: DataFrame, marks: DataFrame, config: Config = DEFAULT) -
     if config.strike_band > 0.5:  # then the band is wider than the span
         s = s.withColumns({"_low": F.least("_low", (F.col("y0") + F.col("y1")) / 2 - F.abs(reach)), "_high": F.greatest("_high", (F.col("y0") + F.col("y1")) / 2 + F.abs(reach))})
     s = s.withColumn("_at", F.explode(F.array(*(F.col("x0") + (F.col("x1") - F.col("x0")) * f for f in _probes(config.strike_coverage)))))
-    heights = intervals.levels(s, page, "_tall", "_low", "_high").join(intervals.levels(m, page, "_flat", "_mlow", "_mhigh"), page).join(intervals.levels(m, page, "_wide", "_left", "_right"), page)
-    s, m = (df.join(heights, page) for df in (s, m))  # pages without both have no pairs
+    wide = F.collect_set(intervals.level(F.col("_left"), F.col("_right"))).alias("_wide")
+    of_marks = m.groupBy(*page).agg(F.collect_set(intervals.level(F.col("_mlow"), F.col("_mhigh"))).alias("_flat"), wide)
+    s, m = s.join(of_marks, page), m.join(intervals.levels(s, page, "_tall", "_low", "_high"), page)  # pages without both have no pairs
     s = intervals.banded(s.withColumn("_wx", F.explode("_wide")), F.col("_flat"), "_s", "_low", "_high")
     s = s.withColumn("_bx", F.floor(F.col("_at") / (F.lit(intervals.BASE) * F.pow(F.lit(2.0), F.col("_wx")))).cast("long"))
     m = intervals.banded(m, F.col("_tall"), "_m", "_mlow", "_mhigh").withColumn("_wx", intervals.level(F.col("_left"), F.col("_right")))
     width = F.lit(intervals.BASE) * F.pow(F.lit(2.0), F.col("_wx"))
     m = m.withColumn("_bx", F.explode(F.sequence(F.floor(F.col("_left") / width).cast("long"), F.floor(F.col("_right") / width).cast("long"))))
-    drop = ["_tall", "_flat", "_wide"]
-    return s.drop(*drop).join(m.drop(*drop), [*page, "_l", "_b", "_wx", "_bx"]).where(intervals.once("_s", "_m"))
+    return s.drop("_flat", "_wide").join(m.drop("_tall"), [*page, "_l", "_b", "_wx", "_bx"]).where(intervals.once("_s", "_m"))
 
 
 def struck(spans: DataFrame, marks: DataFrame, config: Config = DEFAULT) -> DataFrame:
