@@ -10,17 +10,21 @@ Two deterministic machines count the tokens of a byte-level BPE vocabulary:
   longer prefix, so the number can be negative). States are made when they are
   first reached and kept in a table of bounded size.
 
-Texts are read in chunks of fixed size. A chunk's state map takes any state
-before the chunk to the count and the state behind it: white space behind a
-printable character brings every state to the same one, so the map is the bytes
-before the first such place (their count depends on the state before), the count
-between the first and the last, and the bytes behind the last (they name the
-state behind the chunk). Maps compose associatively; a scan over a document's
-chunks gives its count.
+Long texts are read in chunks of fixed size, dealt over all tasks. A chunk's state
+map takes the word machine's state before the chunk to the tokens that the chunk
+adds and the state behind it. Where words start depends on a few characters only,
+so a chunk, with ``LOOK`` bytes before it and a few behind it, finds its own word
+starts; one start before it tells the state, and the map has one entry for all
+states. In longer words (runs of one letter, prose without marks) the map has an
+entry for each state that any place of those ``LOOK`` bytes leads to, started as a
+word. Maps compose associatively: Spark composes ``FAN`` neighbours at a time, in as
+many rounds as the longest possible text needs. A state that a map lacks leaves the
+text without a count, and such texts are counted whole.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +35,18 @@ from pyspark.sql import functions as F
 
 from quarry.llm import bpe
 from quarry.llm.flat import flat, slices, strings
-from quarry.session import table
+from quarry.session import cut, table
 
 #: Bytes of a chunk; most documents are one chunk.
-CHUNK = 1 << 16
-#: States, pairs of tokens and words that a task keeps.
-STATES, PAIRS, WORD_ENTRIES = 150_000, 400_000, 300_000
+CHUNK = 1 << 15
+#: Bytes before a chunk that it knows, bytes behind it, and maps that are composed at once.
+LOOK, AHEAD, FAN = 256, 64, 64
+#: Most bytes of a text.
+TEXT_LIMIT = 1 << 31
+#: States, pairs of tokens, words and moved states that a task keeps.
+STATES, PAIRS, WORD_ENTRIES, MOVES = 150_000, 400_000, 300_000, 20_000
+#: State at the start of a word, and the name of any state.
+START, ANY = ((0, None, 0),), "*"
 OTHER, LETTER, NUMBER, BLANK = range(4)
 #: Fixed values of the splitting pattern.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -62,6 +72,8 @@ class Machine:
         spec, byte_of = bpe.file_spec(path), bpe.byte_of()
         words, special = bpe.ranks(path)
         self.special = [s.encode() for s in special]
+        #: Bytes behind a cut within which word starts aren't sure: the rest of a special string, a contraction, its neighbours.
+        self.guard = max(map(len, self.special), default=0) + 20
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.rank = {tuple(bytes(byte_of[c] for c in part) for part in m): r for r, m in enumerate(merges)}
         # A trie of the tokens: child nodes by (node, byte), the token that ends at a node, nodes that tokens go on from.
@@ -81,11 +93,11 @@ class Machine:
         self.pairs: dict[tuple[bytes | None, bytes], bool] = {}
         self.classes = char_classes()
         self.words: dict[bytes, int] = {}
+        self.moves: dict[tuple[tuple, bytes], tuple[int, tuple]] = {}
         self.reset()
 
     def reset(self) -> None:
-        start = ((0, None, 0),)
-        self.states, self.configs, self.step = {start: 0}, [start], {}
+        self.states, self.configs, self.step = {START: 0}, [START], {}
 
     def merged(self, word: bytes) -> list[bytes]:
         """Tokens of a short word, merging by rank."""
@@ -123,24 +135,44 @@ class Machine:
         out = self.step[state << 8 | byte] = to << 12 | cost + 2048
         return out
 
-    def count(self, word: bytes) -> int:
-        """Tokens of one word of the splitter, or of a special token."""
-        if word in self.special:
-            return 1
-        step, state, n = self.step, 0, 0
-        for b in word:
+    def number(self, config: tuple) -> int:
+        state = self.states.setdefault(config, len(self.configs))
+        if state == len(self.configs):
+            self.configs.append(config)
+        return state
+
+    def moved(self, config: tuple, text: bytes) -> tuple[int, tuple]:
+        """Tokens that bytes of one word add, and the state behind them."""
+        step, state, n = self.step, self.number(config), 0
+        for b in text:
             to = step.get(state << 8 | b)
             if to is None:
                 if len(self.configs) > STATES:  # a long word goes on from where it is, in new tables
                     config = self.configs[state]
                     self.reset()
-                    step, state = self.step, self.states.setdefault(config, len(self.configs))
-                    if state:
-                        self.configs.append(config)
+                    step, state = self.step, self.number(config)
                 to = self.transition(state, b)
             state = to >> 12
             n += (to & 4095) - 2048
-        return n
+        return n, self.configs[state]
+
+    def count(self, word: bytes) -> int:
+        """Tokens of one word of the splitter, or of a special token."""
+        return 1 if word in self.special else self.moved(START, word)[0]
+
+    def moved_all(self, configs: list[tuple], text: bytes) -> dict[tuple, tuple[int, tuple]]:
+        """``moved`` for several states, in blocks, at whose ends states that have become one go on as one."""
+        now = {c: (0, c) for c in configs}
+        for a in range(0, len(text), 128):
+            block, to = text[a : a + 128], {}
+            for config in {c for _, c in now.values()}:
+                if (got := self.moves.get((config, block))) is None:
+                    if len(self.moves) > MOVES:
+                        self.moves.clear()
+                    got = self.moves[config, block] = self.moved(config, block)
+                to[config] = got
+            now = {c: (n + to[at][0], to[at][1]) for c, (n, at) in now.items()}
+        return now
 
     def word_starts(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Byte positions at which the splitter begins a word; ``off`` bounds the texts."""
@@ -154,8 +186,8 @@ class Machine:
             value = first[wide].astype(np.int64) & (0xFF >> (size + 1))
             for k in (1, 2, 3):
                 more = size > k
-                value[more] = value[more] << 6 | (buf[at[more] + k] & 0x3F)
-            code[wide] = value
+                value[more] = value[more] << 6 | (buf[np.minimum(at[more] + k, len(buf) - 1)] & 0x3F)
+            code[wide] = np.minimum(value, 0x10FFFF)  # a character that a cut parts can be any
             kind = self.classes[code]
         n = len(lead)
         new = np.zeros(n + 1, bool)
@@ -186,10 +218,8 @@ class Machine:
                         start[i + 1 + size] = True
         return lead[start]
 
-    def counts(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Tokens of each text that ``off`` bounds."""
-        if not len(buf):
-            return np.zeros(len(off) - 1, np.int64)
+    def split(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, set[int]]:
+        """Where words and special tokens start, and which of these are special."""
         cuts = [off]
         raw = buf.tobytes()
         for s in self.special:  # these strings are tokens wherever they stand, and texts end at them
@@ -206,7 +236,11 @@ class Machine:
             for c in cuts[1:]:
                 inside[c[0] + 1 : c[1]] = True
             starts = starts[~inside[starts]]
-        coded = strings(buf, np.append(starts, len(buf))).dictionary_encode()
+        return starts, specials
+
+    def each(self, buf: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Tokens of the words between neighbouring edges."""
+        coded = strings(buf, edges).dictionary_encode()
         if len(self.words) > WORD_ENTRIES:
             self.words.clear()
         known, each = self.words, []
@@ -215,10 +249,56 @@ class Machine:
             if n is None:
                 n = known[w] = self.count(w)
             each.append(n)
-        total = np.concatenate(([0], np.cumsum(np.array(each, np.int64)[coded.indices.to_numpy(zero_copy_only=False)])))
+        return np.array(each, np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+
+    def counts(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Tokens of each text that ``off`` bounds."""
+        if not len(buf):
+            return np.zeros(len(off) - 1, np.int64)
+        starts = self.split(buf, off)[0]
+        total = np.concatenate(([0], np.cumsum(self.each(buf, np.append(starts, len(buf))))))
         at = total[np.searchsorted(starts, off)]
         return at[1:] - at[:-1]
 
+    def state_map(self, text: bytes, at: int, skip: int, size: int, look: int = LOOK) -> dict[str, tuple[int, str]]:
+        """Tokens and state behind a chunk, by the state before it.
+
+        The chunk is ``size`` bytes from place ``at`` of its document; ``text`` is
+        these, ``skip`` bytes before them, and some behind them.
+        """
+        buf, stop = np.frombuffer(text, np.uint8), skip + size
+        starts, specials = self.split(buf, np.array([0, len(text)]))
+        starts = starts[starts >= (self.guard if at > skip else 0)]
+        lo, hi = int(np.searchsorted(starts, skip, side="right")), int(np.searchsorted(starts, stop))
+
+        def piece(word: int, a: int, b: int) -> tuple[int, tuple]:
+            """The part from a to b of the word that starts at ``word``; a special token counts where it starts."""
+            if word in specials:
+                return int(a == word), START
+            return self.moved(self.moved(START, text[word:a])[1], text[a:b])
+
+        first = int(starts[lo]) if lo < hi else stop
+        if lo:
+            found = {ANY: piece(int(starts[lo - 1]), skip, first)}
+        else:
+            before = {self.moved(START, text[p:skip])[1] for p in range(skip)}
+            found = {named(c): to for c, to in self.moved_all(list(before), text[skip:first]).items()}
+        if lo < hi:
+            last = int(starts[hi - 1])
+            more, behind = piece(last, last, stop)
+            more += int(self.each(buf, starts[lo:hi]).sum()) if hi - lo > 1 else 0
+            found = {k: (n + more, behind) for k, (n, _) in found.items()}
+        # The next chunk asks for the state before it if it sees no word start.
+        sees = max(0, at + size - look)
+        sure = sees - (at - skip) + (self.guard if sees else 0)
+        asks = np.searchsorted(starts, sure) == np.searchsorted(starts, stop, side="right")
+        return {k: (n, named(c) if asks else ANY) for k, (n, c) in found.items()}
+
+
+def named(config: tuple) -> str:
+    """Short name of a state, the same in all tasks."""
+    return hashlib.md5(repr(config).encode()).hexdigest()
+
 
 def machine(path: str) -> Machine:
     if path not in _loaded:
@@ -226,82 +306,78 @@ def machine(path: str) -> Machine:
     return _loaded[path]
 
 
-def settled(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last place of each chunk at which the state is known whatever came before; -1: none."""
-    sync = np.flatnonzero((buf[:-1] > 32) & (buf[:-1] < 127) & ((buf[1:] == 32) | ((buf[1:] >= 9) & (buf[1:] <= 13)))) + 1
-    i, j = np.searchsorted(sync, off[:-1], side="right"), np.searchsorted(sync, off[1:], side="left")
-    none = i >= j
-    padded = np.append(sync, -1)
-    return np.where(none, -1, padded[np.minimum(i, len(sync))]), np.where(none, -1, padded[np.maximum(j - 1, 0)])
-
-
-def compose(m: Machine, a: tuple, b: tuple) -> tuple:
-    """State map of two neighbouring spans: (bytes before, count between or None, bytes behind)."""
-    if a[1] is None and b[1] is None:
-        return a[0] + b[0], None, b""
-    if a[1] is None:
-        return a[0] + b[0], b[1], b[2]
-    if b[1] is None:
-        return a[0], a[1], a[2] + b[0]
-    return a[0], a[1] + span_count(m, a[2] + b[0]) + b[1], b[2]
-
-
-def span_count(m: Machine, text: bytes) -> int:
-    return int(m.counts(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0])
-
-
-def scan(m: Machine, maps: list[tuple]) -> int:
-    """Count of a document from its chunks' maps, neighbours composed in rounds."""
-    while len(maps) > 1:
-        maps = [compose(m, *maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-    before, between, behind = maps[0]
-    return span_count(m, before) + (between or 0) + span_count(m, behind)
+def composed(maps: list[dict[str, tuple[int | None, str]]]) -> dict[str, tuple[int | None, str]]:
+    """State map of neighbouring spans; no count where a span's map lacks a state."""
+    out = maps[0]
+    for after in maps[1:]:
+        all_alike = after.get(ANY)
+        pairs = {k: (n, all_alike or after.get(state, (None, ANY))) for k, (n, state) in out.items()}
+        out = {k: (None if n is None or more is None else n + more, to) for k, (n, (more, to)) in pairs.items()}
+    return out
 
 
-def token_counts(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", chunk: int = CHUNK) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", chunk: int = CHUNK, look: int = LOOK) -> DataFrame:
     """id, n_bytes and n_tokens of each row; null and empty texts have none of either.
 
-    Rows are kept apart even where ids repeat or are null. A long text's chunks
-    are counted as rows of their own and meet as state maps only.
+    Rows are kept apart even where ids repeat or are null. Texts of over ``chunk``
+    bytes are counted as chunks, dealt over all tasks, that meet as state maps only.
+    Other columns aren't read, whatever their names.
     """
     kind = docs.schema[id_column].dataType.simpleString()
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_column).alias("_id"), F.monotonically_increasing_id().alias("_row"), F.encode(text, "UTF-8").alias("_bytes"))
+    rows = docs.select(F.col(id_column).alias("_id"), F.encode(text, "UTF-8").alias("_bytes"))
+    schema = f"_id {kind}, n_bytes bigint, n_tokens bigint"
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = machine(path)
+        for batch in slices(batches, "_bytes"):
+            buf, off = flat(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off)), pa.array(m.counts(buf, off))], ["_id", "n_bytes", "n_tokens"])
+
+    size = F.octet_length("_bytes")
+    short = rows.where(size <= chunk).mapInArrow(whole, schema)
+    long = rows.where(size > chunk).withColumn("_row", F.monotonically_increasing_id())
+    totals = cut(_by_chunks(long, path, kind, chunk, look))
+    out = short.union(totals.where("n_tokens IS NOT NULL").select("_id", "n_bytes", "n_tokens"))
+    lost = totals.where("n_tokens IS NULL").select("_row")
+    if not lost.isEmpty():
+        out = out.union(long.join(lost, "_row", "left_semi").select("_id", "_bytes").mapInArrow(whole, schema))
+    return out.withColumnRenamed("_id", id_column)
+
+
+def _by_chunks(long: DataFrame, path: str, kind: str, chunk: int, look: int) -> DataFrame:
+    """_row, _id, n_bytes and n_tokens (null: a map lacks a state) of texts in chunks."""
     size = F.octet_length("_bytes")
-    whole = rows.withColumn("_at", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((size - 1) / chunk).cast("int")))))
-    parts = whole.select("_id", "_row", "_at", F.when(size <= chunk, F.col("_bytes")).otherwise(F.col("_bytes").substr(F.col("_at") * chunk + 1, F.lit(chunk))).alias("_text"), (size > chunk).alias("_long"))
+    cuts = long.withColumn("_at", F.explode(F.sequence(F.lit(0), F.floor((size - 1) / chunk).cast("int"))))
+    at = F.col("_at") * chunk
+    skip = F.least(at, F.lit(look))
+    own = F.least(F.lit(chunk), size - at)
+    parts = cuts.select("_id", "_row", "_at", skip.alias("_skip"), own.alias("_size"), F.col("_bytes").substr(at - skip + 1, skip + chunk + AHEAD).alias("_text")).repartition("_row", "_at")
+    fields = ["_id", "_row", "_at", "n_bytes", "states", "adds", "leads"]
+    schema = f"_id {kind}, _row bigint, _at int, n_bytes bigint, states array<string>, adds array<bigint>, leads array<string>"
+
+    def packed(columns: list[pa.Array], maps: list[dict]) -> pa.RecordBatch:
+        lists = [pa.array([list(m) for m in maps], pa.list_(pa.string())), pa.array([[n for n, _ in m.values()] for m in maps], pa.list_(pa.int64())), pa.array([[to for _, to in m.values()] for m in maps], pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays([*columns, *lists], fields)
 
     def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = machine(path)
         for batch in slices(batches, "_text"):
-            buf, off = flat(batch.column(3))
-            long = np.asarray(batch.column(4).to_numpy(zero_copy_only=False), bool)
-            a, b = settled(buf, off) if len(buf) else (np.full(len(off) - 1, -1),) * 2
-            a, b = np.where(long, a, off[:-1]), np.where(long, b, off[1:])
-            known = a >= 0
-            edges = np.unique(np.concatenate([off, a[known], b[known]]))
-            each = np.concatenate(([0], np.cumsum(m.counts(buf, edges))))
-            at = lambda x: each[np.searchsorted(edges, x)]
-            a_, b_ = np.where(known, a, off[:-1]), np.where(known, b, off[:-1])
-            between = at(b_) - at(a_)
-            before = [buf[s : (x if k else e)].tobytes() if w else b"" for s, e, x, k, w in zip(off[:-1].tolist(), off[1:].tolist(), a.tolist(), known.tolist(), long.tolist(), strict=True)]
-            behind = [buf[y:e].tobytes() if k and w else b"" for e, y, k, w in zip(off[1:].tolist(), b.tolist(), known.tolist(), long.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(3)), pa.array(np.diff(off)), pa.array(before, pa.binary()), pa.array(between, mask=~known), pa.array(behind, pa.binary())],
-                ["_id", "_row", "_at", "n_bytes", "before", "between", "behind"],
-            )
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = machine(path)
-        for batch in batches:
-            n = [scan(m, [(p["before"], p["between"], p["behind"]) for p in parts]) for parts in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["_id", "n_bytes", "n_tokens"])
+            some = zip(*(batch.column(i).to_pylist() for i in (5, 2, 3, 4)), strict=True)
+            got = [m.state_map(t, k * chunk, s, n, look) for t, k, s, n in some]
+            yield packed([*(batch.column(i) for i in range(3)), batch.column(4).cast(pa.int64())], got)
 
-    mapped = parts.mapInArrow(maps, f"_id {kind}, _row bigint, _at int, n_bytes bigint, before binary, between bigint, behind binary")
-    by_row = mapped.groupBy("_row").agg(
-        F.first("_id").alias("_id"), F.sum("n_bytes").alias("n_bytes"), F.sort_array(F.collect_list(F.struct("_at", "before", "between", "behind"))).alias("_parts")
-    )
-    return by_row.select("_id", "n_bytes", "_parts").mapInArrow(total, f"_id {kind}, n_bytes bigint, n_tokens bigint").withColumnRenamed("_id", id_column)
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [composed([{k: (n, to) for k, n, to in zip(p["states"], p["adds"], p["leads"], strict=True)} for p in group]) for group in batch.column(4).to_pylist()]
+            yield packed([batch.column(i) for i in range(4)], got)
+
+    out, most = parts.mapInArrow(maps, schema), -(-TEXT_LIMIT // chunk)
+    while most > 1:
+        span = F.struct("_at", "states", "adds", "leads")
+        by = out.groupBy("_row", F.floor(F.col("_at") / FAN).cast("int").alias("_to")).agg(F.first("_id").alias("_id"), F.sum("n_bytes").alias("n_bytes"), F.sort_array(F.collect_list(span)).alias("_spans"))
+        out, most = by.select("_id", "_row", F.col("_to").alias("_at"), "n_bytes", "_spans").mapInArrow(together, schema), -(-most // FAN)
+    return out.select("_row", "_id", "n_bytes", F.get("adds", F.lit(0)).alias("n_tokens"))  # a text's first chunk has one entry
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -383,6 +383,55 @@ def test_token_counts(spark):
     assert token_counts.token_counts(odd(spark).limit(0), BPE).count() == 0
 
 
+def long_words():
+    rng = random.Random(7)
+    letters = "".join(rng.choices("etaoinshrdlu", k=3000))
+    return ["x" * 2500, "ab" * 1300, "=" * 700 + "-" * 900, " " * 1500 + "end", letters, "\u4e00\u4e8c\u4e09\u56db" * 400, "it's" * 300 + letters[:900] + "<|endoftext|>" * 40 + "y" * 800, "\u0e01\u0e32" * 300, "12345" * 300 + "\U0001f600" * 200]
+
+
+def test_token_counts_of_long_words_in_chunks(spark):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(BPE)
+    rows = list(enumerate(long_words()))
+    want = {i: len(lib.encode(t, add_special_tokens=False).ids) for i, t in rows}
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    for chunk, look in ((300, 256), (11, 200), (100, 2)):
+        assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(df, BPE, chunk=chunk, look=look).collect()} == want
+
+
+def maps_of(m, text, chunk, look):
+    raw = text.encode()
+    for at in range(0, len(raw), chunk):
+        skip, size = min(at, look), min(chunk, len(raw) - at)
+        yield m.state_map(raw[at - skip : at + size + token_counts.AHEAD], at, skip, size, look)
+
+
+def test_state_maps_compose_in_any_order():
+    m = token_counts.machine(BPE)
+    rng = random.Random(3)
+    bits = ["a", "the", " ", "  ", "\n", "'s", "'", "'ll", "12", ".", "\u00e9", "\u4e00", "\U0001f600", "<|endoftext|>", "<|endof", "zq" * 60, "-" * 90]
+    kinds = set()
+    for _ in range(24):
+        text = "".join(rng.choices(bits, k=60)) if rng.random() < 0.7 else "".join(rng.choices("abcde", k=1500))
+        want = m.counts(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))[0]
+        chunk = rng.choice([5, 13, 50, 301])
+        maps = list(maps_of(m, text, chunk, 256))
+        kinds |= {token_counts.ANY in x for x in maps}
+        folded = token_counts.composed(maps)
+        while len(maps) > 1:
+            k = rng.randrange(len(maps) - 1)
+            maps[k : k + 2] = [token_counts.composed(maps[k : k + 2])]
+        assert maps[0] == folded and folded[token_counts.ANY][0] == want, repr(text)
+    assert kinds == {True, False}
+
+
+def test_states_that_a_map_lacks_leave_no_count():
+    m = token_counts.machine(BPE)
+    maps = list(maps_of(m, "x" * 3000, 100, 2))
+    assert token_counts.composed(maps)[token_counts.ANY][0] is None
+
+
 def test_labelled_documents_are_bounded_by_bytes_not_by_length():
     sizes = pd.DataFrame({"doc_id": [*range(50), 900, 901, 901], "size": [1000] * 50 + [200_000, 40_000_000, 1]})
     kept = toxicity.fitting(sizes)["doc_id"].tolist()
