@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quarry.config import DEFAULT, Config
 from quarry.functions.text import tokens
+from quarry.operators.blocks import answered
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -30,15 +29,6 @@ def ranked(rows: DataFrame, query: str, score: str, key: str, k: int) -> DataFra
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _in_blocks(queries: DataFrame, key: str, config: Config) -> list[DataFrame]:
-    """Queries in blocks whose size is checked, so that each can go to every task."""
-    blocks = max(1, math.ceil(queries.count() / config.query_block))
-    if blocks == 1:
-        return [queries]
-    blocks *= 2  # hashes fill blocks unevenly
-    return [queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b) for b in range(blocks)]
-
-
 def _unit(column: pa.Array, length: int) -> np.ndarray:
     """Rows of unit length from a list column whose lists have ``length`` entries; 0 for lists of no length or with nulls."""
     flat = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, length)
@@ -58,38 +48,37 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT.dense_k
     kinds = {f.name: f.dataType.simpleString() for f in [*vectors.schema, *queries.schema]}
     schema = f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double"
 
-    def block(q: DataFrame) -> DataFrame:
-        # About query_block rows, which the caller has counted.
-        asked = q.select("query_id", "query_embedding").where("query_embedding IS NOT NULL").toArrow().combine_chunks()
+    def load(asked: pa.Table) -> dict[int, tuple[pa.Array, np.ndarray]]:
+        """Ids and unit vectors of a block's queries, by length."""
         lengths = pc.list_value_length(asked["query_embedding"]).to_numpy() if asked.num_rows else np.zeros(0, int)
         by_length = {}
         for n in np.unique(lengths).tolist():
             part = asked.filter(pa.array(lengths == n))
             by_length[n] = part["query_id"].combine_chunks(), _unit(part["query_embedding"].combine_chunks(), n)
-
-        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                sizes = pc.fill_null(pc.list_value_length(whole.column(1)), -1).to_numpy(zero_copy_only=False)
-                for n, (query_ids, matrix) in by_length.items():
-                    batch = whole.filter(pa.array(sizes == n))
-                    if not batch.num_rows or not n:
-                        continue
-                    unit, place = _unit(batch.column(1), n), np.empty(batch.num_rows, np.int64)
-                    place[pc.sort_indices(batch.column(0)).to_numpy()] = np.arange(batch.num_rows)
-                    for at in range(0, len(matrix), 256):
-                        scores = np.round(unit @ matrix[at : at + 256].T, decimals) + 0.0
-                        floor = np.partition(scores, max(0, len(scores) - k), axis=0)[max(0, len(scores) - k)]
-                        row, query = np.nonzero(scores >= floor)
-                        by = np.lexsort((place[row], -scores[row, query], query))
-                        row, query = row[by], query[by]
-                        first = np.searchsorted(query, query)
-                        keep = np.arange(len(query)) - first < k
-                        row, query = row[keep], query[keep]
-                        yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(query + at)), batch.column(0).take(pa.array(row)), pa.array(scores[row, query])], ["query_id", "chunk_id", "score"])
-
-        return ranked(vectors.select("chunk_id", "embedding").mapInArrow(best, schema), "query_id", "score", "chunk_id", k)
-
-    return reduce(DataFrame.unionByName, map(block, _in_blocks(queries, "query_id", config)))
+        return by_length
+
+    def best(by_length: dict[int, tuple[pa.Array, np.ndarray]], whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        sizes = pc.fill_null(pc.list_value_length(whole.column(1)), -1).to_numpy(zero_copy_only=False)
+        for n, (query_ids, matrix) in by_length.items():
+            batch = whole.filter(pa.array(sizes == n))
+            if not batch.num_rows or not n:
+                continue
+            unit, place = _unit(batch.column(1), n), np.empty(batch.num_rows, np.int64)
+            place[pc.sort_indices(batch.column(0)).to_numpy()] = np.arange(batch.num_rows)
+            for at in range(0, len(matrix), 256):
+                scores = np.round(unit @ matrix[at : at + 256].T, decimals) + 0.0
+                floor = np.partition(scores, max(0, len(scores) - k), axis=0)[max(0, len(scores) - k)]
+                row, query = np.nonzero(scores >= floor)
+                by = np.lexsort((place[row], -scores[row, query], query))
+                row, query = row[by], query[by]
+                first = np.searchsorted(query, query)
+                keep = np.arange(len(query)) - first < k
+                row, query = row[keep], query[keep]
+                yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(query + at)), batch.column(0).take(pa.array(row)), pa.array(scores[row, query])], ["query_id", "chunk_id", "score"])
+
+    asked = queries.select("query_id", "query_embedding").where("query_embedding IS NOT NULL")
+    rows = answered(vectors.select("chunk_id", "embedding"), asked, asked.count(), config.query_block, load, best, schema)
+    return ranked(rows, "query_id", "score", "chunk_id", k)
 
 
 def postings(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -120,54 +109,48 @@ def sparse_top_k(index: DataFrame, queries: DataFrame, k: int = DEFAULT.sparse_k
     schema = f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double"
     weighted = "weights" in index.columns
 
-    def block(q: DataFrame) -> DataFrame:
-        # Postings of about query_block queries, which the caller has counted.
-        asked = q.select("query_id", "term", F.col("weight").cast("double").alias("weight")).toArrow().combine_chunks()
+    def load(asked: pa.Table) -> dict:
+        """A block's postings by term."""
         ids, terms = (asked[c].combine_chunks().dictionary_encode() if asked.num_rows else pa.array([], asked[c].type).dictionary_encode() for c in ("query_id", "term"))
         query, term = (x.indices.to_numpy(zero_copy_only=False).astype(np.int64) for x in (ids, terms))
         by = np.argsort(term, kind="stable")
-        query, amount = query[by], asked["weight"].to_numpy()[by]
         edges = np.searchsorted(term[by], np.arange(len(terms.dictionary) + 1))
-        n_queries, query_ids, known = len(ids.dictionary), ids.dictionary, terms.dictionary
-
-        def scores_of(doc: np.ndarray, term: np.ndarray, weight: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
-            """Sum of products, and whether a term is shared, by document and query."""
-            size = edges[term + 1] - edges[term]
-            at = np.repeat(edges[term] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-            cell = np.repeat(doc, size) * n_queries + query[at]
-            total = np.bincount(cell, np.repeat(weight, size) * amount[at], docs * n_queries).reshape(docs, n_queries)
-            shared = np.zeros(docs * n_queries, bool)
-            shared[cell] = True
-            return total, shared.reshape(docs, n_queries)
-
-        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows = max(1, min(1000, 4_000_000 // max(n_queries, 1)))
-            for whole in batches:
-                for start in range(0, whole.num_rows if n_queries else 0, rows):
-                    batch = whole.slice(start, rows)
-                    flat = batch.column(1).flatten()
-                    found = pc.index_in(flat, known)
-                    doc = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
-                    hit = found.is_valid().to_numpy(zero_copy_only=False)
-                    weight = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(float)[hit] if weighted else np.ones(int(hit.sum()))
-                    total, shared = scores_of(doc[hit], found.drop_null().to_numpy().astype(np.int64), weight, batch.num_rows)
-                    place = np.empty(batch.num_rows, np.int64)
-                    place[pc.sort_indices(batch.column(0)).to_numpy()] = np.arange(batch.num_rows)
-                    total[~shared] = -np.inf
-                    least = max(0, batch.num_rows - k)
-                    floor = np.partition(total, least, axis=0)[least]
-                    row, col = np.nonzero((total >= floor) & shared)
-                    by = np.lexsort((place[row], -total[row, col], col))
-                    row, col = row[by], col[by]
-                    keep = np.arange(len(col)) - np.searchsorted(col, col) < k
-                    row, col = row[keep], col[keep]
-                    yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(col)), batch.column(0).take(pa.array(row)), pa.array(total[row, col])], ["query_id", "chunk_id", "score"])
-
-        columns = ["chunk_id", "terms", *(["weights"] if weighted else [])]
-        return ranked(index.select(*columns).mapInArrow(best, schema), "query_id", "score", "chunk_id", k)
-
-    names = queries.select("query_id").distinct()
-    blocks = max(1, math.ceil(names.count() / config.query_block))
-    blocks *= 1 if blocks == 1 else 2  # hashes fill blocks unevenly
-    parts = [queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
-    return reduce(DataFrame.unionByName, map(block, parts))
+        return {"query": query[by], "amount": asked["weight"].to_numpy()[by], "edges": edges, "ids": ids.dictionary, "terms": terms.dictionary}
+
+    def scores_of(asked: dict, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sum of products, and whether a term is shared, by document and query."""
+        edges, n_queries = asked["edges"], len(asked["ids"])
+        size = edges[term + 1] - edges[term]
+        at = np.repeat(edges[term] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        cell = np.repeat(doc, size) * n_queries + asked["query"][at]
+        total = np.bincount(cell, np.repeat(weight, size) * asked["amount"][at], docs * n_queries).reshape(docs, n_queries)
+        shared = np.zeros(docs * n_queries, bool)
+        shared[cell] = True
+        return total, shared.reshape(docs, n_queries)
+
+    def best(asked: dict, whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        n_queries = len(asked["ids"])
+        rows = max(1, min(1000, 4_000_000 // max(n_queries, 1)))
+        for start in range(0, whole.num_rows if n_queries else 0, rows):
+            batch = whole.slice(start, rows)
+            found = pc.index_in(batch.column(1).flatten(), asked["terms"])
+            doc = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+            hit = found.is_valid().to_numpy(zero_copy_only=False)
+            weight = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(float)[hit] if weighted else np.ones(int(hit.sum()))
+            total, shared = scores_of(asked, doc[hit], found.drop_null().to_numpy().astype(np.int64), weight, batch.num_rows)
+            place = np.empty(batch.num_rows, np.int64)
+            place[pc.sort_indices(batch.column(0)).to_numpy()] = np.arange(batch.num_rows)
+            total[~shared] = -np.inf
+            least = max(0, batch.num_rows - k)
+            floor = np.partition(total, least, axis=0)[least]
+            row, col = np.nonzero((total >= floor) & shared)
+            by = np.lexsort((place[row], -total[row, col], col))
+            row, col = row[by], col[by]
+            keep = np.arange(len(col)) - np.searchsorted(col, col) < k
+            row, col = row[keep], col[keep]
+            yield pa.RecordBatch.from_arrays([asked["ids"].take(pa.array(col)), batch.column(0).take(pa.array(row)), pa.array(total[row, col])], ["query_id", "chunk_id", "score"])
+
+    columns = ["chunk_id", "terms", *(["weights"] if weighted else [])]
+    asked = queries.select("query_id", "term", F.col("weight").cast("double").alias("weight"))
+    names = asked.select("query_id").distinct().count()
+    return ranked(answered(index.select(*columns), asked, names, config.query_block, load, best, schema), "query_id", "score", "chunk_id", k)

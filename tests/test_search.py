@@ -1,5 +1,6 @@
 """Retrieval, evaluation, rates, stored tables and streams."""
 
+import random
 import tempfile
 
 import pandas as pd
@@ -25,6 +26,18 @@ def test_dense_ties_and_blocks(spark):
         assert [(r.query_id, r.chunk_id, r.score) for r in got] == [(i, c, s) for i in range(5) for c, s in ((1, 1.0), (3, 1.0), (2, 0.0))]
 
 
+def test_many_questions_read_the_index_once(spark):
+    rng = random.Random(5)
+    vec = lambda n: [[rng.gauss(0, 1) for _ in range(rng.choice([4, 4, 3]))] for _ in range(n)]
+    v = spark.createDataFrame([*enumerate(vec(300)), (900, None), (901, [])], "chunk_id int, embedding array<double>").repartition(5)
+    q = spark.createDataFrame([*enumerate(vec(120)), (900, None)], "query_id int, query_embedding array<double>")
+    one, many = (vectors.dense_top_k(v, q, 5, Config(query_block=n)) for n in (1000, 7))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
+    plan = many._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("_slabs(") == 1 and "SortMergeJoin" in many._jdf.queryExecution().executedPlan().toString()
+    assert vectors.dense_top_k(v.limit(0), q, 5, Config(query_block=7)).count() == 0
+
+
 def test_identifiers(spark):
     qs = spark.createDataFrame([(1, "Resolução 1234 de 2021"), (2, "em 2021"), (3, "n. 2016"), (4, "artigo 1234")], "query_id int, question string")
     docs = spark.createDataFrame([("a", "ren1234_2021.pdf"), ("b", "ren1234_2020.pdf"), ("a", "ren1234_2021.pdf")], "doc_id string, arquivo string")
