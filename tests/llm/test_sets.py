@@ -13,7 +13,6 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from quarry.llm import ball_tree, column_bwt, components, flat, near_dups, packing, quality, queries, sharding, suffix_dedup, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -164,7 +163,8 @@ def test_column_bwt():
         assert lcp.tolist() == [0] + [common(suffixes[i - 1][0], suffixes[i][0]) for i in range(1, len(suffixes))]
 
 
-def removed(rows, width=100):
+def marked(rows, width=100):
+    """Bytes of each different row, and a mark for each byte that goes."""
     first, out = set(), {}
     for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, hashlib.md5((r[1] or "").encode()).hexdigest())):
         if (i, t) in out:
@@ -176,6 +176,13 @@ def removed(rows, width=100):
             if w in first:
                 gone[k : k + width] = b"\1" * width
             first.add(w)
+        out[i, t] = b, gone
+    return out
+
+
+def removed(rows, width=100):
+    out = {}
+    for (i, t), (b, gone) in marked(rows, width).items():
         runs = sum(1 for k in range(len(b)) if gone[k] and (k == 0 or not gone[k - 1]))
         out[i, t] = (i, len(b), sum(gone), runs, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest())
     return Counter(out[r] for r in rows)
@@ -516,21 +523,3 @@ def test_blocks_change_nothing(monkeypatch):
     monkeypatch.setattr(flat, "BLOCK", 97)
     two = every()
     assert one[0] == two[0] and one[1] == pytest.approx(two[1]) and one[2] == two[2] and one[3] == two[3]
-
-
-def test_pipeline(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    names = docs.columns
-    seen = [docs]
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        from quarry.session import cut
-
-        out = cut(stage(spark, seen[-1], SF))
-        assert out.columns == names and out.count() <= seen[-1].count()
-        seen.append(out)
-    assert 0.7 * docs.count() < seen[1].count() < docs.count()
-    rows = [(r.doc_id, r.text) for r in seen[2].collect()]
-    assert {r.doc_id for r in seen[3].collect()} == {i for i, (_, c) in groups(rows, 5).items() if c == i}
-    assert seen[4].count() == seen[3].count()
-    packed = corpus_pipeline.run(spark, SF)
-    assert packed.select("doc_id").distinct().count() == seen[4].count()

@@ -100,9 +100,8 @@ def plain_log_perplexity(texts):
     return [-sum(math.log(known.setdefault(g, p(g))) for g in grams(t)) / max(len(t), 1) for t in texts]
 
 
-def test_quality_verdicts(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
-    rows = [(r.doc_id, r.text, r.lang) for r in docs] + [(9000, None, "en"), (9001, "", None), (9002, "#% " * 90, "en")]
+def plain_verdicts(rows):
+    """Whether a row (id, text, lang) stays, and its log perplexity, by id."""
     x = plain_log_perplexity([(t or "").encode() for _, t, _ in rows])
     fails = [base_measures(t or "")[5] for _, t, _ in rows]
 
@@ -123,6 +122,13 @@ def test_quality_verdicts(spark):
         spread = median([abs(away[k]) for k in long], 0.01) if long else None
         for k in mine:
             want[rows[k][0]] = not fails[k] and (not long or abs(away[k]) <= quality.BAND * spread), x[k]
+    return want
+
+
+def test_quality_verdicts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    rows = [(r.doc_id, r.text, r.lang) for r in docs] + [(9000, None, "en"), (9001, "", None), (9002, "#% " * 90, "en")]
+    want = plain_verdicts(rows)
     got = {r.doc_id: r for r in quality.assessed(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), carry=["doc_id"]).collect()}
     assert all(got[i].log_perplexity == pytest.approx(v, abs=2e-4) for i, (_, v) in want.items())
     assert sum(got[i].kept != k for i, (k, _) in want.items()) <= 1  # a value at a bin's edge may fall to either side
@@ -162,26 +168,26 @@ def test_toxicity(spark):
     assert toxicity.scored(odd(spark).limit(0), model).count() == 0
 
 
-def test_toxicity_scores_as_a_plain_version(spark):
-    rng = np.random.default_rng(7)
-    weights, bias = rng.normal(-0.1, 1, toxicity.SLOTS).astype(np.float32), -2.0
-    weights[0] = 0
-
+def plain_toxicity(text, weights, bias):
     def slots(word):
         b = np.frombuffer(word, np.uint8)
         return toxicity.features(b, np.array([0, len(b)]))[0][0]
 
-    def score(t):
-        rest = 1.0
-        for sentence in re.split("[.!?\n]+", low(t or "")):
-            w = WORD.findall(sentence)
-            if w:
-                rest *= 1 - 1 / (1 + math.exp(-(sum(float(weights[slots(x.encode())].sum()) for x in w) + bias)))
-        return 1 - rest
+    rest = 1.0
+    for sentence in re.split("[.!?\n]+", low(text or "")):
+        w = WORD.findall(sentence)
+        if w:
+            rest *= 1 - 1 / (1 + math.exp(-(sum(float(weights[slots(x.encode())].sum()) for x in w) + bias)))
+    return 1 - rest
+
 
+def test_toxicity_scores_as_a_plain_version(spark):
+    rng = np.random.default_rng(7)
+    weights, bias = rng.normal(-0.1, 1, toxicity.SLOTS).astype(np.float32), -2.0
+    weights[0] = 0
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()] + ODD[:5] + [(90, "One. Two! two?\nONE one")]
     got = toxicity.scored(spark.createDataFrame(rows, "doc_id bigint, text string"), (weights, bias)).collect()
-    assert [r.score for r in got] == pytest.approx([score(t) for _, t in rows], abs=1e-6)
+    assert [r.score for r in got] == pytest.approx([plain_toxicity(t, weights, bias) for _, t in rows], abs=1e-6)
 
 
 def test_noisy_or():
