@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from test_sets import groups, marked
 from test_texts import BPE, SF, plain_toxicity, plain_verdicts
 
-from quarry.llm import packing, toxicity
+from quarry.llm import packing, queries, toxicity
 from quarry.session import cut
 
 
@@ -59,6 +59,11 @@ def check_packing(rows, pieces):
     assert len(by_sequence) <= 1.02 * sum(p.length for p in pieces) / packing.CAPACITY + 1
 
 
+def test_registered_packing(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    check_packing(rows, queries.QUERIES["op4_best_fit_packing"](spark, SF).collect())
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     seen = [docs]

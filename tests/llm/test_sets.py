@@ -439,10 +439,17 @@ def test_large_hypergeometric_numbers():
 def plain_queries(name, got, docs):
     """What each contract fixes, from plain Python; ``got`` by doc_id."""
     crc = lambda b: zlib.crc32(b)
+    tokens = {i: [*WORD.findall(low(t or "")), None] for i, t in docs}
+    counts = Counter(w for i, ws in tokens.items() if crc(str(i).encode()) % 5 != 1 for w in ws)
+    total = sum(counts.values())
     for i, t in docs:
         r, b = got[i], (t or "").encode()
         if name == "op1_toxicity":
             assert r.held_out == (crc(str(i).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7)
+        elif name == "op2_lm_scoring":
+            known = sum(counts[w] > 0 for w in tokens[i])
+            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (crc(str(i).encode()) % 5 == 1, len(tokens[i]), known, total)
+            assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 0.5) / (total + 0.5 * (len(counts) + 1))) for w in tokens[i])) and r.score < 0
         elif name == "op9_uniform_shards":
             assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(b) + 16, crc(b), "rows", None) and 0 <= r.shard < 40
         elif name == "op10_token_counts":
@@ -453,6 +460,7 @@ def plain_queries(name, got, docs):
 
 COLUMNS = {
     "op1_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op2_lm_scoring": "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
     "op3_quality_rules": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
     "op4_best_fit_packing": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
     "op5_near_duplicates": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
