@@ -336,25 +336,25 @@ def token_counts(docs: DataFrame, path: str, id_column: str = "doc_id", text_col
 
     size = F.octet_length("_bytes")
     short = rows.where(size <= chunk).mapInArrow(whole, schema)
-    long = rows.where(size > chunk).withColumn("_row", F.monotonically_increasing_id())
+    long = rows.where(size > chunk).withColumn("_hash", F.md5("_bytes"))
     totals = cut(_by_chunks(long, path, kind, chunk, look))
     out = short.union(totals.where("n_tokens IS NOT NULL").select("_id", "n_bytes", "n_tokens"))
-    lost = totals.where("n_tokens IS NULL").select("_row")
+    lost = totals.where("n_tokens IS NULL").select("_hash")  # equal texts are lost or counted together
     if not lost.isEmpty():
-        out = out.union(long.join(lost, "_row", "left_semi").select("_id", "_bytes").mapInArrow(whole, schema))
+        out = out.union(long.join(lost, "_hash", "left_semi").select("_id", "_bytes").mapInArrow(whole, schema))
     return out.withColumnRenamed("_id", id_column)
 
 
 def _by_chunks(long: DataFrame, path: str, kind: str, chunk: int, look: int) -> DataFrame:
-    """_row, _id, n_bytes and n_tokens (null: a map lacks a state) of texts in chunks."""
+    """_id, _hash, n_bytes and n_tokens (null: a map lacks a state) of texts in chunks."""
     size = F.octet_length("_bytes")
-    cuts = long.withColumn("_at", F.explode(F.sequence(F.lit(0), F.floor((size - 1) / chunk).cast("int"))))
+    cuts = long.withColumn("_row", F.monotonically_increasing_id()).withColumn("_at", F.explode(F.sequence(F.lit(0), F.floor((size - 1) / chunk).cast("int"))))
     at = F.col("_at") * chunk
     skip = F.least(at, F.lit(look))
     own = F.least(F.lit(chunk), size - at)
-    parts = cuts.select("_id", "_row", "_at", skip.alias("_skip"), own.alias("_size"), F.col("_bytes").substr(at - skip + 1, skip + chunk + AHEAD).alias("_text")).repartition("_row", "_at")
-    fields = ["_id", "_row", "_at", "n_bytes", "states", "adds", "leads"]
-    schema = f"_id {kind}, _row bigint, _at int, n_bytes bigint, states array<string>, adds array<bigint>, leads array<string>"
+    parts = cuts.select("_id", "_hash", "_row", "_at", skip.alias("_skip"), own.alias("_size"), F.col("_bytes").substr(at - skip + 1, skip + chunk + AHEAD).alias("_text")).repartition("_row", "_at")
+    fields = ["_id", "_hash", "_row", "_at", "n_bytes", "states", "adds", "leads"]
+    schema = f"_id {kind}, _hash string, _row bigint, _at int, n_bytes bigint, states array<string>, adds array<bigint>, leads array<string>"
 
     def packed(columns: list[pa.Array], maps: list[dict]) -> pa.RecordBatch:
         lists = [pa.array([list(m) for m in maps], pa.list_(pa.string())), pa.array([[n for n, _ in m.values()] for m in maps], pa.list_(pa.int64())), pa.array([[to for _, to in m.values()] for m in maps], pa.list_(pa.string()))]
@@ -363,21 +363,21 @@ def _by_chunks(long: DataFrame, path: str, kind: str, chunk: int, look: int) ->
     def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = machine(path)
         for batch in slices(batches, "_text"):
-            some = zip(*(batch.column(i).to_pylist() for i in (5, 2, 3, 4)), strict=True)
+            some = zip(*(batch.column(i).to_pylist() for i in (6, 3, 4, 5)), strict=True)
             got = [m.state_map(t, k * chunk, s, n, look) for t, k, s, n in some]
-            yield packed([*(batch.column(i) for i in range(3)), batch.column(4).cast(pa.int64())], got)
+            yield packed([*(batch.column(i) for i in range(4)), batch.column(5).cast(pa.int64())], got)
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [composed([{k: (n, to) for k, n, to in zip(p["states"], p["adds"], p["leads"], strict=True)} for p in group]) for group in batch.column(4).to_pylist()]
-            yield packed([batch.column(i) for i in range(4)], got)
+            got = [composed([{k: (n, to) for k, n, to in zip(p["states"], p["adds"], p["leads"], strict=True)} for p in group]) for group in batch.column(5).to_pylist()]
+            yield packed([batch.column(i) for i in range(5)], got)
 
     out, most = parts.mapInArrow(maps, schema), -(-TEXT_LIMIT // chunk)
     while most > 1:
         span = F.struct("_at", "states", "adds", "leads")
-        by = out.groupBy("_row", F.floor(F.col("_at") / FAN).cast("int").alias("_to")).agg(F.first("_id").alias("_id"), F.sum("n_bytes").alias("n_bytes"), F.sort_array(F.collect_list(span)).alias("_spans"))
-        out, most = by.select("_id", "_row", F.col("_to").alias("_at"), "n_bytes", "_spans").mapInArrow(together, schema), -(-most // FAN)
-    return out.select("_row", "_id", "n_bytes", F.get("adds", F.lit(0)).alias("n_tokens"))  # a text's first chunk has one entry
+        by = out.groupBy("_row", F.floor(F.col("_at") / FAN).cast("int").alias("_to")).agg(F.first("_id").alias("_id"), F.first("_hash").alias("_hash"), F.sum("n_bytes").alias("n_bytes"), F.sort_array(F.collect_list(span)).alias("_spans"))
+        out, most = by.select("_id", "_hash", "_row", F.col("_to").alias("_at"), "n_bytes", "_spans").mapInArrow(together, schema), -(-most // FAN)
+    return out.select("_id", "_hash", "n_bytes", F.get("adds", F.lit(0)).alias("n_tokens"))  # a text's first chunk has one entry
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
