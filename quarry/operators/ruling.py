@@ -9,23 +9,44 @@ found too. Spans go to the cell that holds their middle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import strip
 from quarry.operators import intervals
+from quarry.session import cut
 
 PAGE = ["doc_id", "page_index"]
 #: How far lines and ends may be apart and count as one, the least length of a stroke, and the gap that parts columns of text.
 SNAP, LENGTH, GAP, ALIGNED = 2.0, 4.0, 12.0, 6.0
 
 
+@contextmanager
+def by_page(spark: SparkSession) -> Iterator[None]:
+    """Sides that lie by page already are joined where they are, though the join has more keys than the page."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def parted(rows: DataFrame, parts: int | None = None) -> DataFrame:
+    """Rows by page, in ``parts`` or as many partitions as shuffles have: all sides in as many, so that they can meet."""
+    return rows.repartition(parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *PAGE)
+
+
 def snapped(rows: DataFrame, keys: list[str], value: str, snap: float = SNAP) -> DataFrame:
     """``value`` replaced by the smallest of its neighbours: a new value begins after a gap of more than ``snap``."""
     w = Window.partitionBy(*keys).orderBy(value)
-    new = F.coalesce((F.col(value) - F.lag(value).over(w) > snap).cast("int"), F.lit(1))
-    rows = rows.withColumn("_run", F.sum(new).over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.withColumn(value, F.min(value).over(Window.partitionBy(*keys, "_run"))).drop("_run")
+    new = F.coalesce(F.col(value) - F.lag(value).over(w) > snap, F.lit(True))
+    rows = rows.withColumn("_new", F.when(new, F.col(value)))
+    return rows.withColumn(value, F.last("_new", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
 def united(rows: DataFrame, keys: list[str], low: str = "low", high: str = "high", snap: float = SNAP) -> DataFrame:
@@ -37,21 +58,26 @@ def united(rows: DataFrame, keys: list[str], low: str = "low", high: str = "high
     return rows.groupBy(*keys, "_run").agg(F.min(low).alias(low), F.max(high).alias(high)).drop("_run")
 
 
-def rules(strokes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Level lines and uprights (page, at, low, high) of strokes; boxes of a width give their sides."""
+def rules(strokes: DataFrame, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Level lines and uprights (page, at, low, high) of strokes; boxes of a width give their sides. Both are worked out once, and stored."""
     s = strokes.where(intervals.finite("x0", "y0", "x1", "y1")).select(*PAGE, F.least("x0", "x1").alias("x0"), F.least("y0", "y1").alias("y0"), F.greatest("x0", "x1").alias("x1"), F.greatest("y0", "y1").alias("y1"))
     wide, tall = F.col("x1") - F.col("x0") > LENGTH, F.col("y1") - F.col("y0") > LENGTH
     flat, thin = F.col("y1") - F.col("y0") <= SNAP, F.col("x1") - F.col("x0") <= SNAP
-    sides = lambda a, b: F.explode(F.when(wide & tall, F.array(a, b)).otherwise(F.array((F.col(a) + F.col(b)) / 2)))
-    level = s.where(wide & (flat | tall)).select(*PAGE, sides("y0", "y1").alias("at"), F.col("x0").alias("low"), F.col("x1").alias("high"))
-    upright = s.where(tall & (thin | wide)).select(*PAGE, sides("x0", "x1").alias("at"), F.col("y0").alias("low"), F.col("y1").alias("high"))
-    return tuple(united(snapped(df, PAGE, "at"), [*PAGE, "at"]) for df in (level, upright))
-
-
-def crossings(levels: DataFrame, uprights: DataFrame) -> DataFrame:
+    sides = lambda a, b: F.when(wide & tall, F.array(a, b)).otherwise(F.array((F.col(a) + F.col(b)) / 2))
+    lines = lambda level, at, low, high: F.transform(at, lambda v: F.struct(F.lit(level).alias("level"), v.alias("at"), F.col(low).alias("low"), F.col(high).alias("high")))
+    none = F.filter(lines(True, F.array("x0"), "x0", "x1"), lambda v: F.lit(False))
+    level = F.when(wide & (flat | tall), lines(True, sides("y0", "y1"), "x0", "x1")).otherwise(none)
+    upright = F.when(tall & (thin | wide), lines(False, sides("x0", "x1"), "y0", "y1")).otherwise(none)
+    drawn = parted(s.select(*PAGE, F.explode(F.concat(level, upright)).alias("l")).select(*PAGE, "l.*"), parts)
+    # A page's lines stay in their task from here to the end of their union.
+    stored = cut(united(snapped(drawn, [*PAGE, "level"], "at"), [*PAGE, "level", "at"]))
+    return stored.where("level").drop("level"), stored.where("NOT level").drop("level")
+
+
+def crossings(levels: DataFrame, uprights: DataFrame, parts: int | None = None) -> DataFrame:
     """(page, x, y, up, down, left, right): crossings, and in which directions the lines go on from there."""
-    h = levels.select(*PAGE, F.col("at").alias("y"), (F.col("low") - SNAP).alias("hlow"), (F.col("high") + SNAP).alias("hhigh"))
-    v = uprights.select(*PAGE, F.col("at").alias("x"), (F.col("low") - SNAP).alias("vlow"), (F.col("high") + SNAP).alias("vhigh"))
+    h = parted(levels.select(*PAGE, F.col("at").alias("y"), (F.col("low") - SNAP).alias("hlow"), (F.col("high") + SNAP).alias("hhigh")), parts)
+    v = parted(uprights.select(*PAGE, F.col("at").alias("x"), (F.col("low") - SNAP).alias("vlow"), (F.col("high") + SNAP).alias("vhigh")), parts)
     # An upright is a point in the width, a level line an interval: they meet in the bands of the line.
     lengths = intervals.levels(h, PAGE, "_of", "hlow", "hhigh")
     v = v.join(lengths, PAGE).withColumn("_l", F.explode("_of")).withColumn("_b", F.floor(F.col("x") / (F.lit(intervals.BASE) * F.pow(F.lit(2.0), F.col("_l")))).cast("long")).drop("_of")
@@ -63,22 +89,23 @@ def crossings(levels: DataFrame, uprights: DataFrame) -> DataFrame:
     )
 
 
-def cells(strokes: DataFrame) -> DataFrame:
-    """(page, x0, y0, x1, y1) of the cells that strokes draw."""
-    at = crossings(*rules(strokes))
+def cells(strokes: DataFrame, parts: int | None = None) -> DataFrame:
+    """(page, x0, y0, x1, y1) of the cells that strokes draw.
 
-    def edges(along: str, across: str, side: str, on: str, name: str) -> DataFrame:
-        """From each crossing whose line goes on (``on``) to the next one, of those whose other line goes to ``side``."""
-        rows = at.where(F.col(side))
-        w = Window.partitionBy(*PAGE, across).orderBy(along)
-        return rows.withColumn(name, F.lead(along).over(w)).where(F.col(on) & F.col(name).isNotNull()).select(*PAGE, "x", "y", name)
-
-    top, bottom = edges("x", "y", "down", "right", "x1"), edges("x", "y", "up", "right", "x1")
-    left, right = edges("y", "x", "right", "down", "y1"), edges("y", "x", "left", "down", "y1")
-    box = top.join(left, [*PAGE, "x", "y"])  # a corner, with the ends of both its edges
-    box = box.join(right.withColumnRenamed("x", "x1"), [*PAGE, "x1", "y", "y1"])
-    box = box.join(bottom.withColumnRenamed("y", "y1"), [*PAGE, "x", "y1", "x1"])
-    return box.select(*PAGE, F.col("x").alias("x0"), F.col("y").alias("y0"), "x1", "y1").distinct()
+    Rows are crossings all the way, and what a join on corners would find is carried
+    along in windows from the far end, so that nothing leaves the page's task.
+    """
+    at = crossings(*rules(strokes, parts), parts)
+    ahead = lambda along, across: Window.partitionBy(*PAGE, across).orderBy(F.desc(along)).rowsBetween(Window.unboundedPreceding, -1)
+    after = lambda side, value, w: F.last(F.when(F.col(side), value), ignorenulls=True).over(w)
+    across, down = ahead("x", "y"), ahead("y", "x")
+    # From each crossing whose line goes on to the next one, of those whose other line goes to the edge's inner side.
+    at = at.withColumn("_right", F.when(F.col("left") & F.col("down"), after("left", F.col("y"), down)))
+    at = at.withColumns({"_top": after("down", F.struct("x", "_right"), across), "_bottom": F.when(F.col("up") & F.col("right"), after("up", F.col("x"), across))})
+    at = at.withColumn("_left", after("right", F.struct("y", "_bottom"), down))
+    # A corner, with the ends of both its edges, at which the other two end.
+    box = F.col("right") & F.col("down") & (F.col("_top._right") == F.col("_left.y")) & (F.col("_left._bottom") == F.col("_top.x"))
+    return at.where(box).select(*PAGE, F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("_top.x").alias("x1"), F.col("_left.y").alias("y1"))
 
 
 def grouped(boxes: DataFrame) -> DataFrame:
@@ -91,45 +118,57 @@ def grouped(boxes: DataFrame) -> DataFrame:
     return rows.withColumn("table_no", (F.dense_rank().over(Window.partitionBy(*PAGE).orderBy("_part")) - 1).cast("int")).drop("_part")
 
 
-def inside(points: DataFrame, boxes: DataFrame, x: Column, y: Column) -> DataFrame:
-    """Points of a page with the box that holds them (upper and left edges belong to it), in equi-joins on bands of both directions."""
+def inside(points: DataFrame, boxes: DataFrame, x: Column, y: Column, parts: int | None = None) -> DataFrame:
+    """Boxes with the points of their page that they hold (``held``; upper and left edges belong to them), in equi-joins on bands of both directions.
+
+    A box stands in several bands, and in each of them once without a point, unless it has some there.
+    """
     b = boxes.withColumns({"_ly": intervals.level(F.col("y0"), F.col("y1")), "_lx": intervals.level(F.col("x0"), F.col("x1"))})
     sizes = b.groupBy(*PAGE).agg(F.collect_set(F.struct("_ly", "_lx")).alias("_of"))  # pairs of levels: few
     width = lambda name: F.lit(intervals.BASE) * F.pow(F.lit(2.0), F.col(name))
     band = lambda value, name: F.floor(value / width(name)).cast("long")
     b = b.withColumn("_by", F.explode(F.sequence(band(F.col("y0"), "_ly"), band(F.col("y1"), "_ly")))).withColumn("_bx", F.explode(F.sequence(band(F.col("x0"), "_lx"), band(F.col("x1"), "_lx"))))
-    p = points.withColumns({"_px": x, "_py": y}).where(intervals.finite("_px", "_py")).join(sizes, PAGE).withColumn("_s", F.explode("_of")).select("*", "_s._ly", "_s._lx").drop("_of", "_s")
+    p = parted(points.withColumns({"_px": x, "_py": y}).where(intervals.finite("_px", "_py")), parts).join(sizes, PAGE).withColumn("_s", F.explode("_of")).select("*", "_s._ly", "_s._lx", F.lit(True).alias("held")).drop("_of", "_s")
     p = p.withColumns({"_by": band(F.col("_py"), "_ly"), "_bx": band(F.col("_px"), "_lx")})
-    b = b.select(*PAGE, "_ly", "_lx", "_by", "_bx", *(F.col(c).alias(f"b{c}") for c in boxes.columns if c not in PAGE))
+    keys = [*PAGE, "_ly", "_lx", "_by", "_bx"]
+    b = b.select(*keys, *(F.col(c).alias(f"b{c}") for c in boxes.columns if c not in PAGE)).alias("b")
     held = (F.col("_px") >= F.col("bx0")) & (F.col("_px") < F.col("bx1")) & (F.col("_py") >= F.col("by0")) & (F.col("_py") < F.col("by1"))
-    return p.join(b, [*PAGE, "_ly", "_lx", "_by", "_bx"]).where(held).drop("_ly", "_lx", "_by", "_bx", "_px", "_py")
+    on = held
+    for c in keys:
+        on &= F.col(f"b.{c}") == F.col(f"p.{c}")
+    rest = [c for c in points.columns if c not in PAGE]
+    return b.join(p.alias("p"), on, "left").select(*(F.col(f"b.{c}") for c in b.columns if c not in keys[2:]), *(F.col(f"p.{c}") for c in rest), F.coalesce("p.held", F.lit(False)).alias("held"))
 
 
 def _rows(placed: DataFrame) -> DataFrame:
     """(page, table_no, rows) of cells (page, table_no, row, col, text); places without a cell are empty."""
-    line = placed.groupBy(*PAGE, "table_no", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("_cells"))
-    most = placed.groupBy(*PAGE, "table_no").agg(F.max("col").alias("_most"))
-    full = line.join(most, [*PAGE, "table_no"]).withColumn("_line", F.transform(F.sequence(F.lit(1), F.col("_most")), lambda k: F.coalesce(F.try_element_at("_cells", k), F.lit(""))))
-    return full.groupBy(*PAGE, "table_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "_line"))), lambda r: r["_line"]).alias("rows"))
+    line = placed.groupBy(*PAGE, "table_no", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("cells"), F.max("col").alias("_last"))
+    whole = line.groupBy(*PAGE, "table_no").agg(F.array_sort(F.collect_list(F.struct("row", F.map_entries("cells").alias("cells")))).alias("_lines"), F.max("_last").alias("_most"))
+    full = lambda r: F.transform(F.sequence(F.lit(1), F.col("_most")), lambda k: F.coalesce(F.try_element_at(F.map_from_entries(r["cells"]), k), F.lit("")))
+    return whole.select(*PAGE, "table_no", F.transform("_lines", full).alias("rows"))
+
 
+def lattice(spans: DataFrame, strokes: DataFrame, parts: int | None = None) -> DataFrame:
+    """(page, table_no, source, rows) of ruled tables of two cells or more, with the spans' texts in reading order.
 
-def lattice(spans: DataFrame, strokes: DataFrame) -> DataFrame:
-    """(page, table_no, source, rows) of ruled tables of two cells or more, with the spans' texts in reading order."""
+    Strokes, their lines and spans are shuffled once each, by page; all that follows is sorted within the page's task.
+    """
     w = lambda by: Window.partitionBy(*PAGE, "table_no").orderBy(by)
-    boxes = grouped(cells(strokes))
+    boxes = grouped(cells(strokes, parts))
     boxes = boxes.withColumns({"row": F.dense_rank().over(w("y0")), "col": F.dense_rank().over(w("x0")), "_n": F.count("*").over(Window.partitionBy(*PAGE, "table_no"))}).where("_n > 1").drop("_n")
-    words = inside(spans.select(*PAGE, "line_no", "span_no", "text", "x0", "y0", "x1", "y1"), boxes, (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2)
-    lines = words.groupBy(*PAGE, "btable_no", "brow", "bcol", "line_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span_no", "text"))), lambda s: s.text), "").alias("t"))
-    texts = lines.groupBy(*PAGE, F.col("btable_no").alias("table_no"), F.col("brow").alias("row"), F.col("bcol").alias("col")).agg(strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", strip(F.col("t")).alias("t")))), lambda s: s.t), "\n")).alias("text"))
-    placed = boxes.select(*PAGE, "table_no", "row", "col").join(texts, [*PAGE, "table_no", "row", "col"], "left").withColumn("text", F.coalesce("text", F.lit("")))
-    return _rows(placed).withColumn("source", F.lit("lattice"))
+    words = inside(spans.select(*PAGE, "line_no", "span_no", "text", "x0", "y0", "x1", "y1"), boxes, (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2, parts)
+    place = [F.col("btable_no").alias("table_no"), F.col("brow").alias("row"), F.col("bcol").alias("col")]
+    lines = words.groupBy(*PAGE, *place, "line_no", "held").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("held"), F.struct("span_no", "text")))), lambda s: s.text), "").alias("t"))
+    texts = lines.groupBy(*PAGE, "table_no", "row", "col").agg(strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("held"), F.struct("line_no", strip(F.col("t")).alias("t"))))), lambda s: s.t), "\n")).alias("text"))
+    with by_page(spans.sparkSession):
+        return cut(_rows(texts).withColumn("source", F.lit("lattice")))
 
 
-def stream(spans: DataFrame) -> DataFrame:
+def stream(spans: DataFrame, parts: int | None = None) -> DataFrame:
     """(page, table_no, source, rows) of lines that follow each other with as many columns, two or more, at the same places."""
     line = [*PAGE, "line_no"]
     w = Window.partitionBy(*line).orderBy("x0", "span_no")
-    s = spans.where(intervals.finite("x0", "x1", "y0") & (strip(F.col("text")) != ""))
+    s = parted(spans.where(intervals.finite("x0", "x1", "y0") & (strip(F.col("text")) != "")), parts)  # the only shuffle
     s = s.withColumn("col", 1 + F.sum(F.coalesce((F.col("x0") - F.max("x1").over(w.rowsBetween(Window.unboundedPreceding, -1)) > GAP).cast("int"), F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     parts = s.groupBy(*line, "col").agg(F.min("x0").alias("x"), F.min("y0").alias("y"), strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "span_no", "text"))), lambda t: t.text), "")).alias("text"))
     lines = parts.groupBy(*line).agg(F.min("y").alias("y"), F.transform(F.array_sort(F.collect_list(F.struct("col", "x"))), lambda c: c.x).alias("xs"), F.transform(F.array_sort(F.collect_list(F.struct("col", "text"))), lambda c: c.text).alias("cells"))

@@ -282,9 +282,17 @@ def store_upsert(spark, d):
 RULED_SQL = """ln AS (SELECT l_orderkey, l_linenumber AS n, max(l_returnflag) AS flag, min(l_linestatus) AS state FROM lineitem GROUP BY 1, 2)"""
 
 
+#: Lines of a partition, about.
+LINES = 100_000
+
+
 def order_lines(spark, d):
+    """The lines by page, and the number of their partitions."""
     rows = table(spark, d, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("n")).agg(F.max("l_returnflag").alias("flag"), F.min("l_linestatus").alias("state"))
-    return rows.select(F.col("l_orderkey").cast("string").alias("doc_id"), F.lit(0).alias("page_index"), "n", "flag", "state", (F.col("n") * 12.0).alias("y"))
+    rows = cut(rows.select(F.col("l_orderkey").cast("string").alias("doc_id"), F.lit(0).alias("page_index"), "n", "flag", "state", (F.col("n") * 12.0).alias("y")))
+    # Lines are few: the strokes and spans made of them needn't move again. Each task sorts what LINES of them make.
+    parts = max(1, -(-rows.count() // LINES))
+    return ruling.parted(rows, parts), parts
 
 
 def cells_as_spans(rows, cells):
@@ -297,12 +305,12 @@ def cells_as_spans(rows, cells):
   SELECT l_orderkey, isl, string_agg('| ' || n || ' | ' || flag || ' | ' || state || ' |' || CASE WHEN r = 1 THEN chr(10) || '| --- | --- | --- |' ELSE '' END, chr(10) ORDER BY n) AS markdown FROM h GROUP BY ALL
 ) SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY isl) - 1 AS INTEGER) AS table_no, markdown FROM m""")
 def ruled_tables(spark, d):
-    rows = order_lines(spark, d)
+    rows, parts = order_lines(spark, d)
     spans = cells_as_spans(rows, [(F.col("n").cast("string"), 10.0), (F.col("flag"), 50.0), (F.col("state"), 90.0)])
     lines = [(0.0, 0.0, 120.0, 0.0), (0.0, 12.0, 120.0, 12.0), *((x, 0.0, x, 12.0) for x in (0.0, 40.0, 80.0, 120.0))]
     strokes = rows.select("doc_id", "page_index", "y", F.explode(F.array(*(F.struct(*(F.lit(v).alias(c) for v, c in zip(line, ("x0", "a", "x1", "b"), strict=True))) for line in lines))).alias("s"))
     strokes = strokes.select("doc_id", "page_index", "s.x0", (F.col("y") + F.col("s.a")).alias("y0"), "s.x1", (F.col("y") + F.col("s.b")).alias("y1"))
-    return ruling.lattice(spans, strokes).select("doc_id", "table_no", pg.table_markdown(F.col("rows")).alias("markdown"))
+    return ruling.lattice(spans, strokes, parts).select("doc_id", "table_no", pg.table_markdown(F.col("rows")).alias("markdown"))
 
 
 @query(rf"""WITH {RULED_SQL}, k AS (SELECT *, flag <> 'N' AS two FROM ln), c AS (SELECT *, CASE WHEN two AND lag(two) OVER (PARTITION BY l_orderkey ORDER BY n) THEN 0 ELSE 1 END AS new FROM k),
@@ -310,9 +318,10 @@ g AS (SELECT *, sum(new) OVER (PARTITION BY l_orderkey ORDER BY n) AS run FROM c
   SELECT l_orderkey, run, count(*) AS lines, string_agg(n || ',' || flag, ';' ORDER BY n) AS rows FROM g WHERE two GROUP BY ALL HAVING count(*) > 1
 ) SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY run) - 1 AS INTEGER) AS table_no, rows FROM m""")
 def aligned_tables(spark, d):
-    spans = cells_as_spans(order_lines(spark, d), [(F.col("n").cast("string"), 10.0), (F.when(F.col("flag") != "N", F.col("flag")).otherwise(""), 80.0)])
-    rows = F.array_join(F.transform("rows", lambda r: F.array_join(r, ",")), ";")
-    return ruling.stream(spans).select("doc_id", "table_no", rows.alias("rows"))
+    rows, parts = order_lines(spark, d)
+    spans = cells_as_spans(rows, [(F.col("n").cast("string"), 10.0), (F.when(F.col("flag") != "N", F.col("flag")).otherwise(""), 80.0)])
+    joined = F.array_join(F.transform("rows", lambda r: F.array_join(r, ",")), ";")
+    return ruling.stream(spans, parts).select("doc_id", "table_no", joined.alias("rows"))
 
 
 @query(documents.ORACLES["browser_search"])

@@ -77,6 +77,18 @@ def test_grids_against_plain_counts(spark):
     assert {d: sorted(c) for d, c in got.items()} == want
 
 
+def test_pages_are_shuffled_once(spark):
+    strokes = spark.createDataFrame(grid("d", [0.0, 40.0, 80.0], [0.0, 20.0]), STROKES)
+    spans = spark.createDataFrame(words("d", [(20, 10, "a"), (60, 10, "b")]), SPANS)
+    shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    before = spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
+    with ruling.by_page(spark):
+        boxes = ruling.cells(strokes)
+        assert shuffles(boxes) <= 3 and shuffles(ruling.grouped(boxes)) == shuffles(boxes)  # level lines twice (their lengths), uprights
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == before
+    assert shuffles(ruling.stream(spans)) == 1 and shuffles(ruling.lattice(spans, strokes)) == 0
+
+
 def test_aligned_columns_and_the_choice(spark):
     line = lambda doc, n, *cells: [(doc, 0, n, k, t, x, 12.0 * n, x + 5.0 * len(t), 12.0 * n + 10) for k, (x, t) in enumerate(cells)]
     spans = line("s", 0, (0.0, "a title over all")) + line("s", 1, (0.0, "name"), (100.0, "n")) + line("s", 2, (1.0, "ana"), (99.0, "1")) + line("s", 3, (0.0, "bo"), (10.0, "bo"), (101.0, "22")) + line("s", 4, (0.0, "x"), (150.0, "y")) + line("s", 5, (0.0, "end"))
