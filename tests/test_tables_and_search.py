@@ -159,3 +159,16 @@ def test_no_rows_and_one(spark, rows):
     schema = StructType([StructField("page", IntegerType())])
     df = spark.createDataFrame(rows, "doc_id string, t string, n int")
     assert quarantine.isolated(df, lambda: lambda row: [{"page": 1}], schema).count() == len(rows)
+
+
+def test_lists_of_long_texts(spark):
+    # A text of 1,000,000 characters: cutting each string out from the text's beginning took quadratic time.
+    long = "".join(random.Random(1).choices("abcdefghij ÁΩ𝒳", k=1_000_000))
+    rows = [("long", long, None, "aba", ""), (None, "xyzzy", "", "", ""), ("short", "aÁb", "ab", "𝒳yz", "b𝒳c")]
+    docs = spark.createDataFrame(rows, "doc_id string, titulo string, autor string, ementa string, assunto string").coalesce(1)
+    began = time.monotonic()
+    got = {(r.gram, d) for r in trigrams.lists(docs).collect() for d in r.docs}
+    assert time.monotonic() - began < 60
+    low = long.lower()
+    want = {(low[i : i + 3], "long") for i in range(len(low) - 2)} | {("aba", "long")} | {(g, "short") for g in ("aáb", "𝒳yz", "b𝒳c")}
+    assert got == want
