@@ -10,7 +10,8 @@ The model gives an id in two steps, of its class and within it. The class's logi
 the counted log share of the class behind the id before, plus what causal
 self-attention over the embedded ids before adds to it. Frequent ids are classes of
 their own. Within a class an id's share comes from the counts behind the id before,
-interpolated with its share at large. The attention's weights are trained in numpy:
+interpolated with its share at large; the most frequent pairs' counts (``HEAD_PAIRS``
+at most) go to every task, the others meet the texts' rare pairs in a join. The attention's weights are trained in numpy:
 Spark deals every window of every training text to groups by hash, each takes
 gradient steps from common weights in a task, and Spark averages the groups'
 weights between rounds. Texts are scored in overlapping windows: each scores
@@ -188,32 +189,46 @@ class Vocabulary:
         self.row[order[: ROWS - 1]] = np.arange(ROWS - 1)
         self.row[END] = ROWS - 1
 
-    def learn(self, rows: np.ndarray, classes: np.ndarray, n: np.ndarray, pairs: np.ndarray, often: np.ndarray) -> None:
-        """Takes counts of (row before, class), and of the most frequent (row before << 16 | id), sorted."""
+    def learn(self, rows: np.ndarray, classes: np.ndarray, n: np.ndarray, pairs: np.ndarray, often: np.ndarray, several: np.ndarray | None = None) -> None:
+        """Takes counts of (row before, class), and of the most frequent (row before << 16 | id), sorted.
+
+        With ``several``, the different ids of each (row before, class), only what every
+        pair gives up is shared out, and pairs that aren't among ``pairs`` have their own
+        counts added later; without it ids that aren't among them share what is left.
+        """
         table_ = np.zeros((ROWS + CLASSES + 1, CLASSES))
         table_[rows, classes] = n
         total, kinds = table_.sum(1, keepdims=True), (table_ > 0).sum(1, keepdims=True)
         p = (np.maximum(table_ - DISCOUNT, 0) + np.where(total > 0, DISCOUNT * kinds, 1) * self.of_class) / np.maximum(total, 1)
         self.prior = np.log(p / p.sum(1, keepdims=True)).astype(np.float32)
-        left = table_.copy()
         self.pairs, cell = pairs, (pairs >> 16, self.of[pairs & 0xFFFF])
-        np.subtract.at(left, cell, often - DISCOUNT)
-        some = np.maximum(table_, 1e-9)
-        self.left = np.where(table_ > 0, np.clip(left / some, 1e-9, 1), 1.0).astype(np.float32)
-        self.own = ((often - DISCOUNT) / some[cell]).astype(np.float32)
+        given = table_.copy()
+        if several is None:
+            np.subtract.at(given, cell, often - DISCOUNT)
+        else:
+            given[rows, classes] = DISCOUNT * several
+        self.total = np.maximum(table_, 1e-9)
+        self.left = np.where(table_ > 0, np.clip(given / self.total, 1e-9, 1), 1.0).astype(np.float32)
+        self.own = ((often - DISCOUNT) / self.total[cell]).astype(np.float32)
 
     def within(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Log share of each id in its class, behind the row before it."""
+        return self.shares(before, ids)[0]
+
+    def shares(self, before: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The same; places and pairs without an entry here, and what a count of theirs is worth: log(1 + worth * (n - DISCOUNT)) more."""
         out = np.zeros(len(ids))
         some = np.flatnonzero(self.of[ids] >= SINGLE)
         before, ids = before[some].astype(np.int64), ids[some]
-        p = self.left[before, self.of[ids]] * self.share[ids]
+        cell = before, self.of[ids]
+        p, key = self.left[cell] * self.share[ids], before << 16 | ids
+        open_ = np.ones(len(key), bool)
         if len(self.pairs):
-            key = before << 16 | ids
             at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            p += np.where(self.pairs[at] == key, self.own[at], 0)
+            open_ = self.pairs[at] != key
+            p += np.where(open_, 0, self.own[at])
         out[some] = np.log(p)
-        return out
+        return out, some[open_], key[open_], 1 / (p[open_] * self.total[cell][open_])
 
 
 SHAPES = {"embed": (ROWS + CLASSES + 1, WIDTH), "place": (SPAN, WIDTH), "q": (WIDTH, WIDTH), "kv": (WIDTH, 2 * WIDTH), "o": (WIDTH, WIDTH), "w1": (WIDTH, HIDDEN), "b1": (HIDDEN,), "w2": (HIDDEN, WIDTH), "u": (WIDTH, CLASSES), "b": (CLASSES,)}
@@ -348,6 +363,10 @@ class Scorer:
 
     def log_probs(self, ids: np.ndarray, off: np.ndarray, batch: int = 96) -> np.ndarray:
         """Natural log probability of each text."""
+        return self.texts(ids, off, batch)[0]
+
+    def texts(self, ids: np.ndarray, off: np.ndarray, batch: int = 96) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Natural log probability of each text, without the counts of pairs beyond the head; these pairs' texts, keys and worths."""
         rows, classes = self.row[ids], np.append(self.of[ids], 0)
         before = np.empty_like(rows)
         before[1:] = rows[:-1]
@@ -357,10 +376,11 @@ class Scorer:
         for i in range(0, len(seen), batch):
             spots = at[i : i + batch].reshape(-1)
             each[spots] = self.chosen(seen[i : i + batch], classes[spots])
-        each[:-1] += self.vocabulary.within(before, ids.astype(np.int64))
+        shares, place, pairs, worth = self.vocabulary.shares(before, ids.astype(np.int64))
+        each[:-1] += shares
         each[-1] = 0
         upto = np.concatenate(([0], np.cumsum(each)))
-        return upto[off[1:]] - upto[off[:-1]]
+        return upto[off[1:]] - upto[off[:-1]], np.searchsorted(off, place, side="right") - 1, pairs, worth
 
 
 def held_out(id_column: str = "doc_id") -> Column:
@@ -469,8 +489,8 @@ def head(counts: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray, int]:
     return got["key"].to_numpy().astype(np.int64), got["n"].to_numpy().astype(np.int64), least
 
 
-def vocabulary_of(pairs: DataFrame) -> Vocabulary:
-    """Classes and counted shares, from (key, n) of neighbouring ids."""
+def vocabulary_of(pairs: DataFrame) -> tuple[Vocabulary, DataFrame]:
+    """Classes and counted shares, from (key, n) of neighbouring ids, and the counts (key, n) of pairs beyond the head."""
     of_ids = np.zeros(IDS + 1, np.int64)
     ids = pairs.groupBy(F.col("key").bitwiseAND(0xFFFF).alias("id")).agg(F.sum("n").alias("n")).toPandas()  # the vocabulary's size at most
     of_ids[ids["id"].to_numpy().astype(np.int64)] = ids["n"].to_numpy()
@@ -483,11 +503,12 @@ def vocabulary_of(pairs: DataFrame) -> Vocabulary:
             yield pa.RecordBatch.from_arrays([pa.array(row << 16 | id_), pa.array(row << 16 | out.of[id_]), batch.column(1)], ["key", "cell", "n"])
 
     rows = cut(pairs.select("key", "n").mapInArrow(by_row, "key bigint, cell bigint, n bigint").groupBy("key", "cell").agg(F.sum("n").alias("n")))
-    cells = rows.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # (ROWS + CLASSES) * CLASSES at most
+    cells = rows.groupBy("cell").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toPandas()  # (ROWS + CLASSES) * CLASSES at most
     cell = cells["cell"].to_numpy().astype(np.int64)
-    keys, often, _ = head(rows.where(F.col("cell").bitwiseAND(0xFFFF) >= SINGLE), HEAD_PAIRS)
-    out.learn(cell >> 16, cell & 0xFFFF, cells["n"].to_numpy().astype(np.float64), keys, often)
-    return out
+    shared = rows.where(F.col("cell").bitwiseAND(0xFFFF) >= SINGLE)
+    keys, often, least = head(shared, HEAD_PAIRS)
+    out.learn(cell >> 16, cell & 0xFFFF, cells["n"].to_numpy().astype(np.float64), keys, often, cells["kinds"].to_numpy().astype(np.float64))
+    return out, shared.where(F.col("n") < least).select("key", "n")
 
 
 def scored(docs: DataFrame, path: str, held: Column | None = None, id_column: str = "doc_id", text_column: str = "text", steps: int = LEAST_STEPS) -> DataFrame:
@@ -508,7 +529,7 @@ def scored(docs: DataFrame, path: str, held: Column | None = None, id_column: st
     words = cut(counts(WORD))
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_all, distinct = int(totals["n"]), int(totals["v"])
-    vocabulary = vocabulary_of(cut(counts(PAIR)))
+    vocabulary, rare_pairs = vocabulary_of(cut(counts(PAIR)))
     weights = train(texts.where(~F.col("_held")), vocabulary, least=steps)
     keys, often, least = head(words, HEAD_WORDS)
     log_often = np.log10(often + 0.5)
@@ -529,19 +550,29 @@ def scored(docs: DataFrame, path: str, held: Column | None = None, id_column: st
             else:
                 hit, logs = np.zeros(len(hashes), bool), np.zeros(n)
             tail, edges = hashes[~hit], np.searchsorted(text[~hit], np.arange(n + 1))
-            score = scorer.log_probs(ids, at) / math.log(10)
+            score, owner, pairs, worth = scorer.texts(ids, at)
+            # Equal pairs of a text meet the counts once.
+            by = np.lexsort((pairs, owner))
+            owner, pairs, worth = owner[by], pairs[by], worth[by]
+            new = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (pairs[1:] != pairs[:-1])))) if len(by) else by
+            times, ends = np.diff(np.append(new, len(by))), np.searchsorted(owner[new], np.arange(n + 1))
+            listed = lambda values: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.diff(bounds)), pa.array(np.bincount(text[hit], minlength=n)), pa.array(logs), pa.array(score), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(tail))],
-                ["_row", "_id", "n_tokens", "known", "logs", "score", "tail"],
+                [batch.column(0), batch.column(1), pa.array(np.diff(bounds)), pa.array(np.bincount(text[hit], minlength=n)), pa.array(logs), pa.array(score / math.log(10)), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(tail)), listed(pairs[new]), listed(worth[new]), listed(times)],
+                ["_row", "_id", "n_tokens", "known", "logs", "score", "tail", "pairs", "worth", "times"],
             )
 
-    first = cut(texts.select("_row", "_id", "ids").mapInArrow(run, f"_row bigint, _id {kind}, n_tokens bigint, known bigint, logs double, score double, tail array<bigint>"))
+    first = cut(texts.select("_row", "_id", "ids").mapInArrow(run, f"_row bigint, _id {kind}, n_tokens bigint, known bigint, logs double, score double, tail array<bigint>, pairs array<bigint>, worth array<double>, times array<bigint>"))
     rare = first.select("_row", F.explode("tail").alias("key"))
     found = rare.join(words.where(F.col("n") < least), "key", "left").select("_row", F.col("n").isNotNull().cast("long").alias("known"), F.log10(F.coalesce("n", F.lit(0)) + 0.5).alias("logs"))
+    # Pairs beyond the head have their own counts too: what those add to the scores comes by a join.
+    asked = first.select("_row", F.explode(F.arrays_zip("pairs", "worth", "times")).alias("p")).select("_row", F.col("p.pairs").alias("key"), "p.worth", "p.times")
+    more = asked.join(rare_pairs, "key").groupBy("_row").agg(F.sum(F.col("times") * F.log1p(F.col("worth") * (F.col("n") - DISCOUNT)) / math.log(10)).alias("more"))
     void = lambda t: F.lit(None).cast(t)
     every = first.select("_row", F.struct("_id").alias("_id"), "n_tokens", "known", "logs", "score").union(found.select("_row", void(f"struct<_id:{kind}>"), void("bigint"), "known", "logs", void("double")))
+    every = every.union(more.select("_row", void(f"struct<_id:{kind}>"), void("bigint"), void("bigint"), void("double"), "more"))
     norm = math.log10(n_all + 0.5 * (distinct + 1))
-    out = every.groupBy("_row").agg(F.max("_id").alias("_id"), F.max("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("logs").alias("logs"), F.max("score").alias("score"))
+    out = every.groupBy("_row").agg(F.max("_id").alias("_id"), F.max("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("logs").alias("logs"), F.sum("score").alias("score"))
     return out.select(
         F.col("_id._id").alias(id_column), "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * F.lit(norm)).alias("base_score"), "score"
     )

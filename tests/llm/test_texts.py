@@ -282,6 +282,18 @@ def test_lm_gradient():
         assert g[i] == pytest.approx((loss(w + e) - loss(w - e)) / 2e-5, rel=0.02, abs=1e-4)
 
 
+def test_rare_pairs_have_their_own_counts(spark, monkeypatch):
+    # Whatever number of pairs goes to the tasks, the scores are the same.
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k * k) % 97} and x{(i + k) % 53}" for k in range(1 + i % 40))) for i in range(300)], "doc_id bigint, text string").repartition(3)
+    got = []
+    for limit in (1 << 17, 200, 0):
+        monkeypatch.setattr(lm_scoring, "HEAD_PAIRS", limit)
+        got.append(lm_scoring.scored(docs, BPE, steps=2).toPandas().set_index("doc_id").sort_index())
+    for other in got[1:]:
+        np.testing.assert_allclose(other["score"], got[0]["score"], rtol=1e-5)
+        assert (other["n_known"] == got[0]["n_known"]).all() and (other["n_tokens"] == got[0]["n_tokens"]).all()
+
+
 def test_lm_odd_texts(spark):
     got = lm_scoring.scored(odd(spark), BPE, steps=4).toPandas()
     assert len(got) == len(ODD) and got.score.notna().all() and np.isfinite(got.base_score).all()
