@@ -82,8 +82,11 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT.dense_k
 
 
 def postings(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, weight): how often each term stands in a text."""
-    return rows.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("weight"))
+    """(key, term, weight): how often each term stands in a text.
+
+    Texts are shuffled by key, being smaller than their terms; counting, and all that counts by key and term after it, stays in the task.
+    """
+    return rows.select(key, text).repartition(key).select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("weight"))
 
 
 def term_lists(rows: DataFrame, key: str, text: str) -> DataFrame:

@@ -54,6 +54,12 @@ def test_stored_postings(spark, corpus):
     assert sparse_index.top_k(index, q.limit(0), 3).count() == 0
 
 
+def test_texts_are_shuffled_in_place_of_their_terms(spark, corpus):
+    rows = vectors.postings(corpus, "doc_id", "text").groupBy("doc_id", "term").agg(F.sum("weight"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Generate") < plan.index("Exchange hashpartitioning")  # the shuffle is below
+
+
 def test_stored_postings_of_some_documents(spark, corpus, monkeypatch):
     index = index_of(spark, corpus)
     q = vectors.postings(spark.createDataFrame([(1, "w0 w7"), (2, "needle all")], "query_id int, text string"), "query_id", "text")
