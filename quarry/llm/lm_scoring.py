@@ -25,7 +25,7 @@ the texts' rare words in a join.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -232,7 +232,8 @@ class Vocabulary:
 
 
 SHAPES = {"embed": (ROWS + CLASSES + 1, WIDTH), "place": (SPAN, WIDTH), "q": (WIDTH, WIDTH), "kv": (WIDTH, 2 * WIDTH), "o": (WIDTH, WIDTH), "w1": (WIDTH, HIDDEN), "b1": (HIDDEN,), "w2": (HIDDEN, WIDTH), "u": (WIDTH, CLASSES), "b": (CLASSES,)}
-_MASK = np.where(np.arange(SPAN)[None, :] <= np.arange(OVERLAP, SPAN)[:, None], 0, -1e9).astype(np.float32)
+_SEEN = (np.arange(SPAN)[None, :] <= np.arange(OVERLAP, SPAN)[:, None]).astype(np.float32)
+_MASK = np.where(_SEEN > 0, 0, -1e9).astype(np.float32)
 
 
 def initial(seed: int = 5) -> np.ndarray:
@@ -250,59 +251,110 @@ def unpacked(vector: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def forward(p: dict[str, np.ndarray], prior: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """Logits of the last STRIDE places of each window of rows before them, and what gradients need."""
-    n = len(seen)
-    x = p["embed"][seen] + p["place"]
-    late = x[:, OVERLAP:]
-    q = (late.reshape(-1, WIDTH) @ p["q"]).reshape(n, STRIDE, WIDTH)
-    kv = (x.reshape(-1, WIDTH) @ p["kv"]).reshape(n, SPAN, 2 * WIDTH)
-    k, v = kv[..., :WIDTH], kv[..., WIDTH:]
-    a = q @ k.transpose(0, 2, 1)
-    a *= np.float32(WIDTH**-0.5)
-    a += _MASK
-    a -= a.max(axis=2, keepdims=True)
+def keep_heap() -> None:
+    """The C library takes blocks of up to this one's size from its heap from now on, and keeps that, so that steps don't touch new pages each time."""
+    np.empty(31 << 20, np.uint8)
+
+
+def exps(logits: np.ndarray, again: Callable[[], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray | int]:
+    """Exponentials of logits (in place), their sums by row, and what was taken from each row first: that is done only for large ones, made ``again``."""
+    one = np.ones(logits.shape[1], logits.dtype)
+    with np.errstate(over="ignore", invalid="ignore"):
+        total = np.exp(logits, out=logits) @ one
+    if 1e-25 < total.min() and total.max() < 1e25:
+        return logits, total, 0
+    logits = again()
+    top = logits.max(axis=1)
+    logits -= top[:, None]
+    return np.exp(logits, out=logits), logits @ one, top
+
+
+def attention(a: np.ndarray) -> np.ndarray:
+    """Logits of each place for the places of its window, made (in place) to weights of those up to itself."""
+    if not (-60 < a.min() and a.max() < 60):  # too large for the short way
+        a += _MASK
+        a -= a.max(axis=2, keepdims=True)
     np.exp(a, out=a)
-    a /= a.sum(axis=2, keepdims=True)
-    c = a @ v
-    y = late.reshape(-1, WIDTH) + c.reshape(-1, WIDTH) @ p["o"]
-    h = np.maximum(y @ p["w1"] + p["b1"], 0)
-    z = y + h @ p["w2"]
-    logits = z @ p["u"]
+    a *= _SEEN
+    a /= (a.reshape(-1, SPAN) @ np.ones(SPAN, a.dtype)).reshape(len(a), STRIDE, 1)
+    return a
+
+
+def projections(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Queries' and keys' projection, and values' and output's, as one matrix each: embedded rows are their own keys and values then."""
+    return (p["q"] @ p["kv"][:, :WIDTH].T) * p["q"].dtype.type(WIDTH**-0.5), p["kv"][:, WIDTH:] @ p["o"]
+
+
+def trunk(p: dict[str, np.ndarray], seen: np.ndarray) -> tuple:
+    """What the last layer works on at the last STRIDE places of each window of rows before them (the last of the tuple), and what gradients need."""
+    n, (ask, tell) = len(seen), projections(p)
+    x = p["embed"].take(seen, axis=0)
+    x += p["place"]
+    late = np.ascontiguousarray(x[:, OVERLAP:]).reshape(-1, WIDTH)
+    q = (late @ ask).reshape(n, STRIDE, WIDTH)
+    a = attention(q @ x.transpose(0, 2, 1))
+    c = (a @ x).reshape(-1, WIDTH)
+    y = c @ tell
+    y += late
+    h = y @ p["w1"]
+    h += p["b1"]
+    np.maximum(h, 0, out=h)
+    z = h @ p["w2"]
+    z += y
+    return ask, tell, x, late, q, a, c, y, h, z
+
+
+def forward(p: dict[str, np.ndarray], prior: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """Logits of the last STRIDE places of each window of rows before them, and what they are made of."""
+    made = trunk(p, seen)
+    logits = made[-1] @ p["u"]
     logits += p["b"]
-    logits += prior[seen[:, OVERLAP:].reshape(-1)]
-    return logits, (seen, x, late, q, k, v, a, c, y, h, z)
+    logits += prior.take(seen[:, OVERLAP:].reshape(-1), axis=0)
+    return logits, made
 
 
 def gradient(p: dict[str, np.ndarray], prior: np.ndarray, seen: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Gradient of the mean negative log probability of ``target`` (below 0: no target)."""
-    logits, (seen, x, late, q, k, v, a, c, y, h, z) = forward(p, prior, seen)
-    logits -= logits.max(axis=1, keepdims=True)
-    g = np.exp(logits, out=logits)
-    t = target.reshape(-1)
+    g, (ask, tell, x, late, q, a, c, y, h, z) = forward(p, prior, seen)
+    g, total, _ = exps(g, lambda: forward(p, prior, seen)[0])
+    n, kind, t, one = len(seen), g.dtype, target.reshape(-1), np.ones(len(g), g.dtype)
     real = t >= 0
-    g *= (real / (max(1, real.sum()) * g.sum(axis=1)))[:, None].astype(g.dtype)
-    g[np.flatnonzero(real), t[real]] -= 1 / max(1, real.sum())
-    n, out = len(seen), {"b": g.sum(0), "u": z.T @ g}
+    weight = (real / max(1, real.sum())).astype(kind)
+    g *= (weight / total)[:, None]
+    g[np.arange(len(t)), np.where(real, t, 0)] -= weight
+    out = {"b": one @ g, "u": z.T @ g}
     gz = g @ p["u"].T
+    # The hidden layer.
     out["w2"] = h.T @ gz
-    gh = (gz @ p["w2"].T) * (h > 0)
-    out["w1"], out["b1"] = y.T @ gh, gh.sum(0)
-    gy = gz + gh @ p["w1"].T
-    out["o"] = c.reshape(-1, WIDTH).T @ gy
-    gc = (gy @ p["o"].T).reshape(n, STRIDE, WIDTH)
-    ga = gc @ v.transpose(0, 2, 1)
-    gv = a.transpose(0, 2, 1) @ gc
-    gs = a * (ga - (ga * a).sum(axis=2, keepdims=True)) * np.float32(WIDTH**-0.5)
-    gq, gk = gs @ k, gs.transpose(0, 2, 1) @ q
-    out["q"] = late.reshape(-1, WIDTH).T @ gq.reshape(-1, WIDTH)
-    gkv = np.concatenate([gk, gv], axis=2).reshape(-1, 2 * WIDTH)
-    out["kv"] = x.reshape(-1, WIDTH).T @ gkv
-    gx = (gkv @ p["kv"].T).reshape(n, SPAN, WIDTH)
-    gx[:, OVERLAP:] += gy.reshape(n, STRIDE, WIDTH) + (gq.reshape(-1, WIDTH) @ p["q"].T).reshape(n, STRIDE, WIDTH)
+    gh = gz @ p["w2"].T
+    gh *= h > 0
+    out["w1"], out["b1"] = y.T @ gh, one @ gh
+    gz += gh @ p["w1"].T
+    # The attention; both ways into the embedded rows in one product.
+    told = c.T @ gz
+    out["kv"] = np.empty(SHAPES["kv"], kind)
+    out["kv"][:, WIDTH:], out["o"] = told @ p["o"].T, p["kv"][:, WIDTH:].T @ told
+    both, into = np.empty((n, 2 * STRIDE, SPAN), kind), np.empty((n, 2 * STRIDE, WIDTH), kind)
+    gc = gz @ tell.T
+    both[:, :STRIDE], into[:, :STRIDE], into[:, STRIDE:] = a, gc.reshape(n, STRIDE, WIDTH), q
+    gs = gc.reshape(n, STRIDE, WIDTH) @ x.transpose(0, 2, 1)
+    gs -= ((gc * c) @ np.ones(WIDTH, kind)).reshape(n, STRIDE, 1)
+    gs *= a
+    both[:, STRIDE:] = gs
+    gx = both.transpose(0, 2, 1) @ into
+    gq = (gs @ x).reshape(-1, WIDTH)
+    asked = (late.T @ gq) * kind.type(WIDTH**-0.5)
+    out["q"], out["kv"][:, :WIDTH] = asked @ p["kv"][:, :WIDTH], asked.T @ p["q"]
+    gz += gq @ ask.T
+    gx[:, OVERLAP:] += gz.reshape(n, STRIDE, WIDTH)
     out["place"] = gx.sum(0)
-    cell = (seen.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).reshape(-1)
-    out["embed"] = np.bincount(cell, gx.reshape(-1), math.prod(SHAPES["embed"]))
+    # Sums by row, over places in the order of their rows.
+    rows = seen.reshape(-1).astype(np.uint16)
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    new = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+    out["embed"] = np.zeros(SHAPES["embed"], kind)
+    out["embed"][rows[new]] = np.add.reduceat(gx.reshape(-1, WIDTH).take(order, axis=0), new, axis=0)
     return np.concatenate([out[name].reshape(-1) for name in SHAPES]).astype(np.float32)
 
 
@@ -324,42 +376,32 @@ class Scorer:
 
     def __init__(self, weights: np.ndarray, vocabulary: Vocabulary):
         self.p, self.vocabulary = unpacked(weights), vocabulary
-        p, scale = self.p, np.float32(WIDTH**-0.5)
-        k, v = np.ascontiguousarray(p["kv"][:, :WIDTH]), np.ascontiguousarray(p["kv"][:, WIDTH:])
-        self.by_row = [p["embed"] @ k, p["embed"] @ v, scale * (p["embed"] @ p["q"])]
-        self.by_place = [p["place"] @ k, p["place"] @ v, scale * (p["place"][OVERLAP:] @ p["q"])]
-        self.prior, self.one, self.mask = vocabulary.prior + p["b"], np.ones(CLASSES, np.float32), (_MASK == 0).astype(np.float32)
+        p, (ask, tell) = self.p, projections(self.p)
+        self.by_row = [p["embed"], p["embed"] @ tell, p["embed"] @ ask]
+        self.by_place = [p["place"], p["place"] @ tell, p["place"][OVERLAP:] @ ask]
+        self.prior = vocabulary.prior + p["b"]
         self.row, self.of = vocabulary.row.astype(np.int32), vocabulary.of.astype(np.int32)
 
     def chosen(self, seen: np.ndarray, classes: np.ndarray) -> np.ndarray:
         """Log probability of the class at each of the last STRIDE places of each window of rows before them."""
         p, n = self.p, len(seen)
         late = np.ascontiguousarray(seen[:, OVERLAP:])
-        k, v, q = (t.take(r, axis=0) for t, r in zip(self.by_row, (seen, seen, late), strict=True))
-        for x, add in zip((k, v, q), self.by_place, strict=True):
-            x += add
-        a = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
+        x, v, q = (t.take(r, axis=0) for t, r in zip(self.by_row, (seen, seen, late), strict=True))
+        for t, add in zip((x, v, q), self.by_place, strict=True):
+            t += add
         with np.errstate(over="ignore", invalid="ignore"):
-            np.exp(a, out=a)
-            a *= self.mask
-            c = (a @ v).reshape(-1, WIDTH)
-            c /= a.sum(axis=2).reshape(-1, 1)
-            y = c @ p["o"]
-            y += (p["embed"].take(late, axis=0) + p["place"][OVERLAP:]).reshape(-1, WIDTH)
+            y = attention(q @ x.transpose(0, 2, 1)) @ v
+            y += x[:, OVERLAP:]
+            y = y.reshape(-1, WIDTH)
             h = y @ p["w1"]
             h += p["b1"]
             np.maximum(h, 0, out=h)
             y += h @ p["w2"]
             logits = y @ p["u"]
             logits += self.prior.take(late.reshape(-1), axis=0)
-            got = logits[np.arange(len(classes)), classes]
-            np.exp(logits, out=logits)
-            norm = np.log(logits @ self.one)
-        if not np.isfinite(norm).all():  # too large for the short way
-            logits, _ = forward(p, self.vocabulary.prior, seen)
-            top = logits.max(axis=1)
-            got, norm = logits[np.arange(len(classes)), classes], np.log(np.exp(logits - top[:, None]).sum(axis=1)) + top
-        return got - norm
+        got = logits[np.arange(len(classes)), classes]
+        _, total, top = exps(logits, lambda: forward(p, self.vocabulary.prior, seen)[0])
+        return got - np.log(total) - top
 
     def log_probs(self, ids: np.ndarray, off: np.ndarray, batch: int = 96) -> np.ndarray:
         """Natural log probability of each text."""
@@ -434,44 +476,57 @@ def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, every:
 
     def stepping(start: np.ndarray, number: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            waiting, group = [], None
+            keep_heap()
+            waiting, group, total, groups = [], None, np.zeros(len(start)), 0
             for batch in batches:
                 names = batch.column(0).to_numpy()
                 for a, b in zip(*(lambda e: (e[:-1], e[1:]))([0, *(np.flatnonzero(np.diff(names)) + 1).tolist(), len(names)]), strict=True):
                     if a < b and waiting and names[a] != group:
-                        yield step(waiting, start, number)
-                        waiting = []
+                        total, groups, waiting = total + step(waiting, start, number), groups + 1, []
                     if a < b:
                         group = names[a]
                         waiting.append(flat(batch.column(1).slice(a, b - a))[0])
             if waiting:
-                yield step(waiting, start, number)
+                total, groups = total + step(waiting, start, number), groups + 1
+            if groups:  # one sum of its groups' weights for each task
+                parts = range(0, len(total), 1024)
+                yield pa.RecordBatch.from_arrays([pa.array(parts), pa.array([groups] * len(parts)), pa.array([total[i : i + 1024].tolist() for i in parts], pa.list_(pa.float64()))], ["part", "groups", "w"])
 
         return run
 
-    def step(parts: list[np.ndarray], start: np.ndarray, number: int) -> pa.RecordBatch:
+    def step(parts: list[np.ndarray], start: np.ndarray, number: int) -> np.ndarray:
         rows = np.concatenate(parts).view(np.uint16).reshape(-1, SPAN + 1)
         rows = rows[np.lexsort(rows.T[::-1])]  # an order that doesn't depend on how they came
+        seen, late = vocabulary.row[rows[:, :SPAN]], rows[:, OVERLAP + 1 :]
+        target = np.where(late != NONE, vocabulary.of[np.minimum(late, END)], -1)
         w, order = start.copy(), {}
-        m, s, once = np.zeros_like(w), np.zeros_like(w), math.ceil(len(rows) / BATCH)
+        p, m, s, once = unpacked(w), np.zeros_like(w), np.zeros_like(w), math.ceil(len(rows) / BATCH)
         steps = math.ceil(max(once, min(least, PASSES * once)) / rounds)
         for t in range(1, steps + 1):
             # Rounds go on where the last one ended, in one order for each pass, so that no window is left out.
             turn, k = divmod(number * steps + t - 1, once)
             if turn not in order:
                 order = {turn: np.array_split(np.random.default_rng([11, turn]).permutation(len(rows)), once)}
-            some = rows[order[turn][k]].astype(np.int64)
-            late = some[:, OVERLAP + 1 :]
-            target = np.where(late != NONE, vocabulary.of[np.minimum(late, END)], -1)
-            g = gradient(unpacked(w), vocabulary.prior, vocabulary.row[some[:, :SPAN]], target)
-            m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
-            rate = np.float32(0.01 * (1 - 0.9 * (number * steps + t) / (rounds * steps)))
-            w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + np.float32(1e-8))
-        return pa.RecordBatch.from_arrays([pa.array(range(0, len(w), 1024)), pa.array([w[i : i + 1024].tolist() for i in range(0, len(w), 1024)], pa.list_(pa.float32()))], ["part", "w"])
+            some = order[turn][k]
+            g = gradient(p, vocabulary.prior, seen[some], target[some])
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * g
+            s *= np.float32(0.99)
+            g *= g
+            g *= np.float32(0.01)
+            s += g
+            rate = 0.01 * (1 - 0.9 * (number * steps + t) / (rounds * steps))
+            np.multiply(s, np.float32(1 / (1 - 0.99**t)), out=g)
+            np.sqrt(g, out=g)
+            g += np.float32(1e-8)
+            np.divide(m, g, out=g)
+            g *= np.float32(rate / (1 - 0.9**t))
+            w -= g
+        return w
 
     for number in range(rounds):
-        trained = data.mapInArrow(stepping(weights, number), "part bigint, w array<float>").select("part", F.posexplode("w").alias("i", "v"))
-        got = trained.groupBy((F.col("part") + F.col("i")).alias("i")).agg(F.avg("v").alias("v")).toPandas()  # as many rows as the model has weights
+        trained = data.mapInArrow(stepping(weights, number), "part bigint, groups bigint, w array<double>").select("part", "groups", F.posexplode("w").alias("i", "v"))
+        got = trained.groupBy((F.col("part") + F.col("i")).alias("i")).agg((F.sum("v") / F.sum("groups")).alias("v")).toPandas()  # as many rows as the model has weights
         if len(got) == len(weights):
             weights = got.sort_values("i")["v"].to_numpy().astype(np.float32)
     return weights
@@ -535,6 +590,7 @@ def scored(docs: DataFrame, path: str, held: Column | None = None, id_column: st
     log_often = np.log10(often + 0.5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_heap()
         scorer, opens = Scorer(weights, vocabulary), bpe.opens_word(path)
         for batch in slices(batches, "ids", 1 << 19):
             raw, at = flat(batch.column(2))

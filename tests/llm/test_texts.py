@@ -282,6 +282,75 @@ def test_lm_gradient():
         assert g[i] == pytest.approx((loss(w + e) - loss(w - e)) / 2e-5, rel=0.02, abs=1e-4)
 
 
+def test_lm_products_of_a_step():
+    # Multiplications in matrix products for each window, forward and back: q's and k's projection is one product, so is v's and o's.
+    class Counted(np.ndarray):
+        done = 0
+
+        def __array_ufunc__(self, ufunc, method, *inputs, out=None, **more):
+            plain = lambda a: a.view(np.ndarray) if isinstance(a, Counted) else a
+            got = getattr(ufunc, method)(*map(plain, inputs), **more, **({"out": tuple(map(plain, out))} if out else {}))
+            if ufunc is np.matmul:
+                Counted.done += got.size * inputs[0].shape[-1]
+            return out[0] if out else got.view(Counted) if isinstance(got, np.ndarray) else got
+
+    rng = np.random.default_rng(2)
+    v, n = lm_vocabulary(rng), 64
+    seen, target = rng.integers(0, 300, (n, lm_scoring.SPAN)), rng.integers(0, lm_scoring.CLASSES, (n, lm_scoring.STRIDE))
+    lm_scoring.gradient(lm_scoring.unpacked(lm_scoring.initial().view(Counted)), v.prior, seen, target)
+    w, h, c, late, span = lm_scoring.WIDTH, lm_scoring.HIDDEN, lm_scoring.CLASSES, lm_scoring.STRIDE, lm_scoring.SPAN
+    needed = 3 * late * (2 * w * w + 2 * span * w + 2 * w * h + w * c)  # two projections, two products of places, the hidden layer, the last one
+    assert 0.95 * needed < Counted.done / n < 1.05 * needed
+
+
+def test_lm_large_logits():
+    rng = np.random.default_rng(9)
+    v = lm_vocabulary(rng)
+    seen, target = rng.integers(0, 300, (5, lm_scoring.SPAN)), rng.integers(-1, lm_scoring.CLASSES, (5, lm_scoring.STRIDE))
+    w = (lm_scoring.initial() + rng.normal(0, 0.5, sum(map(math.prod, lm_scoring.SHAPES.values())))).astype(np.float32)
+    for name, by in (("u", 100), ("q", 100), ("b", -1e3)):
+        wide = w.astype(np.float64)
+        lm_scoring.unpacked(wide)[name][...] *= by
+        p, q = lm_scoring.unpacked(wide.astype(np.float32)), lm_scoring.unpacked(wide)
+        got, want = lm_scoring.gradient(p, v.prior, seen, target), lm_scoring.gradient(q, v.prior.astype(float), seen, target)
+        assert np.isfinite(got).all() and np.abs(got - want).max() < 2e-3 * np.abs(want).max()
+        logits, t = lm_scoring.forward(q, v.prior.astype(float), seen)[0], np.maximum(target.reshape(-1), 0)
+        logits -= logits.max(1, keepdims=True)
+        got = lm_scoring.Scorer(wide.astype(np.float32), v).chosen(seen, t)
+        np.testing.assert_allclose(got, logits[np.arange(len(t)), t] - np.log(np.exp(logits).sum(1)), rtol=2e-3, atol=2e-2)
+
+
+def test_lm_attention_is_that_of_four_projections():
+    rng = np.random.default_rng(12)
+    w = lm_scoring.initial().astype(np.float64) + rng.normal(0, 0.2, sum(map(math.prod, lm_scoring.SHAPES.values())))
+    p, v, width = lm_scoring.unpacked(w), lm_vocabulary(rng), lm_scoring.WIDTH
+    seen = rng.integers(0, 300, (3, lm_scoring.SPAN))
+    x = p["embed"][seen] + p["place"]
+    q, k, val = x @ p["q"], x @ p["kv"][:, :width], x @ p["kv"][:, width:]
+    a = np.exp(q @ k.transpose(0, 2, 1) / width**0.5) * np.tri(lm_scoring.SPAN)
+    y = x + (a / a.sum(2, keepdims=True)) @ val @ p["o"]
+    z = y + np.maximum(y @ p["w1"] + p["b1"], 0) @ p["w2"]
+    want = (z @ p["u"] + p["b"] + v.prior[seen])[:, lm_scoring.OVERLAP :]
+    np.testing.assert_allclose(lm_scoring.forward(p, v.prior, seen)[0], want.reshape(-1, lm_scoring.CLASSES), rtol=1e-6)
+
+
+def test_lm_weights_are_the_groups_mean(spark, monkeypatch):
+    # However many groups a task has, each counts once.
+    monkeypatch.setattr(lm_scoring, "GROUP_ROWS", 40)
+    rng = np.random.default_rng(13)
+    docs = [np.append(rng.integers(0, 30, 90) ** 2, lm_scoring.END).astype(np.uint16) for _ in range(40)]
+    ids = np.concatenate(docs).astype(np.int64)
+    v = lm_scoring.Vocabulary(np.bincount(ids, minlength=lm_scoring.IDS + 1))
+    cell, n = np.unique(v.row[np.append(lm_scoring.END, ids[:-1])] << 16 | v.of[ids], return_counts=True)
+    v.learn(cell >> 16, cell & 0xFFFF, n.astype(float), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    df, got = spark.createDataFrame([(k, x.tobytes()) for k, x in enumerate(docs)], "key bigint, ids binary"), []
+    for files in (1, 20_000):
+        monkeypatch.setattr(lm_scoring, "MAX_FILES", files)
+        got.append(lm_scoring.train(df, v, every=1, least=4))
+    assert np.abs(got[0] - lm_scoring.initial()).max() > 0.01
+    np.testing.assert_allclose(got[0], got[1], atol=1e-6)
+
+
 def test_rare_pairs_have_their_own_counts(spark, monkeypatch):
     # Whatever number of pairs goes to the tasks, the scores are the same.
     docs = spark.createDataFrame([(i, " ".join(f"w{(i * k * k) % 97} and x{(i + k) % 53}" for k in range(1 + i % 40))) for i in range(300)], "doc_id bigint, text string").repartition(3)
