@@ -1,167 +1,184 @@
 """Tables from ruling lines, and from gaps between columns where no lines are drawn.
 
-Strokes are snapped and united along their lines; cells are found from the crossings
-by equi-joins: a cell has an edge above and one below between the same two
-uprights, and one on either side between the same two levels. Uprights that only
-reach a line from the other side don't part its cells, so spanning cells are
-found too. Spans go to the cell that holds their middle.
+Strokes are snapped and united along their lines; cells are found from the crossings:
+a cell has an edge above and one below between the same two uprights, and one on
+either side between the same two levels. Uprights that only reach a line from the
+other side don't part its cells, so spanning cells are found too. Spans go to the
+cell that holds their middle.
+
+Spark brings the rows of a page together and sorts them; ``grids`` works on whole
+pages, many in a batch. Windows and joins that did the same took most of their time
+for groups of a few rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import strip
-from quarry.operators import intervals
+from quarry.operators import grids, intervals
 from quarry.session import cut
 
 PAGE = ["doc_id", "page_index"]
-#: How far lines and ends may be apart and count as one, the least length of a stroke, and the gap that parts columns of text.
-SNAP, LENGTH, GAP, ALIGNED = 2.0, 4.0, 12.0, 6.0
+CORNERS = ["x0", "y0", "x1", "y1"]
+#: The gap that parts columns of text, and how far their beginnings may be apart.
+GAP, ALIGNED = 12.0, 6.0
+#: Rows of a batch of whole pages, at least, and the characters of a text that travel in one row.
+ROWS, PIECE = 1 << 16, 1024
 
 
 @contextmanager
-def by_page(spark: SparkSession) -> Iterator[None]:
-    """Sides that lie by page already are joined where they are, though the join has more keys than the page."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     before = spark.conf.get(name)
-    spark.conf.set(name, "false")
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
+def by_page(spark: SparkSession) -> AbstractContextManager[None]:
+    """Sides that lie by page already are joined where they are, though the join has more keys than the page."""
+    return _setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false")
+
+
+def by_rows(spark: SparkSession) -> AbstractContextManager[None]:
+    """Arrow batches end by their rows only: to look at their bytes after each row takes Spark longer than to send it. For rows of bounded size."""
+    return _setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(2**31 - 1))
+
+
 def parted(rows: DataFrame, parts: int | None = None) -> DataFrame:
     """Rows by page, in ``parts`` or as many partitions as shuffles have: all sides in as many, so that they can meet."""
     return rows.repartition(parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *PAGE)
 
 
-def snapped(rows: DataFrame, keys: list[str], value: str, snap: float = SNAP) -> DataFrame:
-    """``value`` replaced by the smallest of its neighbours: a new value begins after a gap of more than ``snap``."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    new = F.coalesce(F.col(value) - F.lag(value).over(w) > snap, F.lit(True))
-    rows = rows.withColumn("_new", F.when(new, F.col(value)))
-    return rows.withColumn(value, F.last("_new", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
-
-
-def united(rows: DataFrame, keys: list[str], low: str = "low", high: str = "high", snap: float = SNAP) -> DataFrame:
-    """Intervals of each key that touch or overlap become one."""
-    w = Window.partitionBy(*keys).orderBy(low, high)
-    reach = F.max(high).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_new", F.coalesce((F.col(low) > reach + snap).cast("int"), F.lit(1)))
-    rows = rows.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(*keys, "_run").agg(F.min(low).alias(low), F.max(high).alias(high)).drop("_run")
-
-
-def rules(strokes: DataFrame, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Level lines and uprights (page, at, low, high) of strokes; boxes of a width give their sides. Both are worked out once, and stored."""
-    s = strokes.where(intervals.finite("x0", "y0", "x1", "y1")).select(*PAGE, F.least("x0", "x1").alias("x0"), F.least("y0", "y1").alias("y0"), F.greatest("x0", "x1").alias("x1"), F.greatest("y0", "y1").alias("y1"))
-    wide, tall = F.col("x1") - F.col("x0") > LENGTH, F.col("y1") - F.col("y0") > LENGTH
-    flat, thin = F.col("y1") - F.col("y0") <= SNAP, F.col("x1") - F.col("x0") <= SNAP
-    sides = lambda a, b: F.when(wide & tall, F.array(a, b)).otherwise(F.array((F.col(a) + F.col(b)) / 2))
-    lines = lambda level, at, low, high: F.transform(at, lambda v: F.struct(F.lit(level).alias("level"), v.alias("at"), F.col(low).alias("low"), F.col(high).alias("high")))
-    none = F.filter(lines(True, F.array("x0"), "x0", "x1"), lambda v: F.lit(False))
-    level = F.when(wide & (flat | tall), lines(True, sides("y0", "y1"), "x0", "x1")).otherwise(none)
-    upright = F.when(tall & (thin | wide), lines(False, sides("x0", "x1"), "y0", "y1")).otherwise(none)
-    drawn = parted(s.select(*PAGE, F.explode(F.concat(level, upright)).alias("l")).select(*PAGE, "l.*"), parts)
-    # A page's lines stay in their task from here to the end of their union.
-    stored = cut(united(snapped(drawn, [*PAGE, "level"], "at"), [*PAGE, "level", "at"]))
-    return stored.where("level").drop("level"), stored.where("NOT level").drop("level")
-
-
-def crossings(levels: DataFrame, uprights: DataFrame, parts: int | None = None) -> DataFrame:
-    """(page, x, y, up, down, left, right): crossings, and in which directions the lines go on from there."""
-    h = parted(levels.select(*PAGE, F.col("at").alias("y"), (F.col("low") - SNAP).alias("hlow"), (F.col("high") + SNAP).alias("hhigh")), parts)
-    v = parted(uprights.select(*PAGE, F.col("at").alias("x"), (F.col("low") - SNAP).alias("vlow"), (F.col("high") + SNAP).alias("vhigh")), parts)
-    # An upright is a point in the width, a level line an interval: they meet in the bands of the line.
-    lengths = intervals.levels(h, PAGE, "_of", "hlow", "hhigh")
-    v = v.join(lengths, PAGE).withColumn("_l", F.explode("_of")).withColumn("_b", F.floor(F.col("x") / (F.lit(intervals.BASE) * F.pow(F.lit(2.0), F.col("_l")))).cast("long")).drop("_of")
-    h = intervals.banded(h, F.array().cast("array<int>"), "_h", "hlow", "hhigh").drop("_h_own", "_h_first")
-    met = h.join(v, [*PAGE, "_l", "_b"]).where(F.col("x").between(F.col("hlow"), F.col("hhigh")) & F.col("y").between(F.col("vlow"), F.col("vhigh")))
-    far = 2 * SNAP  # a line that ends here was made longer by SNAP
-    return met.groupBy(*PAGE, "x", "y").agg(
-        F.bool_or(F.col("y") - F.col("vlow") > far).alias("up"), F.bool_or(F.col("vhigh") - F.col("y") > far).alias("down"), F.bool_or(F.col("x") - F.col("hlow") > far).alias("left"), F.bool_or(F.col("hhigh") - F.col("x") > far).alias("right")
-    )
+def numbered(doc: pa.Array, index: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of sorted rows' pages, from 0, and each page's first row."""
+    new = grids.changes(*(c.dictionary_encode("encode").indices.to_numpy() for c in (doc, index)))
+    return np.cumsum(new) - 1, np.flatnonzero(new)
 
 
-def cells(strokes: DataFrame, parts: int | None = None) -> DataFrame:
-    """(page, x0, y0, x1, y1) of the cells that strokes draw.
+def whole_pages(batches: Iterator[pa.RecordBatch], rows: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Sorted rows in batches of ``rows`` or more that end with a page; a page of any size is in one of them."""
+    held, n, last = [], 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        begins = int(numbered(batch.column(0), batch.column(1))[1][-1])  # of the batch's last page
+        own = [c[-1].as_py() for c in batch.columns[:2]]
+        n += batch.num_rows
+        if n >= (rows or ROWS) and (begins or own != last):
+            if begins or held:
+                yield pa.concat_batches([*held, batch[:begins]])
+            held, n = [], batch.num_rows - begins
+            batch = batch[begins:]
+        held.append(batch)
+        last = own
+    if held:
+        yield pa.concat_batches(held)
 
-    Rows are crossings all the way, and what a join on corners would find is carried
-    along in windows from the far end, so that nothing leaves the page's task.
-    """
-    at = crossings(*rules(strokes, parts), parts)
-    ahead = lambda along, across: Window.partitionBy(*PAGE, across).orderBy(F.desc(along)).rowsBetween(Window.unboundedPreceding, -1)
-    after = lambda side, value, w: F.last(F.when(F.col(side), value), ignorenulls=True).over(w)
-    across, down = ahead("x", "y"), ahead("y", "x")
-    # From each crossing whose line goes on to the next one, of those whose other line goes to the edge's inner side.
-    at = at.withColumn("_right", F.when(F.col("left") & F.col("down"), after("left", F.col("y"), down)))
-    at = at.withColumns({"_top": after("down", F.struct("x", "_right"), across), "_bottom": F.when(F.col("up") & F.col("right"), after("up", F.col("x"), across))})
-    at = at.withColumn("_left", after("right", F.struct("y", "_bottom"), down))
-    # A corner, with the ends of both its edges, at which the other two end.
-    box = F.col("right") & F.col("down") & (F.col("_top._right") == F.col("_left.y")) & (F.col("_left._bottom") == F.col("_top.x"))
-    return at.where(box).select(*PAGE, F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("_top.x").alias("x1"), F.col("_left.y").alias("y1"))
 
+def _floats(batch: pa.RecordBatch, names: list[str]) -> list[np.ndarray]:
+    return [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
 
-def grouped(boxes: DataFrame) -> DataFrame:
-    """Cells with ``table_no`` within their page, from above and then from the left: tables are parted by gaps in height, in width, and in height again."""
-    rows, keys = boxes.withColumn("_part", F.lit("")), [*PAGE, "_part"]
-    for low, high in (("y0", "y1"), ("x0", "x1"), ("y0", "y1")):
-        w = Window.partitionBy(*keys).orderBy(low, high)
-        new = F.coalesce((F.col(low) > F.max(high).over(w.rowsBetween(Window.unboundedPreceding, -1)) + SNAP).cast("int"), F.lit(0))
-        rows = rows.withColumn("_new", new).withColumn("_part", F.concat("_part", F.format_string("%06d", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))))).drop("_new")
-    return rows.withColumn("table_no", (F.dense_rank().over(Window.partitionBy(*PAGE).orderBy("_part")) - 1).cast("int")).drop("_part")
 
+def cells(strokes: DataFrame, parts: int | None = None) -> DataFrame:
+    """(page, x0, y0, x1, y1) of the cells that strokes draw, page by page."""
 
-def inside(points: DataFrame, boxes: DataFrame, x: Column, y: Column, parts: int | None = None) -> DataFrame:
-    """Boxes with the points of their page that they hold (``held``; upper and left edges belong to them), in equi-joins on bands of both directions.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_pages(batches):
+            page, first = numbered(batch.column(0), batch.column(1))
+            boxes = grids.cells(page, *_floats(batch, CORNERS))
+            names = [batch.column(k).take(pa.array(first[boxes.page])) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([*names, *(pa.array(c) for c in boxes[1:])], [*PAGE, *CORNERS])
 
-    A box stands in several bands, and in each of them once without a point, unless it has some there.
-    """
-    b = boxes.withColumns({"_ly": intervals.level(F.col("y0"), F.col("y1")), "_lx": intervals.level(F.col("x0"), F.col("x1"))})
-    sizes = b.groupBy(*PAGE).agg(F.collect_set(F.struct("_ly", "_lx")).alias("_of"))  # pairs of levels: few
-    width = lambda name: F.lit(intervals.BASE) * F.pow(F.lit(2.0), F.col(name))
-    band = lambda value, name: F.floor(value / width(name)).cast("long")
-    b = b.withColumn("_by", F.explode(F.sequence(band(F.col("y0"), "_ly"), band(F.col("y1"), "_ly")))).withColumn("_bx", F.explode(F.sequence(band(F.col("x0"), "_lx"), band(F.col("x1"), "_lx"))))
-    p = parted(points.withColumns({"_px": x, "_py": y}).where(intervals.finite("_px", "_py")), parts).join(sizes, PAGE).withColumn("_s", F.explode("_of")).select("*", "_s._ly", "_s._lx", F.lit(True).alias("held")).drop("_of", "_s")
-    p = p.withColumns({"_by": band(F.col("_py"), "_ly"), "_bx": band(F.col("_px"), "_lx")})
-    keys = [*PAGE, "_ly", "_lx", "_by", "_bx"]
-    b = b.select(*keys, *(F.col(c).alias(f"b{c}") for c in boxes.columns if c not in PAGE)).alias("b")
-    held = (F.col("_px") >= F.col("bx0")) & (F.col("_px") < F.col("bx1")) & (F.col("_py") >= F.col("by0")) & (F.col("_py") < F.col("by1"))
-    on = held
-    for c in keys:
-        on &= F.col(f"b.{c}") == F.col(f"p.{c}")
-    rest = [c for c in points.columns if c not in PAGE]
-    return b.join(p.alias("p"), on, "left").select(*(F.col(f"b.{c}") for c in b.columns if c not in keys[2:]), *(F.col(f"p.{c}") for c in rest), F.coalesce("p.held", F.lit(False)).alias("held"))
-
-
-def _rows(placed: DataFrame) -> DataFrame:
-    """(page, table_no, rows) of cells (page, table_no, row, col, text); places without a cell are empty."""
-    line = placed.groupBy(*PAGE, "table_no", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("cells"), F.max("col").alias("_last"))
-    whole = line.groupBy(*PAGE, "table_no").agg(F.array_sort(F.collect_list(F.struct("row", F.map_entries("cells").alias("cells")))).alias("_lines"), F.max("_last").alias("_most"))
-    full = lambda r: F.transform(F.sequence(F.lit(1), F.col("_most")), lambda k: F.coalesce(F.try_element_at(F.map_from_entries(r["cells"]), k), F.lit("")))
-    return whole.select(*PAGE, "table_no", F.transform("_lines", full).alias("rows"))
+    rows = parted(strokes.where(intervals.finite(*CORNERS)).select(*PAGE, *(F.col(c).cast("double").alias(c) for c in CORNERS)), parts).sortWithinPartitions(*PAGE)
+    return rows.mapInArrow(run, rows.schema)
+
+
+def grouped(boxes: DataFrame) -> DataFrame:
+    """Cells, as ``cells`` gives them, with ``table_no`` within their page, from above and then from the left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_pages(batches):
+            page, _ = numbered(batch.column(0), batch.column(1))
+            part = grids.tables(grids.Boxes(page, *_floats(batch, CORNERS)))
+            numbers = pa.array(grids.ranks(page, part), pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, numbers], [*batch.schema.names, "table_no"])
+
+    return boxes.mapInArrow(run, boxes.withColumn("table_no", F.lit(0)).schema)
+
+
+def _nested(values: pa.Array, *counts: np.ndarray) -> pa.Array:
+    """Lists of lists: ``counts`` has the lengths of the innermost lists first."""
+    for n in counts:
+        values = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), values)
+    return values
+
+
+def _filled(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """(page, table_no, cells) of the tables of two cells or more in a batch of whole pages: in each of their rows and columns the spans' texts, by line."""
+    page, first = numbered(batch.column(0), batch.column(1))
+    stroke = batch.column("stroke").to_numpy(zero_copy_only=False)
+    corners = _floats(batch, CORNERS)
+    boxes = grids.cells(page[stroke], *(c[stroke] for c in corners))
+    part = grids.tables(boxes)
+    number, many = grids.ranks(boxes.page, part), np.bincount(part)[part] > 1
+    boxes, number = grids.Boxes(*(c[many] for c in boxes)), number[many]
+    part = np.unique(part[many], return_inverse=True)[1]
+    row, col = grids.ranks(part, boxes.y0), grids.ranks(part, boxes.x0)
+    n = int(part.max(initial=-1)) + 1
+    height, width, of, no = (np.zeros(n, np.int64) for _ in range(4))
+    np.maximum.at(height, part, row + 1)
+    np.maximum.at(width, part, col + 1)
+    of[part], no[part] = boxes.page, number
+    # Places of all tables one after the other, also those without a cell; rows of spans come in reading order.
+    size = height * width
+    place = (np.cumsum(size) - size)[part] + row * width[part] + col
+    spans = np.flatnonzero(~stroke)
+    x0, y0, x1, y1 = (c[spans] for c in corners)
+    box, point = grids.holding(boxes, page[spans], (x0 + x1) / 2, (y0 + y1) / 2)
+    point, place = spans[point], place[box]
+    by = np.lexsort((point, place))
+    point, place = point[by], place[by]
+    line = batch.column("line_no").dictionary_encode("encode").indices.to_numpy()[point]
+    starts = np.flatnonzero(grids.changes(place, line))
+    texts = batch.column("text").take(pa.array(point))
+    nested = _nested(texts, np.diff(np.append(starts, len(point))), np.bincount(place[starts], minlength=size.sum()), np.repeat(width, height), height)
+    names = [batch.column(k).take(pa.array(first[of])) for k in range(2)]
+    return pa.RecordBatch.from_arrays([*names, pa.array(no, pa.int32()), nested], [*PAGE, "table_no", "cells"])
 
 
 def lattice(spans: DataFrame, strokes: DataFrame, parts: int | None = None) -> DataFrame:
     """(page, table_no, source, rows) of ruled tables of two cells or more, with the spans' texts in reading order.
 
-    Strokes, their lines and spans are shuffled once each, by page; all that follows is sorted within the page's task.
+    Strokes and spans are shuffled by page, unless they lie so already, and sorted; all that follows is done within the page's task.
     """
-    w = lambda by: Window.partitionBy(*PAGE, "table_no").orderBy(by)
-    boxes = grouped(cells(strokes, parts))
-    boxes = boxes.withColumns({"row": F.dense_rank().over(w("y0")), "col": F.dense_rank().over(w("x0")), "_n": F.count("*").over(Window.partitionBy(*PAGE, "table_no"))}).where("_n > 1").drop("_n")
-    words = inside(spans.select(*PAGE, "line_no", "span_no", "text", "x0", "y0", "x1", "y1"), boxes, (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2, parts)
-    place = [F.col("btable_no").alias("table_no"), F.col("brow").alias("row"), F.col("bcol").alias("col")]
-    lines = words.groupBy(*PAGE, *place, "line_no", "held").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("held"), F.struct("span_no", "text")))), lambda s: s.text), "").alias("t"))
-    texts = lines.groupBy(*PAGE, "table_no", "row", "col").agg(strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("held"), F.struct("line_no", strip(F.col("t")).alias("t"))))), lambda s: s.t), "\n")).alias("text"))
-    with by_page(spans.sparkSession):
-        return cut(_rows(texts).withColumn("source", F.lit("lattice")))
+    kinds = dict(spans.dtypes)
+    corners = [F.col(c).cast("double").alias(c) for c in CORNERS]
+    drawn = parted(strokes.where(intervals.finite(*CORNERS)), parts).select(*PAGE, F.lit(True).alias("stroke"), *corners, *(F.lit(None).cast(kinds[c]).alias(c) for c in ("line_no", "span_no", "text")))
+    middle = spans.withColumns({"_x": (F.col("x0") + F.col("x1")) / 2, "_y": (F.col("y0") + F.col("y1")) / 2}).where(intervals.finite("_x", "_y"))
+    written = parted(middle, parts).select(*PAGE, F.lit(False).alias("stroke"), *corners, "line_no", "span_no", "text")
+    # Both sides lie by page, and so does their union: Spark sees that, and doesn't shuffle it again.
+    rows = parted(drawn.unionByName(written), parts).sortWithinPartitions(*PAGE, "line_no", "span_no", "text").drop("span_no")
+    # Long texts travel in pieces, which come together again as spans of a line do.
+    rows = rows.withColumn("text", F.explode_outer(F.when(F.octet_length("text") > PIECE, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).otherwise(F.array("text"))))
+    kinds = dict(rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_pages(batches):
+            yield _filled(batch)
+
+    found = rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, page_index {kinds['page_index']}, table_no int, cells array<array<array<array<string>>>>")
+    text = lambda lines: strip(F.array_join(F.transform(lines, lambda t: strip(F.array_join(t, ""))), "\n"))
+    with by_rows(spans.sparkSession):
+        return cut(found.select(*PAGE, "table_no", F.transform("cells", lambda r: F.transform(r, text)).alias("rows"), F.lit("lattice").alias("source")))
 
 
 def stream(spans: DataFrame, parts: int | None = None) -> DataFrame:

@@ -290,8 +290,8 @@ def order_lines(spark, d):
     """The lines by page, and the number of their partitions."""
     rows = table(spark, d, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("n")).agg(F.max("l_returnflag").alias("flag"), F.min("l_linestatus").alias("state"))
     rows = cut(rows.select(F.col("l_orderkey").cast("string").alias("doc_id"), F.lit(0).alias("page_index"), "n", "flag", "state", (F.col("n") * 12.0).alias("y")))
-    # Lines are few: the strokes and spans made of them needn't move again. Each task sorts what LINES of them make.
-    parts = max(1, -(-rows.count() // LINES))
+    # Lines are few: the strokes and spans made of them needn't move again (with one partition Spark moves them). Each task sorts what LINES of them make.
+    parts = max(2, -(-rows.count() // LINES))
     return ruling.parted(rows, parts), parts
 
 

@@ -5,6 +5,7 @@ import random
 import tempfile
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
@@ -89,6 +90,59 @@ def test_pages_are_shuffled_once(spark):
     assert shuffles(ruling.stream(spans)) == 1 and shuffles(ruling.lattice(spans, strokes)) == 0
 
 
+def test_pages_need_one_sort(spark):
+    # Windows and joins over groups of a few rows took most of the time: ruled_tables did not end in time at 1 GB.
+    strokes = spark.createDataFrame(grid("d", [0.0, 40.0, 80.0], [0.0, 20.0]), STROKES)
+    plan = ruling.grouped(ruling.cells(strokes))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and "Window" not in plan and "Join" not in plan
+
+
+def test_many_pages_in_time(spark):
+    pages = spark.range(60_000).select(F.col("id").cast("string").alias("doc_id"), F.lit(0).alias("page_index"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("n"))
+    line = lambda *c: F.struct(*(F.lit(v).alias(k) if k in ("x0", "x1") else (F.col("n") * 12 + v).cast("double").alias(k) for k, v in zip(("x0", "y0", "x1", "y1"), c, strict=True)))
+    strokes = pages.select("doc_id", "page_index", F.explode(F.array(line(0.0, 0, 80.0, 0), line(0.0, 12, 80.0, 12), *(line(x, 0, x, 12) for x in (0.0, 40.0, 80.0)))).alias("s")).select("doc_id", "page_index", "s.*")
+    spans = pages.select("doc_id", "page_index", F.col("n").alias("line_no"), F.lit(0).alias("span_no"), F.col("n").cast("string").alias("text"), F.lit(10.0).alias("x0"), (F.col("n") * 12 + 1.0).alias("y0"), F.lit(20.0).alias("x1"), (F.col("n") * 12 + 11.0).alias("y1"))
+    began = time.monotonic()
+    got = ruling.lattice(spans, strokes, 4).groupBy("rows").count().collect()
+    assert time.monotonic() - began < 30
+    assert [(r["rows"], r["count"]) for r in got] == [([[str(n), ""] for n in range(5)], 60_000)]
+
+
+def test_batches_end_with_a_page():
+    rows = [("a", 0)] * 3 + [("a", 1)] * 2 + [(None, 1)] + [("b", 0)] * 9 + [("c", 0)] * 2 + [("c", 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], ["doc_id", "page_index"])
+    for size in range(1, 20):
+        for least in (1, 4, 100):
+            got = [list(zip(*(c.to_pylist() for c in b.columns), strict=True)) for b in ruling.whole_pages((batch[k : k + size] for k in range(0, len(rows), size)), least)]
+            assert [r for b in got for r in b] == rows
+            assert all(a[-1] != b[0] for a, b in zip(got, got[1:])) and all(len(b) < least + 10 + size for b in got)
+    assert list(ruling.whole_pages(iter([]))) == []
+
+
+def test_odd_texts_of_ruled_tables(spark):
+    long = "".join(random.Random(3).choices("ab é𝒳\n", k=5000)) + "end"
+    spans = words("d", [(20, 10, long), (60, 10, None)]) + [("d", 0, None, None, " first ", 18.0, 8.0, 22.0, 12.0), ("d", 0, 5, 0, "tie b", 58.0, 8.0, 62.0, 12.0), ("d", 0, 5, 0, "tie a", 58.0, 8.0, 62.0, 12.0), ("d", 0, 6, 0, "none", float("nan"), 8.0, 62.0, 12.0)]
+    spans += words("bare", [(20, 10, "no strokes")])
+    strokes = grid("d", [0.0, 40.0, 80.0], [0.0, 20.0]) + grid("d", [0.0, 40.0], [100.0, 120.0]) + grid("d", [0.0, 40.0, 80.0], [200.0, 220.0])
+    got = tables(ruling.lattice(spark.createDataFrame(spans, SPANS), spark.createDataFrame(strokes, STROKES)))
+    # The table of a single cell isn't given, and keeps its number.
+    assert got == {("d", 0, 0): ("lattice", [["first\n" + long.strip(), "tie atie b"]]), ("d", 0, 2): ("lattice", [["", ""]])}
+    assert tables(ruling.lattice(spark.createDataFrame(spans, SPANS), spark.createDataFrame([], STROKES))) == {}
+
+
+def test_dense_pages(spark):
+    # Tables one below the other have lines with all uprights in reach, and those in a row points with all heights.
+    n, wide = 4000, 150
+    down = [("down", 0, *c) for k in range(n) for c in ((0.0, 20.0 * k, 40.0, 20.0 * k + 10), (20.0, 20.0 * k, 20.0, 20.0 * k + 10))]
+    beside = [("beside", 0, *c) for k in range(n) for c in ((60.0 * k, 7.0 * (k % 9), 60.0 * k + 40, 100.0 + 7 * (k % 5)), (60.0 * k + 20, 7.0 * (k % 9), 60.0 * k + 20, 100.0 + 7 * (k % 5)))]
+    spans = [(d, 0, k, 0, str(k), x, y, x, y) for k in range(n) for d, x, y in (("down", 10.0, 20.0 * k + 5), ("beside", 60.0 * k + 30, 80.0))]
+    spans += [("grid", 0, a, b, f"{a} {b}", 10.0 * b, 10.0 * a, 10.0 * b + 8, 10.0 * a + 8) for a in range(wide) for b in range(wide)]
+    strokes = down + beside + grid("grid", [10.0 * k for k in range(wide + 1)], [10.0 * k for k in range(wide + 1)])
+    got = tables(ruling.lattice(spark.createDataFrame(spans, SPANS), spark.createDataFrame(strokes, STROKES)))
+    assert got.pop(("grid", 0, 0)) == ("lattice", [[f"{a} {b}" for b in range(wide)] for a in range(wide)])
+    assert got == {("down", 0, k): ("lattice", [[str(k), ""]]) for k in range(n)} | {("beside", 0, k): ("lattice", [["", str(k)]]) for k in range(n)}
+
+
 def test_aligned_columns_and_the_choice(spark):
     line = lambda doc, n, *cells: [(doc, 0, n, k, t, x, 12.0 * n, x + 5.0 * len(t), 12.0 * n + 10) for k, (x, t) in enumerate(cells)]
     spans = line("s", 0, (0.0, "a title over all")) + line("s", 1, (0.0, "name"), (100.0, "n")) + line("s", 2, (1.0, "ana"), (99.0, "1")) + line("s", 3, (0.0, "bo"), (10.0, "bo"), (101.0, "22")) + line("s", 4, (0.0, "x"), (150.0, "y")) + line("s", 5, (0.0, "end"))
